@@ -94,8 +94,10 @@ def leaderboard(base: DataFrame, value: str = "total_revenue", partition: str =
     """RANK over all rows and DENSE_RANK within ``partition``, both by
     ``value`` descending."""
     base = materialize(base, "leaderboard-input")
-    ranked = with_rank(base, [desc(value)], overall)
-    return with_rank(ranked, [desc(value)], within, partition_by=[partition], dense=True)
+    n_rows = base.count()
+    ranked = with_rank(base, [desc(value)], overall, n_rows=n_rows)
+    return with_rank(ranked, [desc(value)], within, partition_by=[partition], dense=True,
+                     n_rows=n_rows)
 
 
 def activity_months(orders: DataFrame) -> DataFrame:

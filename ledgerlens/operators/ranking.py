@@ -116,16 +116,26 @@ class Splits:
         return _bucket_expr(self.keys, self.points)
 
 
+def rows_per_bucket(spark) -> int:
+    """Rows one task may rank on its own; ``ledgerlens.ranking.rowsPerBucket``
+    in the session conf overrides the default (tests use a small value to
+    exercise many buckets on small data)."""
+    return int(spark.conf.get("ledgerlens.ranking.rowsPerBucket", str(ROWS_PER_BUCKET)))
+
+
 def plan_splits(df: DataFrame, keys: Sequence[Key], n_rows: int | None = None,
                 buckets: int | None = None) -> Splits:
-    """Pick split points from a bounded sample of ``df`` (two small jobs:
-    a count, unless given, and the sample)."""
+    """Pick split points from a bounded sample of ``df``.
+
+    ``n_rows`` is the row count of ``df`` or an upper bound of it; it is
+    counted when not given. When it fits one bucket no sample is taken:
+    the whole input is then proven small enough for one task.
+    """
     keys = tuple(keys)
     if n_rows is None:
         n_rows = df.count()
     if buckets is None:
-        parallelism = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        buckets = max(parallelism, math.ceil(n_rows / ROWS_PER_BUCKET))
+        buckets = math.ceil(n_rows / rows_per_bucket(df.sparkSession))
     buckets = max(1, min(buckets, MAX_BUCKETS, n_rows))
     if buckets == 1:
         return Splits(keys, (), n_rows)
@@ -198,7 +208,8 @@ def with_ntile(df: DataFrame, k: int, order: Sequence[Key], name: str = "ntile",
 
 
 def with_rank(df: DataFrame, order: Sequence[Key], name: str = "rank",
-              partition_by: Sequence[str] = (), dense: bool = False) -> DataFrame:
+              partition_by: Sequence[str] = (), dense: bool = False,
+              n_rows: int | None = None) -> DataFrame:
     """RANK() (or DENSE_RANK()) OVER (PARTITION BY partition_by ORDER BY order).
 
     Computed on the distinct (partition_by, order) values: map-side
@@ -209,10 +220,12 @@ def with_rank(df: DataFrame, order: Sequence[Key], name: str = "rank",
     """
     vals = [*partition_by, *[k.name for k in order]]
     distinct_vals = df.groupBy(*vals).agg(F.count(F.lit(1)).alias("_cnt"))
+    # distinct values are never more than the rows: n_rows bounds them
+    splits = plan_splits(distinct_vals, [*[asc(p) for p in partition_by], *order], n_rows=n_rows)
     if dense:
-        ranked = _prefix_sums(distinct_vals, order, partition_by, None, name, None)
+        ranked = _prefix_sums(distinct_vals, order, partition_by, None, name, splits)
     else:
-        ranked = _prefix_sums(distinct_vals, order, partition_by, F.col("_cnt"), "_incl", None)
+        ranked = _prefix_sums(distinct_vals, order, partition_by, F.col("_cnt"), "_incl", splits)
         ranked = ranked.withColumn(name, (F.col("_incl") - F.col("_cnt") + 1).cast(T.LongType()))
     ranked = ranked.select(*[F.col(v).alias("_v_" + v) for v in vals], name)
     cond = [F.col(v).eqNullSafe(F.col("_v_" + v)) for v in vals]

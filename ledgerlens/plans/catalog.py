@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.plans import reports as R
 from ledgerlens.sources.tables import SalesTables
-from ledgerlens.sources.warehouse import warehouse_tables
+from ledgerlens.sources.staging import staged_tables
 
 Report = Callable[[SalesTables], DataFrame]
 
@@ -68,7 +68,7 @@ def run_on_warehouse(name: str) -> Callable[[SparkSession, str], DataFrame]:
     report = REPORTS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return report(warehouse_tables(spark, sf_dir))
+        return report(staged_tables(spark, sf_dir))
 
     run.__name__ = name
     run.__doc__ = report.__doc__

@@ -545,6 +545,5 @@ def executive_summary(t: SalesTables) -> DataFrame:
     """SELECT * FROM the view; the consumer sorts (the view's own order
     is not relied on)."""
     create_executive_view(t)
-    spark = t.order_list.sparkSession
-    return spark.table(EXECUTIVE_VIEW).orderBy("month")
+    return t.spark.table(EXECUTIVE_VIEW).orderBy("month")
 

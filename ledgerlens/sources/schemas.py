@@ -35,3 +35,32 @@ SALES_TARGET = T.StructType([
 ORDER_COLUMNS = [f.name for f in ORDER_LIST.fields]
 DETAIL_COLUMNS = [f.name for f in ORDER_DETAILS.fields]
 TARGET_COLUMNS = [f.name for f in SALES_TARGET.fields]
+
+
+# Stored warehouse tables (Parquet) read by the mapping. Declared, not
+# inferred: no footer reads at planning time, and a file whose columns
+# changed type fails at read instead of silently changing results.
+def _s(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+WAREHOUSE = {
+    "orders": _s(("o_orderkey", T.LongType()), ("o_custkey", T.LongType()),
+                 ("o_orderstatus", T.StringType()), ("o_totalprice", T.DoubleType()),
+                 ("o_orderdate", T.TimestampNTZType()), ("o_orderpriority", T.StringType())),
+    "customer": _s(("c_custkey", T.LongType()), ("c_name", T.StringType()),
+                   ("c_nationkey", T.IntegerType()), ("c_acctbal", T.DoubleType()),
+                   ("c_mktsegment", T.StringType())),
+    "nation": _s(("n_nationkey", T.IntegerType()), ("n_name", T.StringType()),
+                 ("n_regionkey", T.IntegerType())),
+    "region": _s(("r_regionkey", T.IntegerType()), ("r_name", T.StringType())),
+    "lineitem": _s(("l_orderkey", T.LongType()), ("l_partkey", T.LongType()),
+                   ("l_suppkey", T.LongType()), ("l_linenumber", T.IntegerType()),
+                   ("l_quantity", T.DoubleType()), ("l_extendedprice", T.DoubleType()),
+                   ("l_discount", T.DoubleType()), ("l_tax", T.DoubleType()),
+                   ("l_returnflag", T.StringType()), ("l_linestatus", T.StringType()),
+                   ("l_shipdate", T.TimestampNTZType())),
+    "part": _s(("p_partkey", T.LongType()), ("p_name", T.StringType()), ("p_brand", T.StringType()),
+               ("p_type", T.StringType()), ("p_size", T.IntegerType()),
+               ("p_retailprice", T.DoubleType())),
+}

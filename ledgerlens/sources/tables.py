@@ -3,26 +3,47 @@
 Reports ask for the columns they use (``tables.orders("order_id",
 "order_date")``); a source that builds a table from several stored tables
 (the warehouse mapping) then joins only the stored tables those columns
-need. Plain sources simply project.
+need. Plain sources simply project. Tables are built lazily, on first
+use, so a report pays only for the tables it touches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 Projector = Callable[[Sequence[str]], DataFrame]
+Loader = Callable[[], DataFrame]
 
 
-@dataclass(frozen=True)
 class SalesTables:
-    order_list: DataFrame
-    order_details: DataFrame
-    sales_target: DataFrame
-    orders_projector: Projector | None = None
-    details_projector: Projector | None = None
+    def __init__(self, order_list: DataFrame | Loader, order_details: DataFrame | Loader,
+                 sales_target: DataFrame | Loader, orders_projector: Projector | None = None,
+                 details_projector: Projector | None = None,
+                 fact_table: DataFrame | None = None):
+        self._loaders = {"order_list": order_list, "order_details": order_details,
+                         "sales_target": sales_target}
+        self.orders_projector = orders_projector
+        self.details_projector = details_projector
+        self.fact_table = fact_table
+
+    def _load(self, name: str) -> DataFrame:
+        x = self._loaders[name]
+        return x if isinstance(x, DataFrame) else x()
+
+    @cached_property
+    def order_list(self) -> DataFrame:
+        return self._load("order_list")
+
+    @cached_property
+    def order_details(self) -> DataFrame:
+        return self._load("order_details")
+
+    @cached_property
+    def sales_target(self) -> DataFrame:
+        return self._load("sales_target")
 
     def orders(self, *cols: str) -> DataFrame:
         cols = _dedupe(cols)
@@ -37,11 +58,18 @@ class SalesTables:
         return self.order_details.select(*cols)
 
     def fact(self, order_cols: Sequence[str], detail_cols: Sequence[str]) -> DataFrame:
-        """Order lines joined to their order (inner join on order_id)."""
+        """Order lines joined to their order (inner join on order_id); read
+        from the staged fact when there is one."""
+        if self.fact_table is not None:
+            return self.fact_table.select(*_dedupe(["order_id", *order_cols, *detail_cols]))
         from ledgerlens.operators.fact import sales_fact
         return sales_fact(self.orders("order_id", *order_cols),
                           self.details("order_id", *detail_cols))
 
+    @property
+    def spark(self):
+        return self.fact([], []).sparkSession
+
 
 def _dedupe(cols: Sequence[str]) -> list[str]:
     out: list[str] = []

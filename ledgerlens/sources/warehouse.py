@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.columns import month_label
-from ledgerlens.sources.schemas import DETAIL_COLUMNS, ORDER_COLUMNS, TARGET_COLUMNS
+from ledgerlens.sources.schemas import DETAIL_COLUMNS, ORDER_COLUMNS, TARGET_COLUMNS, WAREHOUSE
 from ledgerlens.sources.tables import SalesTables
 
 # Fixed values of the target mapping.
@@ -56,9 +56,17 @@ class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        """The stored table with its declared schema, resolved once per
+        Warehouse (the file listing happens at resolution, not per use)."""
+        if name not in self._tables:
+            reader = self.spark.read
+            if name in WAREHOUSE:
+                reader = reader.schema(WAREHOUSE[name])
+            self._tables[name] = reader.parquet(f"{self.root}/{name}.parquet")
+        return self._tables[name]
 
     # -- order_list -------------------------------------------------------
     def orders(self, cols: Sequence[str]) -> DataFrame:
@@ -120,8 +128,14 @@ class Warehouse:
 
     # -- sales_target -----------------------------------------------------
     def targets(self) -> DataFrame:
-        fact = (self.orders(["order_id", "order_date"])
-                .join(self.details(["order_id", "category", "amount"]), "order_id"))
+        return self.targets_from(SalesTables(
+            lambda: self.orders(ORDER_COLUMNS), lambda: self.details(DETAIL_COLUMNS),
+            lambda: None, orders_projector=self.orders, details_projector=self.details))
+
+    @staticmethod
+    def targets_from(tables: SalesTables) -> DataFrame:
+        """Target rows derived from the sales of ``tables`` (see module doc)."""
+        fact = tables.fact(["order_date"], ["category", "amount"])
         monthly = (fact.groupBy(month_label("order_date").alias("month_of_order_date"),
                                 F.month("order_date").alias("k"), "category")
                    .agg(F.sum("amount").alias("revenue")))
@@ -138,9 +152,9 @@ class Warehouse:
 
     def sales_tables(self) -> SalesTables:
         return SalesTables(
-            order_list=self.orders(ORDER_COLUMNS),
-            order_details=self.details(DETAIL_COLUMNS),
-            sales_target=self.targets().select(*TARGET_COLUMNS),
+            order_list=lambda: self.orders(ORDER_COLUMNS),
+            order_details=lambda: self.details(DETAIL_COLUMNS),
+            sales_target=lambda: self.targets().select(*TARGET_COLUMNS),
             orders_projector=self.orders,
             details_projector=self.details)
 
