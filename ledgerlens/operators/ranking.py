@@ -5,20 +5,21 @@ PARTITION BY makes Spark move every row into one task. At customer grain
 that input grows with the data, so these operators compute the same
 numbers with work spread over many tasks:
 
-1. **Split points.** A bounded sample of the sort tuples is sorted by
-   Spark and ``b - 1`` evenly spaced tuples are kept on the driver (a few
-   thousand values at most, whatever the input size).
+1. **Split points.** A bounded sample of the sort values is sorted by
+   Spark and ``b - 1`` evenly spaced values are kept on the driver (at
+   most ``MAX_BUCKETS`` values, whatever the input size).
 2. **Buckets.** Each row gets the number of split points at or before it,
-   a CASE binary search over literals. The bucket id depends only on the
-   row's values, never on partitioning or task order, so a recomputed
-   task after an executor loss assigns the same bucket.
+   looked up in the split array (a coarse index, then one block). The
+   bucket depends only on the row's values, never on partitioning or task
+   order, so a task recomputed after an executor loss assigns the same
+   bucket.
 3. **Local numbers.** ``row_number`` / running sum inside each
    (partition keys, bucket) with an ordinary window: the exchange is
    hash-partitioned on the bucket, so the work is split ``b`` ways.
 4. **Offsets.** Rows per bucket, summed over earlier buckets, from an
    aggregate with at most ``b`` rows per partition key, joined back.
 
-Sort tuples are made total by a tie-break on the grain key, so buckets
+Sort orders are made total by a tie-break on the grain key, so buckets
 are balanced even when most rows share one sort value (a hot value is
 cut across buckets on the tie-break). RANK and DENSE_RANK depend only on
 the sort value: they are computed on the distinct values (one row per
@@ -26,9 +27,10 @@ value after map-side aggregation, however many rows share it) and joined
 back.
 
 The sample only decides balance, never the result: any split points
-give the same numbers. Inputs should be materialized first
-(``ledgerlens.operators.materialize``), because the sample and the final
-plan each read them.
+give the same numbers. When the counted input fits one bucket no sample
+is taken. Inputs should be materialized first
+(``ledgerlens.operators.materialize``), because the count, the sample
+and the final plan each read them.
 """
 
 from __future__ import annotations
@@ -46,6 +48,11 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 2048
 SAMPLE_PER_BUCKET = 40
 SAMPLE_SEED = 20240601
+# Splits are looked up in two steps: a coarse index (the first split of
+# every block of LOOKUP_BLOCK), then one block: at most
+# MAX_BUCKETS / LOOKUP_BLOCK + LOOKUP_BLOCK comparisons per row, with an
+# expression of constant size whatever the number of buckets.
+LOOKUP_BLOCK = 32
 
 
 @dataclass(frozen=True)
@@ -67,53 +74,69 @@ def desc(name: str) -> Key:
     return Key(name, False)
 
 
-def _after(key: Key, value) -> Column:
-    """Row's value sorts strictly after ``value`` under ``key``."""
-    c = F.col(key.name)
-    if key.ascending:                       # NULLS FIRST
-        if value is None:
-            return c.isNotNull()
-        return F.coalesce(c > F.lit(value), F.lit(False))
-    if value is None:                       # DESC NULLS LAST: nothing after NULL
-        return F.lit(False)
-    return c.isNull() | F.coalesce(c < F.lit(value), F.lit(False))
-
-
-def _at_or_after(keys: Sequence[Key], values: Sequence) -> Column:
-    """Lexicographic ``row >= split`` in the sort order of ``keys``."""
-    expr = None
-    for key, value in reversed(list(zip(keys, values))):
-        eq = F.col(key.name).eqNullSafe(F.lit(value))
-        if expr is None:
-            expr = _after(key, value) | eq
-        else:
-            expr = _after(key, value) | (eq & expr)
-    return expr
-
+def _sort_struct(df: DataFrame, keys: Sequence[Key]) -> Column:
+    """One struct whose ascending order is the order of ``keys``.
 
-def _bucket_expr(keys: Sequence[Key], splits: Sequence[tuple]) -> Column:
-    """Number of split points at or before the row (0 .. len(splits))."""
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(_at_or_after(keys, splits[mid - 1]), build(mid, hi)).otherwise(build(lo, mid - 1))
-    return build(0, len(splits)).cast(T.IntegerType())
+    Ascending keys are used as they are (a struct compares field by field,
+    NULL first, which is ASC NULLS FIRST). A descending numeric or date key
+    becomes (key IS NULL, -key): non-NULL values first, largest first,
+    NULLs last, which is DESC NULLS LAST."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    fields: list[Column] = []
+    for i, k in enumerate(keys):
+        c = F.col(k.name)
+        if k.ascending:
+            fields.append(c.alias(f"k{i}"))
+            continue
+        t = types[k.name]
+        if isinstance(t, T.DateType):
+            neg = -F.unix_date(c)
+        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+            neg = -F.unix_micros(c.cast(T.TimestampType()))
+        elif isinstance(t, T.NumericType):
+            neg = -c
+        else:
+            raise TypeError(f"descending order on {t.simpleString()} column {k.name} "
+                            "is not supported")
+        fields.append(c.isNull().alias(f"n{i}"))
+        fields.append(neg.alias(f"k{i}"))
+    return F.struct(*fields)
 
 
 @dataclass(frozen=True)
 class Splits:
-    """Split points for one total order over one input."""
+    """Split points for one total order over one input.
+
+    ``points`` are sorted values of the order's sort struct; a row's
+    bucket is the number of points at or before it (0 .. len(points))."""
     keys: tuple[Key, ...]
-    points: tuple[tuple, ...]
+    points: tuple
     n_rows: int
+    struct_type: T.StructType | None = None
 
     @property
     def buckets(self) -> int:
         return len(self.points) + 1
 
-    def bucket(self) -> Column:
-        return _bucket_expr(self.keys, self.points)
+    def with_bucket(self, df: DataFrame, name: str = "_b") -> DataFrame:
+        """``df`` with its bucket number in column ``name``."""
+        if not self.points:
+            return df.withColumn(name, F.lit(0).cast(T.IntegerType()))
+        spark = df.sparkSession
+        arr_type = T.ArrayType(self.struct_type, containsNull=False)
+        # the points travel as a one-row relation read by a scalar
+        # subquery: a constant array in the plan, fixed once chosen
+        arr = spark.createDataFrame([(list(self.points),)],
+                                    T.StructType([T.StructField("a", arr_type)])).scalar()
+        row = _sort_struct(df, self.keys)
+        b = LOOKUP_BLOCK
+        x = df.withColumn("_splits", arr)
+        coarse = F.filter("_splits", lambda v, i: i % b == 0)
+        x = x.withColumn("_c", F.size(F.filter(coarse, lambda v: v <= row)))
+        block = F.slice("_splits", (F.col("_c") - 1) * b + 1, F.lit(b))
+        within = F.size(F.filter(block, lambda v: v <= row))
+        bucket = F.when(F.col("_c") == 0, F.lit(0)).otherwise((F.col("_c") - 1) * b + within)
+        return x.withColumn(name, bucket.cast(T.IntegerType())).drop("_splits", "_c")
 
 
 def rows_per_bucket(spark) -> int:
@@ -141,20 +164,19 @@ def plan_splits(df: DataFrame, keys: Sequence[Key], n_rows: int | None = None,
         return Splits(keys, (), n_rows)
     want = buckets * SAMPLE_PER_BUCKET
     fraction = min(1.0, want / n_rows)
-    sample = (df.select(*[k.name for k in keys])
-              .sample(withReplacement=False, fraction=fraction, seed=SAMPLE_SEED)
-              .orderBy(*[k.sort_col() for k in keys])
-              .limit(2 * want)
-              .collect())
-    points: list[tuple] = []
+    sampled = (df.select(_sort_struct(df, keys).alias("sk"))
+               .sample(withReplacement=False, fraction=fraction, seed=SAMPLE_SEED))
+    struct_type = sampled.schema["sk"].dataType
+    sample = [r["sk"] for r in sampled.orderBy("sk").limit(2 * want).collect()]
+    points: list = []
     for i in range(1, buckets):
         idx = (i * len(sample)) // buckets
         if idx <= 0 or idx >= len(sample):
             continue
-        p = tuple(sample[idx])
-        if not points or points[-1] != p:
+        p = sample[idx]
+        if not points or tuple(points[-1]) != tuple(p):
             points.append(p)
-    return Splits(keys, tuple(points), n_rows)
+    return Splits(keys, tuple(points), n_rows, struct_type)
 
 
 def _prefix_sums(df: DataFrame, keys: Sequence[Key], partition_by: Sequence[str],
@@ -167,7 +189,7 @@ def _prefix_sums(df: DataFrame, keys: Sequence[Key], partition_by: Sequence[str]
     if splits is None:
         splits = plan_splits(df, all_keys)
     w_col = F.lit(1).cast(T.LongType()) if weight is None else weight
-    x = df.withColumn("_w", w_col).withColumn("_b", splits.bucket())
+    x = splits.with_bucket(df.withColumn("_w", w_col))
     local_w = (Window.partitionBy(*partition_by, "_b")
                .orderBy(*[k.sort_col() for k in keys])
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))

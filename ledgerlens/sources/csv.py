@@ -50,10 +50,10 @@ def read_sales_target(spark: SparkSession, path: str) -> DataFrame:
 
 def _convert(raw: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.DateType):
-        return F.try_to_date(raw, F.lit(ORDER_DATE_FORMAT))
+        return F.try_to_date(raw, ORDER_DATE_FORMAT)
     if isinstance(dtype, T.StringType):
         return raw
-    return F.try_cast(raw, dtype.simpleString())
+    return raw.try_cast(dtype)
 
 
 def read_with_rejects(spark: SparkSession, path: str,

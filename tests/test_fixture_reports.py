@@ -1,0 +1,148 @@
+"""Reports on the tiny fixture against hand-computed values."""
+
+import datetime as dt
+from decimal import Decimal as D
+
+from ledgerlens.plans import reports as R
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+def test_null_profile_details(tiny):
+    (r,) = rows(R.dq_nulls_details(tiny))
+    assert r == {"null_order_id": 0, "null_amount": 0, "null_profit": 0, "null_quantity": 0,
+                 "null_category": 0, "null_payment": 1}
+
+
+def test_orphans_and_bad_amounts(tiny):
+    assert rows(R.dq_orphan_details(tiny)) == [{"orphan_rows": 1}]
+    assert rows(R.dq_bad_amounts(tiny)) == [{"bad_amount_rows": 1}]
+
+
+def test_row_counts_and_duplicates(tiny):
+    assert {r["table_name"]: r["total_rows"] for r in rows(R.dq_row_counts(tiny))} == {
+        "order_list": 5, "order_details": 7, "sales_target": 5}
+    assert rows(R.dq_duplicate_orders(tiny)) == []
+
+
+def test_date_range(tiny):
+    assert rows(R.dq_date_range(tiny)) == [{
+        "earliest_order": dt.date(2018, 4, 1), "latest_order": dt.date(2019, 1, 2),
+        "total_days": 276}]
+
+
+def test_business_summary(tiny):
+    (r,) = rows(R.business_summary(tiny))
+    assert r == {
+        "total_orders": 4, "unique_customers": 3, "states_covered": 2, "cities_covered": 2,
+        "product_categories": 3, "sub_categories": 4, "total_units_sold": 10,
+        "total_revenue": D("475.01"), "total_profit": D("-14.99"),
+        "avg_order_value": D("79.17"), "overall_profit_margin_pct": D("-3.16"),
+        "loss_making_orders": 2}
+
+
+def test_monthly_trend_growth_with_zero_and_null_previous(tiny):
+    got = [(r["order_month"], r["total_revenue"], r["total_profit"], r["total_orders"],
+            r["profit_margin_pct"], r["prev_month_revenue"], r["mom_revenue_growth_pct"],
+            r["mom_profit_growth_pct"]) for r in rows(R.monthly_trend(tiny))]
+    assert got == [
+        ("2018-04-01", D("250.00"), D("25.00"), 2, D("10.00"), None, None, None),
+        ("2018-06-01", D("0.00"), D("0.00"), 1, None, D("250.00"), D("-100.00"), D("-100.00")),
+        ("2019-01-01", D("225.01"), D("-39.99"), 1, D("-17.77"), D("0.00"), None, None),
+    ]
+
+
+def test_ytd_restarts_each_calendar_year(tiny):
+    got = [(r["order_date"], r["ytd_revenue"], r["ytd_profit"])
+           for r in rows(R.ytd_running_totals(tiny))]
+    assert got == [(dt.date(2018, 4, 1), D("250.00"), D("25.00")),
+                   (dt.date(2018, 6, 15), D("250.00"), D("25.00")),
+                   (dt.date(2019, 1, 2), D("225.01"), D("-39.99"))]
+
+
+def test_target_vs_actual(tiny):
+    got = {(r["month"], r["category"]): (r["variance"], r["variance_pct"], r["target_status"])
+           for r in rows(R.target_vs_actual(tiny))}
+    assert got == {
+        ("Apr-18", "Clothing"): (D("-10.00"), D("-16.67"), "MISS ✗"),
+        ("Apr-18", "Furniture"): (D("0.00"), D("0.00"), "HIT ✓"),
+        ("Feb-19", "Furniture"): (D("-100.00"), D("-100.00"), "MISS ✗"),
+        ("Jan-19", "Furniture"): (D("50.00"), D("33.33"), "HIT ✓"),
+        ("Jun-18", "Clothing"): (D("0.00"), None, "HIT ✓"),
+    }
+
+
+def test_target_hit_rate_counts_add_up(tiny):
+    for r in rows(R.target_hit_rate(tiny)):
+        assert r["months_hit"] + r["months_missed"] == r["total_months"]
+    got = {r["category"]: r["hit_rate_pct"] for r in rows(R.target_hit_rate(tiny))}
+    assert got == {"Furniture": D("66.67"), "Clothing": D("50.00")}
+
+
+def test_pareto(tiny):
+    got = {r["sub_category"]: (r["cumulative_pct"], r["pareto_group"])
+           for r in rows(R.pareto_subcategories(tiny))}
+    assert got == {"Chairs": (D("63.16"), "Top 80% Revenue Drivers"),
+                   "Tables": (D("84.21"), "Remaining 20%"),
+                   "Saree": (D("94.73"), "Remaining 20%"),
+                   "Phones": (D("100.00"), "Remaining 20%")}
+
+
+def test_acquisition_counts_customers_without_lines(tiny):
+    got = [(r["acquisition_month"], r["new_customers"], r["cumulative_customers"])
+           for r in rows(R.customer_acquisition(tiny))]
+    assert got == [("2018-04-01", 1, 1), ("2018-06-01", 1, 2), ("2019-01-01", 2, 4)]
+
+
+def test_payment_shares(tiny):
+    got = {r["payment_mode"]: (r["pct_orders"], r["pct_revenue"])
+           for r in rows(R.payment_mode_performance(tiny))}
+    assert got == {"Card": (D("16.67"), D("42.10")), "UPI": (D("33.33"), D("42.10")),
+                   "COD": (D("33.33"), D("10.53")), None: (D("16.67"), D("5.27"))}
+
+
+def test_moving_average(tiny):
+    got = [r["moving_avg_3m"] for r in rows(R.profit_moving_average(tiny))]
+    assert got == [D("25.00"), D("12.50"), D("-5.00")]
+
+
+def test_loss_summary_counts_orphans(tiny):
+    assert rows(R.loss_summary(tiny)) == [{
+        "loss_order_count": 3, "loss_order_revenue": D("280.00"), "total_loss": D("-48.00"),
+        "loss_as_pct_of_revenue": D("9.50")}]
+
+
+def test_customer_grain(tiny):
+    assert R.clv_customers(tiny).count() == 4
+    assert R.rfm_segments(tiny).count() == 3
+    assert R.customer_leaderboard(tiny).count() == 4
+
+
+def test_market_entry_ties_broken_by_order_id(tiny):
+    got = {r["state"]: (r["order_id"], r["first_customer"])
+           for r in rows(R.market_entry_timeline(tiny))}
+    assert got == {"Goa": ("O1", "Asha"), "Kerala": ("O2", "Asha")}
+
+
+def test_cohort_retention(tiny):
+    got = [(r["cohort_month"], r["cohort_size"], r["month_index"], r["retention_rate_pct"])
+           for r in rows(R.cohort_retention(tiny))]
+    assert got == [("2018-04-01", 1, 0, D("100.00")), ("2018-06-01", 1, 0, D("100.00")),
+                   ("2019-01-01", 2, 0, D("100.00"))]
+
+
+def test_weekday_histogram(tiny):
+    got = {r["day_name"]: (r["order_count"], r["histogram"]) for r in rows(R.weekday_histogram(tiny))}
+    # 2018-04-01 Sunday (O1, O2), 2018-06-15 Friday, 2019-01-02 Wednesday (O4, O5)
+    assert got == {"Sunday": (2, "**"), "Friday": (1, "*"), "Wednesday": (2, "**")}
+
+
+def test_executive_view(tiny, spark):
+    df = R.executive_summary(tiny)
+    assert spark.catalog.tableExists(R.EXECUTIVE_VIEW)
+    got = [(r["month"], r["total_orders"], r["unique_customers"], r["active_states"],
+            r["loss_orders"]) for r in df.collect()]
+    assert got == [("2018-04-01", 2, 1, 2, 1), ("2018-06-01", 1, 1, 1, 0),
+                   ("2019-01-01", 1, 1, 1, 1)]
