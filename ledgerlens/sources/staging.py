@@ -9,10 +9,14 @@ loaded its tables before querying them:
 
     order_list     orders with customer, nation and region attributes
     order_details  lines with amount, profit and part attributes
-    sales_fact     order_list JOIN order_details ON order_id, written
-                   hash-partitioned on order_id (one file per partition;
-                   after a sort-merge join on order_id that partitioning
-                   already holds and costs no extra exchange)
+    sales_fact     order_list JOIN order_details ON order_id, with the
+                   lines of one order in one file: at scale that is the
+                   layout the sort-merge join on order_id produces (AQE
+                   splits a partition that a hot order makes too large),
+                   so it is written as the join leaves it; a small input
+                   (fewer splits than cores, so bounded in size) is
+                   broadcast-joined instead and is hash-partitioned on
+                   order_id before the write
     sales_target   the derived targets (small)
 
 Files go under the session's ``spark.checkpoint.dir`` (shared storage on
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.session import checkpoint_dir
 from ledgerlens.sources.schemas import DETAIL_COLUMNS, ORDER_COLUMNS, TARGET_COLUMNS
 from ledgerlens.sources.tables import SalesTables
-from ledgerlens.sources.warehouse import Warehouse
+from ledgerlens.sources.warehouse import Warehouse, is_small_input
 
 FACT_COLUMNS = ORDER_COLUMNS + [c for c in DETAIL_COLUMNS if c != "order_id"]
 
@@ -44,15 +48,16 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def stage_tables(spark: SparkSession, root: str, partitions: int | None = None) -> SalesTables:
+def stage_tables(spark: SparkSession, root: str) -> SalesTables:
     """Build the four staged tables from the warehouse under ``root``."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/staged-{uuid.uuid4().hex}"
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     w = Warehouse(spark, root)
     order_list = _write(w.orders(ORDER_COLUMNS), f"{base}/order_list")
     order_details = _write(w.details(DETAIL_COLUMNS), f"{base}/order_details")
-    fact = _write(order_list.join(order_details, "order_id").repartition(n, "order_id")
-                  .select(*FACT_COLUMNS), f"{base}/sales_fact")
+    fact = order_list.join(order_details, "order_id").select(*FACT_COLUMNS)
+    if is_small_input(w.table("lineitem")):
+        fact = fact.repartition(spark.sparkContext.defaultParallelism, "order_id")
+    fact = _write(fact, f"{base}/sales_fact")
     staged_w = SalesTables(order_list, order_details, sales_target=lambda: None, fact_table=fact)
     targets = _write(Warehouse.targets_from(staged_w).select(*TARGET_COLUMNS),
                      f"{base}/sales_target")

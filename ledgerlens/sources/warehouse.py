@@ -52,6 +52,14 @@ PROFIT_TYPE = T.DecimalType(13, 2)
 TARGET_TYPE = T.DecimalType(18, 2)
 
 
+def is_small_input(df: DataFrame) -> bool:
+    """True when a scan yields fewer input splits than the session has
+    cores. Its size is then bounded by cores x split size, so any layout
+    choice made for it (even one where a hot key fills a partition) only
+    concerns a bounded amount of data."""
+    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
