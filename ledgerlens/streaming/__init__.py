@@ -1,0 +1,8 @@
+"""Structured Streaming.
+
+Empty on purpose: the analysis this library reproduces is batch only (no
+stream, watermark, time window or state in any of its statements), so
+there is no streaming operator to rebuild. Every report is a batch
+DataFrame; a caller who receives order lines continuously can stage new
+files and rerun the reports.
+"""
