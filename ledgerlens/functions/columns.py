@@ -87,6 +87,17 @@ def month_label(d) -> Column:
     return F.date_format(_c(d), "MMM-yy")
 
 
+def month_label_start(label) -> Column:
+    """First day of the month named by an ``MMM-yy`` label, for sorting
+    labels chronologically. Two-digit years 70-99 are 1970-1999 and 00-69
+    are 2000-2069."""
+    lab = _c(label)
+    mon = F.month(F.to_date(F.concat(F.substring(lab, 1, 3), F.lit("-2000")), "MMM-yyyy"))
+    yy = F.substring(lab, 5, 2).cast(T.IntegerType())
+    year = F.when(yy >= 70, yy + 1900).otherwise(yy + 2000)
+    return F.make_date(year, mon, F.lit(1))
+
+
 def day_name(d) -> Column:
     """Full English weekday name, e.g. ``Sunday``."""
     return F.date_format(_c(d), "EEEE")

@@ -49,26 +49,37 @@ def rfm_segment(r: Column, f: Column, m: Column) -> Column:
             .otherwise(L.RFM_NEEDS_ATTENTION))
 
 
-def rfm_scores(fact: DataFrame, as_of: str = L.RFM_AS_OF, k: int = 4) -> DataFrame:
-    """Per customer name: last purchase, frequency (distinct orders),
+SCORE_ORDERS = ("as_computed", "best_is_high")
+
+
+def rfm_scores(fact: DataFrame, as_of: str = L.RFM_AS_OF, k: int = 4,
+               score_order: str = "as_computed",
+               grain: Sequence[str] = ("customer_name",)) -> DataFrame:
+    """Per customer (``grain``): last purchase, frequency (distinct orders),
     monetary (revenue) and NTILE(k) scores.
 
-    r_score orders by days since ``as_of`` ascending (most recent first),
-    f_score by frequency and m_score by monetary, both descending; ties
-    are broken by customer name. Score 1 is therefore the *best* quartile
-    on each axis, as computed (the segment rules read it the other way).
+    ``score_order="as_computed"`` (default) orders r_score by days since
+    ``as_of`` ascending (most recent first), f_score by frequency and
+    m_score by monetary, both descending, so score 1 is the *best*
+    quartile on each axis, as the original computes it (its segment
+    rules read the scores the other way). ``"best_is_high"`` reverses the
+    three orders so that score ``k`` is the best. Ties are broken by the
+    grain columns ascending.
     """
-    base = (fact.groupBy("customer_name")
+    if score_order not in SCORE_ORDERS:
+        raise ValueError(f"score_order must be one of {SCORE_ORDERS}")
+    base = (fact.groupBy(*grain)
             .agg(F.max("order_date").alias("last_purchase_date"),
                  F.count_distinct("order_id").cast(T.LongType()).alias("frequency"),
                  F.round(F.sum("amount"), 2).cast(MONEY).alias("monetary"))
             .withColumn("days_since_as_of",
                         F.datediff(F.lit(as_of).cast(T.DateType()), "last_purchase_date")))
+    best_high = score_order == "best_is_high"
     return quartile_scores(base, {
-        "r_score": [asc("days_since_as_of")],
-        "f_score": [desc("frequency")],
-        "m_score": [desc("monetary")],
-    }, k=k)
+        "r_score": [desc("days_since_as_of") if best_high else asc("days_since_as_of")],
+        "f_score": [asc("frequency") if best_high else desc("frequency")],
+        "m_score": [asc("monetary") if best_high else desc("monetary")],
+    }, k=k, grain=grain)
 
 
 def clv_segment(q: Column) -> Column:
@@ -90,11 +101,15 @@ def share_of_grand_total(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def leaderboard(base: DataFrame, value: str = "total_revenue", partition: str = "state",
-                overall: str = "overall_rank", within: str = "rank_in_state") -> DataFrame:
+                overall: str = "overall_rank", within: str = "rank_in_state",
+                share: str | None = None) -> DataFrame:
     """RANK over all rows and DENSE_RANK within ``partition``, both by
-    ``value`` descending."""
+    ``value`` descending; optionally ``share``: value in percent of the
+    grand total (a one-row scalar subquery over the materialized input)."""
     base = materialize(base, "leaderboard-input")
     n_rows = base.count()
+    if share:
+        base = share_of_grand_total(base, value, share)
     ranked = with_rank(base, [desc(value)], overall, n_rows=n_rows)
     return with_rank(ranked, [desc(value)], within, partition_by=[partition], dense=True,
                      n_rows=n_rows)

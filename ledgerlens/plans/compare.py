@@ -29,7 +29,7 @@ def duckdb_connection(sf_dir: str):
 
 def _norm(v):
     if isinstance(v, Decimal):
-        return ("dec", format(v.normalize(), "f") if v == v.to_integral() or True else str(v))
+        return ("dec", format(v.normalize(), "f"))
     if isinstance(v, (dt.date, dt.datetime)):
         return ("date", v.isoformat())
     if isinstance(v, float):

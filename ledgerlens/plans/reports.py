@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.columns import (
-    MONEY, day_name, day_of_week, growth_pct, mean, money, month_key, month_start, pct_of,
-    ratio_pct,
+    MONEY, day_name, day_of_week, growth_pct, mean, money, month_key, month_label_start,
+    month_start, pct_of, ratio_pct,
 )
 from ledgerlens.operators import customers as C
 from ledgerlens.operators import measures as M
 from ledgerlens.operators import quality as Q
 from ledgerlens.operators import windows as W
+from ledgerlens.operators.histogram import text_histogram
 from ledgerlens.operators.targets import actual_by_month_label, target_attainment
 from ledgerlens.plans import labels as L
 from ledgerlens.sources.tables import SalesTables
@@ -167,7 +168,9 @@ def _target_rows(t: SalesTables) -> DataFrame:
                              [("month_of_order_date", "sale_month"), ("category", "category")])
 
 
-def target_vs_actual(t: SalesTables) -> DataFrame:
+def target_vs_actual(t: SalesTables, sort_by_month: bool = False) -> DataFrame:
+    """Sorted by month label text, as originally (Apr, Aug, Dec, ...);
+    ``sort_by_month`` sorts chronologically instead."""
     x = _target_rows(t)
     return (x.select(
         F.col("month_of_order_date").alias("month"), "category",
@@ -177,7 +180,7 @@ def target_vs_actual(t: SalesTables) -> DataFrame:
         growth_pct("actual_revenue", "target").alias("variance_pct"),
         F.when(F.col("actual_revenue") >= F.col("target"), L.TARGET_HIT)
          .otherwise(L.TARGET_MISS).alias("target_status"))
-        .orderBy("month", "category"))
+        .orderBy(month_label_start("month") if sort_by_month else F.col("month"), "category"))
 
 
 def target_hit_rate(t: SalesTables) -> DataFrame:
@@ -272,14 +275,17 @@ def pareto_subcategories(t: SalesTables, threshold: int = 80) -> DataFrame:
 
 # ------------------------------------------------------------------ customers
 
-def top_customers(t: SalesTables, n: int = 10) -> DataFrame:
-    fact = t.fact(["customer_name", "state", "city", "order_date"], LINE)
-    x = M.measures(fact, ["customer_name", "state", "city"], [
+CUSTOMER_PLACE = ("customer_name", "state", "city")
+
+
+def top_customers(t: SalesTables, n: int = 10, grain: tuple = CUSTOMER_PLACE) -> DataFrame:
+    fact = t.fact([*grain, "order_date"], LINE)
+    x = M.measures(fact, list(grain), [
         M.orders("total_orders"), M.units("total_units"), M.revenue("total_spent"),
         M.profit("profit_generated"), M.avg_line_value("avg_order_value"),
         F.min("order_date").alias("first_purchase"), F.max("order_date").alias("last_purchase")])
     # distributed top-k: each task keeps its best n, the driver merges them
-    return x.orderBy(F.desc("total_spent"), "customer_name", "state", "city").limit(n)
+    return x.orderBy(F.desc("total_spent"), *grain).limit(n)
 
 
 def customer_acquisition(t: SalesTables) -> DataFrame:
@@ -296,19 +302,23 @@ def _max_order_date(t: SalesTables):
     return t.orders("order_date").agg(F.max("order_date")).scalar()
 
 
-def rfm_segments(t: SalesTables) -> DataFrame:
-    scored = C.rfm_scores(t.fact(["customer_name", "order_date"], ["amount"]))
+def rfm_segments(t: SalesTables, score_order: str = "as_computed",
+                 grain: tuple = ("customer_name",)) -> DataFrame:
+    scored = C.rfm_scores(t.fact([*grain, "order_date"], ["amount"]), score_order=score_order,
+                          grain=grain)
     return (scored.select(
-        "customer_name",
+        *grain,
         F.datediff(_max_order_date(t), "last_purchase_date").cast(T.LongType()).alias("recency_days"),
         "frequency", "monetary", "r_score", "f_score", "m_score",
         (F.col("r_score") + F.col("f_score") + F.col("m_score")).alias("rfm_total"),
         C.rfm_segment(F.col("r_score"), F.col("f_score"), F.col("m_score")).alias("customer_segment"))
-        .orderBy(F.desc("rfm_total"), "customer_name"))
+        .orderBy(F.desc("rfm_total"), *grain))
 
 
-def rfm_segment_summary(t: SalesTables) -> DataFrame:
-    scored = C.rfm_scores(t.fact(["customer_name", "order_date"], ["amount"]))
+def rfm_segment_summary(t: SalesTables, score_order: str = "as_computed",
+                        grain: tuple = ("customer_name",)) -> DataFrame:
+    scored = C.rfm_scores(t.fact([*grain, "order_date"], ["amount"]), score_order=score_order,
+                          grain=grain)
     seg = scored.withColumn("customer_segment",
                             C.rfm_segment(F.col("r_score"), F.col("f_score"), F.col("m_score")))
     x = seg.groupBy("customer_segment").agg(
@@ -444,9 +454,9 @@ def loss_summary(t: SalesTables) -> DataFrame:
 
 # ------------------------------------------------------- customer lifetime
 
-def clv_customers(t: SalesTables) -> DataFrame:
-    grain = ["customer_name", "state", "city"]
-    fact = t.fact([*grain[1:], "customer_name", "order_date"], ["amount", "profit"])
+def clv_customers(t: SalesTables, grain: tuple = CUSTOMER_PLACE) -> DataFrame:
+    grain = list(grain)
+    fact = t.fact([*grain, "order_date"], ["amount", "profit"])
     base = M.measures(fact, grain, [
         M.orders("total_orders"), M.revenue("total_spent"), M.profit("profit_generated"),
         F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order"),
@@ -454,17 +464,17 @@ def clv_customers(t: SalesTables) -> DataFrame:
     base = base.withColumn("lifespan_days",
                            F.datediff("last_order", "first_order").cast(T.LongType()))
     x = C.clv_quartiles(base, grain)
-    return (x.select("customer_name", "state", "city", "total_orders", "total_spent",
+    return (x.select(*grain, "total_orders", "total_spent",
                      "profit_generated", "first_order", "last_order", "lifespan_days",
                      "avg_order_value", "clv_quartile",
                      C.clv_segment(F.col("clv_quartile")).alias("clv_segment"))
             .orderBy(F.desc("total_spent"), *grain))
 
 
-def clv_segment_summary(t: SalesTables) -> DataFrame:
-    fact = t.fact(["customer_name"], ["amount"])
-    base = M.measures(fact, ["customer_name"], [M.revenue("total_spent")])
-    x = C.clv_quartiles(base, ["customer_name"])
+def clv_segment_summary(t: SalesTables, grain: tuple = ("customer_name",)) -> DataFrame:
+    fact = t.fact(list(grain), ["amount"])
+    base = M.measures(fact, list(grain), [M.revenue("total_spent")])
+    x = C.clv_quartiles(base, list(grain))
     s = x.groupBy("clv_quartile").agg(
         F.count(F.lit(1)).cast(T.LongType()).alias("customers"),
         money(F.sum("total_spent")).alias("total_revenue"),
@@ -486,15 +496,15 @@ def cohort_retention(t: SalesTables, max_index: int = 11) -> DataFrame:
 
 # ----------------------------------------------------------- leaderboards
 
-def customer_leaderboard(t: SalesTables) -> DataFrame:
-    fact = t.fact(["customer_name", "state"], ["amount", "profit"])
-    base = M.measures(fact, ["customer_name", "state"], [
-        M.revenue("total_revenue"), M.profit("total_profit")])
-    x = C.leaderboard(base, "total_revenue", "state")
-    x = C.share_of_grand_total(x, "total_revenue", "revenue_share_pct")
-    return (x.select("customer_name", "state", "total_revenue", "total_profit", "overall_rank",
+def customer_leaderboard(t: SalesTables, grain: tuple = ("customer_name", "state")) -> DataFrame:
+    """Customer grain must include ``state`` (the in-state rank's partition)."""
+    grain = list(grain)
+    fact = t.fact(grain, ["amount", "profit"])
+    base = M.measures(fact, grain, [M.revenue("total_revenue"), M.profit("total_profit")])
+    x = C.leaderboard(base, "total_revenue", "state", share="revenue_share_pct")
+    return (x.select(*grain, "total_revenue", "total_profit", "overall_rank",
                      "rank_in_state", "revenue_share_pct")
-            .orderBy("overall_rank", "customer_name", "state"))
+            .orderBy("overall_rank", *grain))
 
 
 def category_mom_growth(t: SalesTables) -> DataFrame:
@@ -511,13 +521,11 @@ def weekday_histogram(t: SalesTables, orders_per_mark: int = 1) -> DataFrame:
     ``orders_per_mark`` orders (1 = one mark per order, as originally
     written; a bar longer than a string can hold needs a coarser unit)."""
     orders = t.orders("order_id", "order_date")
-    x = orders.groupBy(day_name("order_date").alias("day_name"),
-                       day_of_week("order_date").alias("_dow")).agg(
-        F.count_distinct("order_id").cast(T.LongType()).alias("order_count"))
-    bar = F.repeat(F.lit(L.HISTOGRAM_MARK),
-                   F.floor(F.col("order_count") / orders_per_mark).cast(T.IntegerType()))
-    return x.select("day_name", "order_count", bar.alias("histogram"), "_dow").orderBy(
-        "_dow").drop("_dow")
+    x = text_histogram(orders, [day_name("order_date").alias("day_name"),
+                                day_of_week("order_date").alias("_dow")],
+                       F.count_distinct("order_id"), L.HISTOGRAM_MARK,
+                       count_name="order_count", bar_name="histogram", unit=orders_per_mark)
+    return x.orderBy("_dow").drop("_dow")
 
 
 # -------------------------------------------------------- executive summary

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.sources import schemas
+from ledgerlens.sources.tables import SalesTables
 
 ORDER_DATE_FORMAT = "dd-MM-yyyy"
 
@@ -48,6 +49,13 @@ def read_sales_target(spark: SparkSession, path: str) -> DataFrame:
     return _reader(spark, schemas.SALES_TARGET).csv(path)
 
 
+def read_sales_tables(spark: SparkSession, orders_path: str, details_path: str,
+                      targets_path: str) -> SalesTables:
+    """The three CSV files as one bundle for the reports (strict load)."""
+    return SalesTables(read_order_list(spark, orders_path), read_order_details(spark, details_path),
+                       read_sales_target(spark, targets_path))
+
+
 def _convert(raw: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.DateType):
         return F.try_to_date(raw, ORDER_DATE_FORMAT)
