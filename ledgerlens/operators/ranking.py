@@ -27,8 +27,10 @@ value after map-side aggregation, however many rows share it) and joined
 back.
 
 The sample only decides balance, never the result: any split points
-give the same numbers. When the counted input fits one bucket no sample
-is taken. Inputs should be materialized first
+give the same numbers. When the counted input fits one task
+(``rows_per_bucket``) no sample is taken and the plain window is used: its
+single task then provably holds at most that many rows. Inputs should be
+materialized first
 (``ledgerlens.operators.materialize``), because the count, the sample
 and the final plan each read them.
 """
@@ -213,15 +215,26 @@ def with_row_number(df: DataFrame, order: Sequence[Key], name: str = "row_number
     """ROW_NUMBER() OVER (PARTITION BY partition_by ORDER BY order).
 
     ``order`` must be a total order (end it with the grain key)."""
+    splits = splits or plan_splits(df, [*[asc(p) for p in partition_by], *order])
+    if splits.buckets == 1:
+        return df.withColumn(name, F.row_number().over(_one_task(order, partition_by)).cast(T.LongType()))
     return _prefix_sums(df, order, partition_by, None, name, splits).drop("_n")
 
 
+def _one_task(order: Sequence[Key], partition_by: Sequence[str]):
+    """The plain window, used only when the counted input fits one task."""
+    return Window.partitionBy(*partition_by).orderBy(*[k.sort_col() for k in order])
+
+
 def with_ntile(df: DataFrame, k: int, order: Sequence[Key], name: str = "ntile",
                partition_by: Sequence[str] = (), splits: Splits | None = None) -> DataFrame:
     """NTILE(k) OVER (PARTITION BY partition_by ORDER BY order).
 
     With N rows, q = N div k and r = N mod k, the first r tiles hold
     q + 1 rows and the rest q, as in SQL."""
+    splits = splits or plan_splits(df, [*[asc(p) for p in partition_by], *order])
+    if splits.buckets == 1:
+        return df.withColumn(name, F.ntile(k).over(_one_task(order, partition_by)).cast(T.LongType()))
     x = _prefix_sums(df, order, partition_by, None, "_rn", splits)
     x = x.withColumn("_q", F.expr(f"_n div {int(k)}")).withColumn("_r", F.expr(f"_n % {int(k)}"))
     tile = F.expr("CASE WHEN _rn <= _r * (_q + 1) THEN (_rn + _q) div (_q + 1) "
@@ -244,6 +257,9 @@ def with_rank(df: DataFrame, order: Sequence[Key], name: str = "rank",
     distinct_vals = df.groupBy(*vals).agg(F.count(F.lit(1)).alias("_cnt"))
     # distinct values are never more than the rows: n_rows bounds them
     splits = plan_splits(distinct_vals, [*[asc(p) for p in partition_by], *order], n_rows=n_rows)
+    if splits.buckets == 1 and n_rows is not None:
+        fn = F.dense_rank if dense else F.rank
+        return df.withColumn(name, fn().over(_one_task(order, partition_by)).cast(T.LongType()))
     if dense:
         ranked = _prefix_sums(distinct_vals, order, partition_by, None, name, splits)
     else:
