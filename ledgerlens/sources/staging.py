@@ -10,13 +10,14 @@ loaded its tables before querying them:
     order_list     orders with customer, nation and region attributes
     order_details  lines with amount, profit and part attributes
     sales_fact     order_list JOIN order_details ON order_id, with the
-                   lines of one order in one file: at scale that is the
-                   layout the sort-merge join on order_id produces (AQE
-                   splits a partition that a hot order makes too large),
-                   so it is written as the join leaves it; a small input
-                   (fewer splits than cores, so bounded in size) is
-                   broadcast-joined instead and is hash-partitioned on
-                   order_id before the write
+                   lines of one order in one file, so COUNT(DISTINCT
+                   order_id) collapses them before any exchange. At scale
+                   that is the layout the sort-merge join on order_id
+                   produces (AQE splits a partition that a hot order makes
+                   too large); a small input (fewer splits than cores, so
+                   bounded in size) is hash-partitioned on the order key
+                   at its scan (``warehouse.by_order_key``) and keeps that
+                   layout through the broadcast joins
     sales_target   the derived targets (small)
 
 Files go under the session's ``spark.checkpoint.dir`` (shared storage on
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.session import checkpoint_dir
 from ledgerlens.sources.schemas import DETAIL_COLUMNS, ORDER_COLUMNS, TARGET_COLUMNS
 from ledgerlens.sources.tables import SalesTables
-from ledgerlens.sources.warehouse import Warehouse, is_small_input
+from ledgerlens.sources.warehouse import Warehouse
 
 FACT_COLUMNS = ORDER_COLUMNS + [c for c in DETAIL_COLUMNS if c != "order_id"]
 
@@ -54,16 +55,20 @@ def stage_tables(spark: SparkSession, root: str) -> SalesTables:
     w = Warehouse(spark, root)
     order_list = _write(w.orders(ORDER_COLUMNS), f"{base}/order_list")
     order_details = _write(w.details(DETAIL_COLUMNS), f"{base}/order_details")
-    fact = order_list.join(order_details, "order_id").select(*FACT_COLUMNS)
-    if is_small_input(w.table("lineitem")):
-        fact = fact.repartition(spark.sparkContext.defaultParallelism, "order_id")
-    fact = _write(fact, f"{base}/sales_fact")
+    fact = _write(order_list.join(order_details, "order_id").select(*FACT_COLUMNS),
+                  f"{base}/sales_fact")
     staged_w = SalesTables(order_list, order_details, sales_target=lambda: None, fact_table=fact)
     targets = _write(Warehouse.targets_from(staged_w).select(*TARGET_COLUMNS),
                      f"{base}/sales_target")
     return SalesTables(order_list, order_details, targets, fact_table=fact)
 
 
+def use_staged(spark: SparkSession, root: str, tables: SalesTables) -> None:
+    """Make ``tables`` the staged tables of ``root`` in this application."""
+    with _lock:
+        _staged[(spark.sparkContext.applicationId, root.rstrip("/"))] = tables
+
+
 def staged_tables(spark: SparkSession, root: str) -> SalesTables:
     """Staged tables for ``root``, built on first use in this application."""
     key = (spark.sparkContext.applicationId, root.rstrip("/"))

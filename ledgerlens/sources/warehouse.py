@@ -60,10 +60,22 @@ def is_small_input(df: DataFrame) -> bool:
     return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
 
 
+def by_order_key(df: DataFrame, key: str) -> DataFrame:
+    """A small scan (see ``is_small_input``) hash-partitioned on its order
+    key over the session's cores: per-line work runs on every core and
+    each order's rows stay together. Other scans are returned unchanged
+    (they are already read by many tasks; at scale the join on the order
+    key partitions them)."""
+    if is_small_input(df):
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    return df
+
+
 class Warehouse:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, spread_small: bool = True):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.spread_small = spread_small
         self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -84,7 +96,10 @@ class Warehouse:
         need_customer = bool({"customer_name", "state", "city"} & set(cols))
         need_nation = bool({"state", "city"} & set(cols))
         need_region = "state" in cols
-        o = self.table("orders").select(
+        orders = self.table("orders")
+        if self.spread_small:
+            orders = by_order_key(orders, "o_orderkey")
+        o = orders.select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_orderdate").cast(T.DateType()).alias("order_date"),
             F.col("o_custkey"))
@@ -110,6 +125,8 @@ class Warehouse:
             raise ValueError(f"not an order_details column: {sorted(unknown)}")
         need_part = bool({"profit", "category", "sub_category"} & set(cols))
         li = self.table("lineitem")
+        if self.spread_small:
+            li = by_order_key(li, "l_orderkey")
         amount = F.round(
             F.col("l_extendedprice").cast(AMOUNT_TYPE)
             * (F.lit(1).cast(T.DecimalType(3, 2)) - F.col("l_discount").cast(T.DecimalType(3, 2))),
