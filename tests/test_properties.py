@@ -1,0 +1,94 @@
+"""Properties of the reports on the mapped warehouse data (sf0.01) and a
+property-based check of the bucketed ranking."""
+
+from decimal import Decimal as D
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ledgerlens.operators import ranking as RK
+from ledgerlens.plans import reports as R
+from ledgerlens.sources.staging import staged_tables
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def t(spark):
+    return staged_tables(spark, SF)
+
+
+def test_shares_sum_to_100(t):
+    for report, col in [(R.category_performance, "revenue_share_pct"),
+                        (R.payment_mode_performance, "pct_revenue"),
+                        (R.payment_mode_performance, "pct_orders"),
+                        (R.clv_segment_summary, "pct_revenue"),
+                        (R.rfm_segment_summary, "pct_customers")]:
+        vals = [r[col] for r in report(t).collect()]
+        assert abs(sum(vals) - D(100)) <= D("0.01") * len(vals), (report.__name__, col)
+
+
+def test_last_running_total_is_the_total(t):
+    rows = R.ytd_running_totals(t).collect()
+    by_year = {}
+    for r in rows:
+        by_year.setdefault(r["order_date"].year, []).append(r)
+    for year_rows in by_year.values():
+        assert year_rows[-1]["ytd_revenue"] == sum(r["daily_revenue"] for r in year_rows)
+    acq = R.customer_acquisition(t).collect()
+    assert acq[-1]["cumulative_customers"] == sum(r["new_customers"] for r in acq)
+
+
+def test_quartile_sizes_differ_by_at_most_one(t):
+    sizes = [r["customers"] for r in R.clv_segment_summary(t).collect()]
+    assert len(sizes) == 4 and max(sizes) - min(sizes) <= 1
+    clv = R.clv_customers(t).groupBy("clv_quartile").count().collect()
+    counts = [r["count"] for r in clv]
+    assert max(counts) - min(counts) <= 1
+
+
+def test_retention_index_zero_is_full(t):
+    for r in R.cohort_retention(t).where("month_index = 0").collect():
+        assert r["retention_rate_pct"] == D("100.00")
+        assert r["active_customers"] == r["cohort_size"]
+
+
+def test_pareto_is_monotone(t):
+    rows = R.pareto_subcategories(t).collect()
+    pcts = [r["cumulative_pct"] for r in rows]
+    assert pcts == sorted(pcts) and pcts[-1] == D("100.00")
+    groups = [r["pareto_group"] for r in rows]
+    n_top = groups.count("Top 80% Revenue Drivers")
+    assert groups[:n_top] == ["Top 80% Revenue Drivers"] * n_top
+
+
+def test_leaderboard_rank_consistent(t):
+    rows = sorted(R.customer_leaderboard(t).collect(), key=lambda r: r["overall_rank"])
+    for a, b in zip(rows, rows[1:]):
+        assert a["total_revenue"] >= b["total_revenue"]
+        if a["total_revenue"] == b["total_revenue"]:
+            assert a["overall_rank"] == b["overall_rank"]
+
+
+values = st.lists(st.tuples(st.one_of(st.none(), st.integers(-3, 3)),
+                            st.sampled_from(["x", "y", "z"])), min_size=0, max_size=60)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(rows=values, k=st.integers(1, 6))
+def test_bucketed_ranking_matches_windows(spark, rows, k):
+    data = [(f"n{i:03d}", g, v) for i, (v, g) in enumerate(rows)]
+    df = spark.createDataFrame(data, "name string, g string, v int")
+    w = Window.orderBy(F.desc("v"), F.asc("name"))
+    ref = {r["name"]: (r["t"], r["rk"], r["dr"]) for r in df.select(
+        "name", F.ntile(k).over(w).alias("t"),
+        F.rank().over(Window.partitionBy("g").orderBy(F.desc("v"))).alias("rk"),
+        F.dense_rank().over(Window.orderBy(F.asc("v"))).alias("dr")).collect()}
+    x = RK.with_ntile(df, k, [RK.desc("v"), RK.asc("name")], "t")
+    x = RK.with_rank(x, [RK.desc("v")], "rk", partition_by=["g"])
+    x = RK.with_rank(x, [RK.asc("v")], "dr", dense=True)
+    got = {r["name"]: (r["t"], r["rk"], r["dr"]) for r in x.collect()}
+    assert got == ref
