@@ -132,15 +132,17 @@ def cohort_retention(orders: DataFrame, max_index: int = 11) -> DataFrame:
     month indexes 0..max_index, with the cohort's size.
 
     Every customer is active in its own cohort month, so the cohort size
-    is the index-0 count; no second pass over customers is needed."""
+    is the index-0 count, read with a window over the (cohort, index)
+    cells, a table bounded by months x months, whatever the number of
+    customers; no second pass over customers is needed."""
     act = activity_months(orders).withColumn(
         "month_index", F.months_between("activity_month", "cohort_month").cast(T.LongType()))
     cells = (act.groupBy("cohort_month", "month_index")
-             .agg(F.count(F.lit(1)).cast(T.LongType()).alias("active_customers")))
-    sizes = (cells.where(F.col("month_index") == 0)
-             .select("cohort_month", F.col("active_customers").alias("cohort_size")))
-    return (cells.where(F.col("month_index").between(0, max_index))
-            .join(sizes, "cohort_month")
+             .agg(F.count("customer_name").cast(T.LongType()).alias("active_customers")))
+    size = F.max(F.when(F.col("month_index") == 0, F.col("active_customers"))).over(
+        Window.partitionBy("cohort_month"))
+    return (cells.withColumn("cohort_size", size)
+            .where(F.col("month_index").between(0, max_index))
             .withColumn("retention_rate_pct", pct_of(F.col("active_customers"), F.col("cohort_size"))))
 
 
