@@ -49,7 +49,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     session without the setting is an error: a machine-local folder would
     not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:   # Spark Connect: only the configuration is visible
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current

@@ -57,7 +57,10 @@ def is_small_input(df: DataFrame) -> bool:
     cores. Its size is then bounded by cores x split size, so any layout
     choice made for it (even one where a hot key fills a partition) only
     concerns a bounded amount of data."""
-    return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    try:
+        return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    except Exception:   # e.g. a Spark Connect session exposes no RDD/SparkContext
+        return False
 
 
 def by_order_key(df: DataFrame, key: str) -> DataFrame:
