@@ -29,3 +29,14 @@ def test_entry_smoke(spark):
     df = entry(spark)
     assert df.count() > 0
     assert df.columns[0] == "month"
+
+
+@pytest.mark.parametrize("name", ["executive_summary", "business_summary", "target_vs_actual",
+                                  "rfm_segments", "customer_leaderboard", "cohort_retention",
+                                  "dq_orphan_details", "loss_summary"])
+def test_unstaged_warehouse_path_matches_oracle(spark, con, name):
+    """The direct (unstaged) mapping gives the same results as staging."""
+    from ledgerlens.plans.catalog import REPORTS
+    from ledgerlens.sources.warehouse import warehouse_tables
+    out = compare(name, REPORTS[name](warehouse_tables(spark, SF)), con, oracle_sql()[name])
+    assert out.ok and out.types_match, "\n".join(out.detail)
