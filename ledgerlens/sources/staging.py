@@ -63,6 +63,34 @@ def stage_tables(spark: SparkSession, root: str) -> SalesTables:
     return SalesTables(order_list, order_details, targets, fact_table=fact)
 
 
+def stage_csv_tables(spark: SparkSession, orders_path: str, details_path: str,
+                     targets_path: str, trim: bool = False
+                     ) -> tuple[SalesTables, dict[str, DataFrame]]:
+    """Load the three CSV files leniently and stage them like the warehouse.
+
+    Rows that fail to parse are not coerced: they are returned per table
+    as ``(raw_line, reason)`` rejects, so the caller can report or store
+    them. ``trim`` removes blanks around text values (``"Kerala "``).
+    Returns the staged tables and the rejects.
+    """
+    from ledgerlens.sources import schemas
+    from ledgerlens.sources.csv import clean_text, read_with_rejects
+
+    base = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/staged-csv-{uuid.uuid4().hex}"
+    loaded, rejects = {}, {}
+    for name, path, schema in [("order_list", orders_path, schemas.ORDER_LIST),
+                               ("order_details", details_path, schemas.ORDER_DETAILS),
+                               ("sales_target", targets_path, schemas.SALES_TARGET)]:
+        good, bad = read_with_rejects(spark, path, schema)
+        loaded[name] = _write(clean_text(good) if trim else good, f"{base}/{name}")
+        rejects[name] = bad
+    fact = _write(loaded["order_list"].join(loaded["order_details"], "order_id")
+                  .select(*FACT_COLUMNS), f"{base}/sales_fact")
+    tables = SalesTables(loaded["order_list"], loaded["order_details"], loaded["sales_target"],
+                         fact_table=fact)
+    return tables, rejects
+
+
 def use_staged(spark: SparkSession, root: str, tables: SalesTables) -> None:
     """Make ``tables`` the staged tables of ``root`` in this application."""
     with _lock:
