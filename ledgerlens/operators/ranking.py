@@ -205,7 +205,12 @@ def _prefix_sums(df: DataFrame, keys: Sequence[Key], partition_by: Sequence[str]
     if not partition_by:
         # at most splits.buckets rows: a proven bound, safe to broadcast
         offsets = F.broadcast(offsets)
-    out = local.join(offsets, [*partition_by, "_b"])
+    # NULL is a partition of its own in windows and aggregates, so the
+    # offsets join back null-safely on the partition columns
+    offsets = offsets.select(*[F.col(p).alias("_o_" + p) for p in partition_by],
+                             F.col("_b").alias("_o_b"), "_off", "_n")
+    cond = [F.col(p).eqNullSafe(F.col("_o_" + p)) for p in partition_by] + [F.col("_b") == F.col("_o_b")]
+    out = local.join(offsets, cond).drop(*["_o_" + p for p in partition_by], "_o_b")
     return out.withColumn(name, (F.col("_off") + F.col("_local")).cast(T.LongType())).drop(
         "_w", "_b", "_local", "_off")
 

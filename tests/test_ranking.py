@@ -21,7 +21,8 @@ def skewed(spark):
             v = None
         else:
             v = rnd.randint(0, 40)
-        rows.append((f"c{i:04d}", ["n", "s", "e", "w"][rnd.randint(0, 3)] if i % 2 else "n", v))
+        region = None if i % 17 == 0 else ["n", "s", "e", "w"][rnd.randint(0, 3)] if i % 2 else "n"
+        rows.append((f"c{i:04d}", region, v))
     return spark.createDataFrame(rows, "name string, region string, v int")
 
 
