@@ -1,6 +1,8 @@
 """Run reports and write their results.
 
     python -m ledgerlens --warehouse /path/to/parquet/dir --out /path/out [--report NAME ...]
+    python -m ledgerlens --warehouse DIR --stage-to /shared/staged          (load only)
+    python -m ledgerlens --staged /shared/staged --out /path/out            (reuse a load)
     python -m ledgerlens --orders o.csv --details d.csv --targets t.csv --out /path/out
 
 Each report is written to ``<out>/<report>`` in the chosen format
@@ -22,6 +24,8 @@ def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="ledgerlens", description=__doc__,
                                  formatter_class=argparse.RawDescriptionHelpFormatter)
     ap.add_argument("--warehouse", help="folder with the warehouse Parquet tables")
+    ap.add_argument("--stage-to", help="keep the staged tables in this (shared) folder")
+    ap.add_argument("--staged", help="open tables staged earlier with --stage-to")
     ap.add_argument("--orders", help="orders CSV")
     ap.add_argument("--details", help="order lines CSV")
     ap.add_argument("--targets", help="sales targets CSV")
@@ -37,13 +41,18 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     names = args.report or list(REPORTS)
     unknown = [n for n in names if n not in REPORTS]
-    if unknown or not args.out or not (args.warehouse or (args.orders and args.details and args.targets)):
+    has_input = args.staged or args.warehouse or (args.orders and args.details and args.targets)
+    if unknown or not has_input or not (args.out or args.stage_to):
         ap.error(f"unknown reports {unknown}" if unknown else
-                 "need --out and either --warehouse or --orders/--details/--targets")
+                 "need --out (or --stage-to) and one of --staged, --warehouse or "
+                 "--orders/--details/--targets")
     spark = build_session(args.master)
-    if args.warehouse:
-        from ledgerlens.sources.staging import staged_tables
-        tables = staged_tables(spark, args.warehouse)
+    if args.staged:
+        from ledgerlens.sources.staging import open_staged
+        tables = open_staged(spark, args.staged)
+    elif args.warehouse:
+        from ledgerlens.sources.staging import stage_tables
+        tables = stage_tables(spark, args.warehouse, location=args.stage_to)
     else:
         from ledgerlens.sources.staging import stage_csv_tables
         tables, rejects = stage_csv_tables(spark, args.orders, args.details, args.targets, args.trim)
@@ -51,6 +60,8 @@ def main(argv: list[str] | None = None) -> int:
             (bad.write.mode("overwrite").option("header", True)
              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
              .csv(f"{args.out}/_rejects/{table}"))
+    if not args.out:
+        return 0
     for name in names:
         w = REPORTS[name](tables).write.mode("overwrite").format(args.format)
         if args.format == "csv":   # keep values exactly, blanks included

@@ -49,9 +49,18 @@ def _write(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def stage_tables(spark: SparkSession, root: str) -> SalesTables:
-    """Build the four staged tables from the warehouse under ``root``."""
-    base = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/staged-{uuid.uuid4().hex}"
+STAGED_NAMES = ("order_list", "order_details", "sales_fact", "sales_target")
+
+
+def stage_tables(spark: SparkSession, root: str, location: str | None = None) -> SalesTables:
+    """Build the four staged tables from the warehouse under ``root``.
+
+    ``location`` names a folder (shared storage) to keep them in, so that
+    later applications can open them with ``open_staged`` instead of
+    staging again; by default a fresh folder under the checkpoint folder
+    is used. An existing ``location`` is not overwritten."""
+    base = (location.rstrip("/") if location else
+            f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/staged-{uuid.uuid4().hex}")
     w = Warehouse(spark, root)
     order_list = _write(w.orders(ORDER_COLUMNS), f"{base}/order_list")
     order_details = _write(w.details(DETAIL_COLUMNS), f"{base}/order_details")
@@ -91,6 +100,14 @@ def stage_csv_tables(spark: SparkSession, orders_path: str, details_path: str,
     return tables, rejects
 
 
+def open_staged(spark: SparkSession, location: str) -> SalesTables:
+    """Open tables staged earlier with ``stage_tables(..., location=...)``."""
+    base = location.rstrip("/")
+    t = {n: spark.read.parquet(f"{base}/{n}") for n in STAGED_NAMES}
+    return SalesTables(t["order_list"], t["order_details"], t["sales_target"],
+                       fact_table=t["sales_fact"])
+
+
 def use_staged(spark: SparkSession, root: str, tables: SalesTables) -> None:
     """Make ``tables`` the staged tables of ``root`` in this application."""
     with _lock:

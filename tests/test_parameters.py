@@ -87,3 +87,13 @@ def test_stage_csv_with_rejects_and_cli(spark, tmp_path):
     rows = list(pycsv.DictReader(part.open()))
     assert {r["state"] for r in rows} == {"Kerala ", "Goa"}
     assert next((out / "_rejects" / "order_list").glob("part-*.csv")).read_text().count("B-2") == 1
+
+
+def test_stage_once_open_later(spark, tmp_path):
+    from ledgerlens.sources.staging import open_staged, stage_tables
+    loc = str(tmp_path / "staged")
+    first = stage_tables(spark, "/root/testdata/sf0.001", location=loc)
+    again = open_staged(spark, loc)
+    a = sorted(tuple(r) for r in R.executive_summary(first).collect())
+    b = sorted(tuple(r) for r in R.executive_summary(again).collect())
+    assert a == b and len(a) > 0
