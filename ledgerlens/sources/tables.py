@@ -70,6 +70,18 @@ class SalesTables:
     def spark(self):
         return self.fact([], []).sparkSession
 
+    def register_views(self, prefix: str = "") -> list[str]:
+        """Register the tables as temporary views (``order_list``,
+        ``order_details``, ``sales_target``, ``sales_fact``) for ad-hoc
+        Spark SQL; returns the view names."""
+        views = {"order_list": self.order_list, "order_details": self.order_details,
+                 "sales_target": self.sales_target,
+                 "sales_fact": self.fact([c for c in self.order_list.columns if c != "order_id"],
+                                         [c for c in self.order_details.columns if c != "order_id"])}
+        for name, df in views.items():
+            df.createOrReplaceTempView(prefix + name)
+        return [prefix + n for n in views]
+
 
 def _dedupe(cols: Sequence[str]) -> list[str]:
     out: list[str] = []

@@ -40,7 +40,8 @@ from ledgerlens.functions.columns import month_label
 from ledgerlens.sources.schemas import DETAIL_COLUMNS, ORDER_COLUMNS, TARGET_COLUMNS, WAREHOUSE
 from ledgerlens.sources.tables import SalesTables
 
-# Fixed values of the target mapping.
+# Constants of this mapping (our own choice for the warehouse data, see the
+# module doc); the reports do not depend on them.
 EXTRA_TARGET_MONTH = "Jan-02"   # a month label with no sales
 EXTRA_TARGET_MONTH_NUMBER = 1
 TARGET_BASE = 80

@@ -97,3 +97,14 @@ def test_stage_once_open_later(spark, tmp_path):
     a = sorted(tuple(r) for r in R.executive_summary(first).collect())
     b = sorted(tuple(r) for r in R.executive_summary(again).collect())
     assert a == b and len(a) > 0
+
+
+def test_views_for_ad_hoc_sql(spark, tiny):
+    assert tiny.register_views("tiny_") == ["tiny_order_list", "tiny_order_details",
+                                            "tiny_sales_target", "tiny_sales_fact"]
+    got = {r.m: r.rev for r in spark.sql(
+        "SELECT date_format(order_date, 'yyyy-MM-01') AS m, SUM(amount) AS rev "
+        "FROM tiny_sales_fact GROUP BY 1").collect()}
+    want = {r.order_month: r.total_revenue for r in R.monthly_trend(tiny).collect()}
+    assert got == want
+    assert spark.sql("SELECT COUNT(*) FROM tiny_order_details").first()[0] == 7
