@@ -37,6 +37,7 @@ LINE = ("amount", "profit", "quantity")
 # --------------------------------------------------------------- data quality
 
 def dq_row_counts(t: SalesTables) -> DataFrame:
+    """Row count of each of the three tables (table_name, total_rows)."""
     return Q.row_counts({
         "order_list": t.orders("order_id"),
         "order_details": t.details("order_id"),
@@ -45,12 +46,14 @@ def dq_row_counts(t: SalesTables) -> DataFrame:
 
 
 def dq_nulls_orders(t: SalesTables) -> DataFrame:
+    """NULL count per column of order_list."""
     return Q.null_profile(t.orders("order_id", "order_date", "customer_name", "state", "city"), {
         "order_id": "null_order_id", "order_date": "null_order_date",
         "customer_name": "null_customer", "state": "null_state", "city": "null_city"})
 
 
 def dq_nulls_details(t: SalesTables) -> DataFrame:
+    """NULL count per column of order_details (sub_category not profiled)."""
     # sub_category is not profiled, as in the original checks
     return Q.null_profile(
         t.details("order_id", "amount", "profit", "quantity", "category", "payment_mode"), {
@@ -60,41 +63,51 @@ def dq_nulls_details(t: SalesTables) -> DataFrame:
 
 
 def dq_nulls_targets(t: SalesTables) -> DataFrame:
+    """NULL count per column of sales_target."""
     return Q.null_profile(t.sales_target, {
         "month_of_order_date": "null_month", "category": "null_category", "target": "null_target"})
 
 
 def dq_duplicate_orders(t: SalesTables) -> DataFrame:
+    """Order ids occurring more than once in order_list, with their count."""
     return Q.duplicate_keys(t.orders("order_id"), ["order_id"], "cnt")
 
 
 def dq_orphan_details(t: SalesTables) -> DataFrame:
+    """Order lines whose order id has no order (anti join), counted."""
     return Q.orphan_count(t.details("order_id"), t.orders("order_id"), ["order_id"])
 
 
 def dq_date_range(t: SalesTables) -> DataFrame:
+    """First and last order date and the days between them."""
     return Q.date_range(t.orders("order_date"), "order_date")
 
 
 def dq_distinct_category_pairs(t: SalesTables) -> DataFrame:
+    """Distinct (category, sub_category) of the order lines."""
     return Q.distinct_values(t.details("category", "sub_category"), ["category", "sub_category"])
 
 
 def dq_distinct_payment_modes(t: SalesTables) -> DataFrame:
+    """Distinct payment modes of the order lines."""
     return Q.distinct_values(t.details("payment_mode"), ["payment_mode"])
 
 
 def dq_distinct_target_categories(t: SalesTables) -> DataFrame:
+    """Distinct categories of the target table."""
     return Q.distinct_values(t.sales_target, ["category"])
 
 
 def dq_bad_amounts(t: SalesTables) -> DataFrame:
+    """Order lines with amount <= 0, counted."""
     return Q.count_rows_where(t.details("amount"), F.col("amount") <= 0, "bad_amount_rows")
 
 
 # ------------------------------------------------------------ overall summary
 
 def business_summary(t: SalesTables) -> DataFrame:
+    """One-row KPI set over the sales fact (orders, customers, states, cities, categories, units,
+    revenue, profit, mean line value, margin, loss lines)."""
     fact = t.fact(["customer_name", "state", "city"], ["category", "sub_category", *LINE])
     return fact.agg(
         M.orders("total_orders"),
@@ -114,6 +127,8 @@ def business_summary(t: SalesTables) -> DataFrame:
 # ------------------------------------------------------------------ trends
 
 def monthly_trend(t: SalesTables) -> DataFrame:
+    """Per month: revenue, profit, orders, units, margin, previous revenue and month-over-month
+    growth of revenue and profit."""
     fact = t.fact(["order_date"], ["amount", "profit", "quantity"])
     monthly = M.measures(fact, [month_start("order_date").alias("m")], [
         M.revenue("total_revenue"), M.profit("total_profit"), M.orders("total_orders"),
@@ -131,6 +146,7 @@ def monthly_trend(t: SalesTables) -> DataFrame:
 
 
 def quarterly_summary(t: SalesTables) -> DataFrame:
+    """Per calendar year and quarter: orders, revenue, profit, margin."""
     fact = t.fact(["order_date"], ["amount", "profit"])
     return (M.measures(fact, [F.year("order_date").cast(T.LongType()).alias("yr"),
                               F.quarter("order_date").cast(T.LongType()).alias("qtr")], [
@@ -140,6 +156,7 @@ def quarterly_summary(t: SalesTables) -> DataFrame:
 
 
 def day_of_week_performance(t: SalesTables) -> DataFrame:
+    """Per weekday: orders, revenue, profit, mean line value."""
     fact = t.fact(["order_date"], ["amount", "profit"])
     return (M.measures(fact, [day_name("order_date").alias("day_of_week"),
                               day_of_week("order_date").alias("day_num")], [
@@ -149,6 +166,7 @@ def day_of_week_performance(t: SalesTables) -> DataFrame:
 
 
 def ytd_running_totals(t: SalesTables) -> DataFrame:
+    """Per day: revenue and profit with running totals restarting each calendar year."""
     fact = t.fact(["order_date"], ["amount", "profit"])
     daily = M.measures(fact, ["order_date"], [M.revenue("daily_revenue"), M.profit("daily_profit")])
     daily = daily.withColumn("_yr", F.year("order_date"))
@@ -184,6 +202,7 @@ def target_vs_actual(t: SalesTables, sort_by_month: bool = False) -> DataFrame:
 
 
 def target_hit_rate(t: SalesTables) -> DataFrame:
+    """Per category: months at or above target, months below, and the hit rate."""
     x = _target_rows(t).withColumn(
         "status", F.when(F.col("actual_revenue") >= F.col("target"), L.HIT).otherwise(L.MISS))
     hits = M.count_where(F.col("status") == L.HIT, "months_hit")
@@ -196,6 +215,7 @@ def target_hit_rate(t: SalesTables) -> DataFrame:
 
 
 def target_overall(t: SalesTables) -> DataFrame:
+    """Total target, total actual, their difference and the difference in percent of target."""
     x = _target_rows(t)
     sums = x.agg(F.sum("target").alias("_t"), F.sum("actual_revenue").alias("_a"))
     return sums.select(
@@ -206,6 +226,7 @@ def target_overall(t: SalesTables) -> DataFrame:
 
 
 def target_best_months(t: SalesTables) -> DataFrame:
+    """Per month label: summed target, actual, variance, variance in percent, rank by variance."""
     actual = actual_by_month_label(t.fact(["order_date"], ["amount"]), by=())
     monthly_target = (t.sales_target.groupBy("month_of_order_date")
                       .agg(F.sum("target").cast(MONEY).alias("total_target")))
@@ -225,6 +246,8 @@ def target_best_months(t: SalesTables) -> DataFrame:
 # ---------------------------------------------------- category / sub-category
 
 def category_performance(t: SalesTables) -> DataFrame:
+    """Per category: orders, units, revenue, profit, mean line value, margin, revenue share and
+    dense rank by revenue."""
     fact = t.fact([], ["category", *LINE])
     x = M.measures(fact, ["category"], [
         M.orders("total_orders"), M.units("units_sold"), M.revenue("total_revenue"),
@@ -244,11 +267,14 @@ def _subcategory_measures(t: SalesTables) -> DataFrame:
 
 
 def subcategory_performance(t: SalesTables) -> DataFrame:
+    """Per (category, sub_category): orders, units, revenue, profit, margin and dense rank by
+    profit."""
     x = W.rank_by(_subcategory_measures(t), [F.desc("_profit")], "profit_rank")
     return x.drop("_profit").orderBy(F.desc("total_profit"), "category", "sub_category")
 
 
 def loss_making_subcategories(t: SalesTables) -> DataFrame:
+    """Sub-categories whose total profit is negative."""
     fact = t.fact([], ["category", "sub_category", "amount", "profit"])
     x = M.measures(fact, ["category", "sub_category"], [
         M.revenue("total_revenue"), M.profit("total_profit"), M.orders("total_orders"),
@@ -258,6 +284,7 @@ def loss_making_subcategories(t: SalesTables) -> DataFrame:
 
 
 def top_subcategories_per_category(t: SalesTables, n: int = 3) -> DataFrame:
+    """Top ``n`` sub-categories by profit inside each category, ties kept."""
     fact = t.fact([], ["category", "sub_category", "profit"])
     x = M.measures(fact, ["category", "sub_category"], [
         M.profit("total_profit"), M.raw_sum("profit", "_profit")])
@@ -266,6 +293,7 @@ def top_subcategories_per_category(t: SalesTables, n: int = 3) -> DataFrame:
 
 
 def pareto_subcategories(t: SalesTables, threshold: int = 80) -> DataFrame:
+    """Sub-categories by revenue with cumulative share and an 80/20 group."""
     fact = t.fact([], ["category", "sub_category", "amount"])
     x = M.measures(fact, ["category", "sub_category"], [M.revenue("revenue")])
     x = W.pareto(x, "revenue", ["category", "sub_category"], threshold,
@@ -279,6 +307,8 @@ CUSTOMER_PLACE = ("customer_name", "state", "city")
 
 
 def top_customers(t: SalesTables, n: int = 10, grain: tuple = CUSTOMER_PLACE) -> DataFrame:
+    """Top ``n`` customers (``grain``) by spend with orders, units, profit, mean line value, first
+    and last purchase."""
     fact = t.fact([*grain, "order_date"], LINE)
     x = M.measures(fact, list(grain), [
         M.orders("total_orders"), M.units("total_units"), M.revenue("total_spent"),
@@ -289,6 +319,7 @@ def top_customers(t: SalesTables, n: int = 10, grain: tuple = CUSTOMER_PLACE) ->
 
 
 def customer_acquisition(t: SalesTables) -> DataFrame:
+    """New customers per month of their first order (all orders) and the running total."""
     first = C.first_purchase_month(t.orders("customer_name", "order_date"))
     monthly = first.groupBy("acquisition_month").agg(
         F.count(F.lit(1)).cast(T.LongType()).alias("new_customers"))
@@ -304,6 +335,8 @@ def _max_order_date(t: SalesTables):
 
 def rfm_segments(t: SalesTables, score_order: str = "as_computed",
                  grain: tuple = ("customer_name",)) -> DataFrame:
+    """Per customer: recency days, frequency, monetary, NTILE(4) scores, their total and the
+    segment."""
     scored = C.rfm_scores(t.fact([*grain, "order_date"], ["amount"]), score_order=score_order,
                           grain=grain)
     return (scored.select(
@@ -317,6 +350,7 @@ def rfm_segments(t: SalesTables, score_order: str = "as_computed",
 
 def rfm_segment_summary(t: SalesTables, score_order: str = "as_computed",
                         grain: tuple = ("customer_name",)) -> DataFrame:
+    """Per RFM segment: customers, revenue, mean spend and shares of customers and revenue."""
     scored = C.rfm_scores(t.fact([*grain, "order_date"], ["amount"]), score_order=score_order,
                           grain=grain)
     seg = scored.withColumn("customer_segment",
@@ -334,6 +368,8 @@ def rfm_segment_summary(t: SalesTables, score_order: str = "as_computed",
 # ------------------------------------------------------------------ regions
 
 def state_performance(t: SalesTables) -> DataFrame:
+    """Per state: orders, customers, units, revenue, profit, margin, mean line value, dense ranks
+    by revenue and profit."""
     fact = t.fact(["state", "customer_name"], LINE)
     x = M.measures(fact, ["state"], [
         M.orders("total_orders"), M.customers("unique_customers"), M.units("units_sold"),
@@ -346,6 +382,8 @@ def state_performance(t: SalesTables) -> DataFrame:
 
 
 def top_cities(t: SalesTables, n: int = 15) -> DataFrame:
+    """Top ``n`` (city, state) by revenue with orders, customers, profit, mean line value and
+    dense rank."""
     fact = t.fact(["city", "state", "customer_name"], ["amount", "profit"])
     x = M.measures(fact, ["city", "state"], [
         M.orders("total_orders"), M.customers("unique_customers"), M.revenue("total_revenue"),
@@ -356,6 +394,7 @@ def top_cities(t: SalesTables, n: int = 15) -> DataFrame:
 
 
 def top_category_per_state(t: SalesTables) -> DataFrame:
+    """Best-selling category of each state by revenue (ties by category name)."""
     fact = t.fact(["state"], ["category", "amount"])
     x = M.measures(fact, ["state", "category"], [M.revenue("revenue"), M.raw_sum("amount", "_rev")])
     x = W.top_n_per_group(x, ["state"], [F.desc("_rev"), "category"], 1, "_rn", keep_ties=False)
@@ -364,6 +403,7 @@ def top_category_per_state(t: SalesTables) -> DataFrame:
 
 
 def market_entry_timeline(t: SalesTables) -> DataFrame:
+    """First order of each state (earliest date, then lowest order id) with its customer and city."""
     # earliest (order_date, order_id) per state as a MIN over a struct:
     # partial aggregation per task, no window over all orders of a state
     orders = t.orders("order_id", "order_date", "customer_name", "state", "city")
@@ -379,6 +419,8 @@ def market_entry_timeline(t: SalesTables) -> DataFrame:
 # ------------------------------------------------------------ payment modes
 
 def payment_mode_performance(t: SalesTables) -> DataFrame:
+    """Per payment mode: orders, units, revenue, profit, mean line value, shares of orders and
+    revenue."""
     fact = t.fact([], ["payment_mode", *LINE])
     x = M.measures(fact, ["payment_mode"], [
         M.orders("total_orders"), M.units("units_sold"), M.revenue("total_revenue"),
@@ -392,6 +434,7 @@ def payment_mode_performance(t: SalesTables) -> DataFrame:
 
 
 def payment_preference_by_state(t: SalesTables) -> DataFrame:
+    """Payment modes ranked by distinct orders inside each state."""
     fact = t.fact(["state"], ["payment_mode", "amount"])
     x = M.measures(fact, ["state", "payment_mode"], [M.orders("orders"), M.revenue("revenue")])
     x = W.rank_by(x, [F.desc("orders")], "preference_rank", by=["state"])
@@ -399,6 +442,7 @@ def payment_preference_by_state(t: SalesTables) -> DataFrame:
 
 
 def top_payment_per_category(t: SalesTables) -> DataFrame:
+    """Most used payment mode of each category by distinct orders (ties by mode)."""
     fact = t.fact([], ["category", "payment_mode"])
     x = M.measures(fact, ["category", "payment_mode"], [M.orders("orders")])
     x = W.top_n_per_group(x, ["category"], [F.desc("orders"), "payment_mode"], 1, "_rn",
@@ -410,6 +454,7 @@ def top_payment_per_category(t: SalesTables) -> DataFrame:
 # ------------------------------------------------------------- profitability
 
 def margin_ranking(t: SalesTables) -> DataFrame:
+    """Sub-categories ranked by their rounded margin percentage."""
     fact = t.fact([], ["category", "sub_category", "amount", "profit"])
     x = M.measures(fact, ["category", "sub_category"], [
         M.revenue("revenue"), M.profit("profit"), M.margin_pct("margin_pct")])
@@ -419,6 +464,7 @@ def margin_ranking(t: SalesTables) -> DataFrame:
 
 
 def profit_moving_average(t: SalesTables, rows: int = 3) -> DataFrame:
+    """Monthly profit with the average over the current and ``rows - 1`` previous months."""
     fact = t.fact(["order_date"], ["profit"])
     monthly = M.measures(fact, [month_start("order_date").alias("m")], [M.profit("monthly_profit")])
     x = W.moving_average(monthly, "monthly_profit", ["m"], rows, name="moving_avg_3m")
@@ -427,6 +473,7 @@ def profit_moving_average(t: SalesTables, rows: int = 3) -> DataFrame:
 
 
 def loss_making_lines(t: SalesTables) -> DataFrame:
+    """Every order line with negative profit, with its order's attributes."""
     fact = t.fact(["order_date", "customer_name", "state", "city"],
                   ["category", "sub_category", "payment_mode", *LINE])
     return (fact.where(F.col("profit") < 0).select(
@@ -437,6 +484,8 @@ def loss_making_lines(t: SalesTables) -> DataFrame:
 
 
 def loss_summary(t: SalesTables) -> DataFrame:
+    """Loss lines (orphans included): count, revenue, total loss and loss in percent of all
+    revenue."""
     # all order lines, orphans included; one pass with conditional sums
     d = t.details("amount", "profit")
     loss = F.col("profit") < 0
@@ -455,6 +504,8 @@ def loss_summary(t: SalesTables) -> DataFrame:
 # ------------------------------------------------------- customer lifetime
 
 def clv_customers(t: SalesTables, grain: tuple = CUSTOMER_PLACE) -> DataFrame:
+    """Per customer (``grain``): lifetime orders, spend, profit, first and last order, lifespan,
+    mean line value, spend quartile and label."""
     grain = list(grain)
     fact = t.fact([*grain, "order_date"], ["amount", "profit"])
     base = M.measures(fact, grain, [
@@ -472,6 +523,7 @@ def clv_customers(t: SalesTables, grain: tuple = CUSTOMER_PLACE) -> DataFrame:
 
 
 def clv_segment_summary(t: SalesTables, grain: tuple = ("customer_name",)) -> DataFrame:
+    """Per spend quartile: customers, revenue, mean spend and revenue share."""
     fact = t.fact(list(grain), ["amount"])
     base = M.measures(fact, list(grain), [M.revenue("total_spent")])
     x = C.clv_quartiles(base, list(grain))
@@ -487,6 +539,8 @@ def clv_segment_summary(t: SalesTables, grain: tuple = ("customer_name",)) -> Da
 
 
 def cohort_retention(t: SalesTables, max_index: int = 11) -> DataFrame:
+    """Per monthly acquisition cohort: size, months since cohort (0..``max_index``), active
+    customers and retention rate."""
     orders = t.orders("customer_name", "order_date").where(F.col("customer_name").isNotNull())
     x = C.cohort_retention(orders, max_index)
     return (x.select(month_key("cohort_month").alias("cohort_month"), "cohort_size", "month_index",
@@ -508,6 +562,7 @@ def customer_leaderboard(t: SalesTables, grain: tuple = ("customer_name", "state
 
 
 def category_mom_growth(t: SalesTables) -> DataFrame:
+    """Per category and month: revenue, previous month's revenue and growth."""
     fact = t.fact(["order_date"], ["category", "amount"])
     x = M.measures(fact, ["category", month_start("order_date").alias("m")], [M.revenue("revenue")])
     x = W.period_growth(x, "revenue", ["m"], ["category"], "prev_month", "mom_growth_pct")
@@ -534,6 +589,8 @@ EXECUTIVE_VIEW = "v_executive_summary"
 
 
 def executive_summary_frame(t: SalesTables) -> DataFrame:
+    """Monthly executive summary: orders, customers, active states, units, revenue, profit, mean
+    line value, margin, loss lines."""
     fact = t.fact(["order_date", "customer_name", "state"], LINE)
     x = M.measures(fact, [month_start("order_date").alias("m")], [
         M.orders("total_orders"), M.customers("unique_customers"),
