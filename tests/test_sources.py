@@ -75,3 +75,18 @@ def test_warehouse_mapping_types(spark):
     o = w.orders(["order_id", "order_date", "customer_name", "state", "city"])
     assert o.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
     assert d.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
+def test_spreading_only_touches_small_inputs(spark):
+    from ledgerlens.sources.warehouse import by_order_key, is_small_input
+    cores = spark.sparkContext.defaultParallelism
+    big = spark.range(1000).repartition(cores * 2)
+    assert not is_small_input(big) and by_order_key(big, "id") is big
+    small = spark.range(10).coalesce(1)
+    assert is_small_input(small)
+    assert by_order_key(small, "id").rdd.getNumPartitions() == cores
+
+
+def test_checkpoint_dir_is_the_sessions(spark):
+    from ledgerlens.session import checkpoint_dir
+    assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir()
