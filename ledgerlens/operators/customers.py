@@ -19,7 +19,9 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.columns import MONEY, month_start, pct_of
 from ledgerlens.operators.materialize import materialize
-from ledgerlens.operators.ranking import asc, desc, plan_splits, with_ntile, with_rank
+from ledgerlens.operators.ranking import (
+    asc, desc, join_rank, plan_splits, rank_table, rows_per_bucket, with_ntile, with_rank,
+)
 from ledgerlens.plans import labels as L
 
 
@@ -110,9 +112,15 @@ def leaderboard(base: DataFrame, value: str = "total_revenue", partition: str =
     n_rows = base.count()
     if share:
         base = share_of_grand_total(base, value, share)
-    ranked = with_rank(base, [desc(value)], overall, n_rows=n_rows)
-    return with_rank(ranked, [desc(value)], within, partition_by=[partition], dense=True,
-                     n_rows=n_rows)
+    if n_rows <= rows_per_bucket(base.sparkSession):
+        ranked = with_rank(base, [desc(value)], overall, n_rows=n_rows)
+        return with_rank(ranked, [desc(value)], within, partition_by=[partition], dense=True,
+                         n_rows=n_rows)
+    # both rank tables come from the materialized input and join onto it
+    overall_t = rank_table(base, [desc(value)], overall, n_rows=n_rows)
+    within_t = rank_table(base, [desc(value)], within, partition_by=[partition], dense=True,
+                          n_rows=n_rows)
+    return join_rank(join_rank(base, overall_t, overall), within_t, within)
 
 
 def activity_months(orders: DataFrame) -> DataFrame:

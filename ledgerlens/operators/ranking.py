@@ -247,29 +247,46 @@ def with_ntile(df: DataFrame, k: int, order: Sequence[Key], name: str = "ntile",
     return x.withColumn(name, tile.cast(T.LongType())).drop("_rn", "_n", "_q", "_r")
 
 
-def with_rank(df: DataFrame, order: Sequence[Key], name: str = "rank",
-              partition_by: Sequence[str] = (), dense: bool = False,
-              n_rows: int | None = None) -> DataFrame:
-    """RANK() (or DENSE_RANK()) OVER (PARTITION BY partition_by ORDER BY order).
-
-    Computed on the distinct (partition_by, order) values: map-side
-    aggregation collapses a value shared by many rows to one row per
-    task before the exchange. RANK is 1 + the number of rows with a
+def rank_table(df: DataFrame, order: Sequence[Key], name: str = "rank",
+               partition_by: Sequence[str] = (), dense: bool = False,
+               n_rows: int | None = None) -> DataFrame:
+    """The distinct (partition_by, order) values of ``df`` with their
+    RANK() (or DENSE_RANK()) in column ``name``.
+
+    Map-side aggregation collapses a value shared by many rows to one row
+    per task before the exchange. RANK is 1 + the number of rows with a
     value sorting strictly before; DENSE_RANK is the value's position
-    among distinct values. The ranks join back null-safely on the value.
-    """
+    among distinct values."""
     vals = [*partition_by, *[k.name for k in order]]
     distinct_vals = df.groupBy(*vals).agg(F.count(F.lit(1)).alias("_cnt"))
     # distinct values are never more than the rows: n_rows bounds them
     splits = plan_splits(distinct_vals, [*[asc(p) for p in partition_by], *order], n_rows=n_rows)
-    if splits.buckets == 1 and n_rows is not None:
-        fn = F.dense_rank if dense else F.rank
-        return df.withColumn(name, fn().over(_one_task(order, partition_by)).cast(T.LongType()))
     if dense:
         ranked = _prefix_sums(distinct_vals, order, partition_by, None, name, splits)
     else:
         ranked = _prefix_sums(distinct_vals, order, partition_by, F.col("_cnt"), "_incl", splits)
         ranked = ranked.withColumn(name, (F.col("_incl") - F.col("_cnt") + 1).cast(T.LongType()))
-    ranked = ranked.select(*[F.col(v).alias("_v_" + v) for v in vals], name)
+    return ranked.select(*vals, name)
+
+
+def join_rank(df: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """Attach ``name`` from a ``rank_table`` to every row of ``df``,
+    matching the value columns null-safely."""
+    vals = [c for c in table.columns if c != name]
+    t = table.select(*[F.col(v).alias("_v_" + v) for v in vals], name)
     cond = [F.col(v).eqNullSafe(F.col("_v_" + v)) for v in vals]
-    return df.join(ranked, cond, "inner").drop(*["_v_" + v for v in vals])
+    return df.join(t, cond, "inner").drop(*["_v_" + v for v in vals])
+
+
+def with_rank(df: DataFrame, order: Sequence[Key], name: str = "rank",
+              partition_by: Sequence[str] = (), dense: bool = False,
+              n_rows: int | None = None) -> DataFrame:
+    """RANK() (or DENSE_RANK()) OVER (PARTITION BY partition_by ORDER BY order).
+
+    With ``n_rows`` (a bound on the rows of ``df``) at most one task's
+    worth, the plain window is used. Otherwise the rank is computed on the
+    distinct values (``rank_table``) and joined back null-safely."""
+    if n_rows is not None and n_rows <= rows_per_bucket(df.sparkSession):
+        fn = F.dense_rank if dense else F.rank
+        return df.withColumn(name, fn().over(_one_task(order, partition_by)).cast(T.LongType()))
+    return join_rank(df, rank_table(df, order, name, partition_by, dense, n_rows), name)
