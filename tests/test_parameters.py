@@ -108,3 +108,17 @@ def test_views_for_ad_hoc_sql(spark, tiny):
     want = {r.order_month: r.total_revenue for r in R.monthly_trend(tiny).collect()}
     assert got == want
     assert spark.sql("SELECT COUNT(*) FROM tiny_order_details").first()[0] == 7
+
+
+def test_cli_stage_to_then_staged(spark, tmp_path):
+    from ledgerlens.__main__ import main
+    from ledgerlens.sources.staging import open_staged
+    staged = str(tmp_path / "kept")
+    assert main(["--warehouse", "/root/testdata/sf0.001", "--stage-to", staged]) == 0
+    out = tmp_path / "out"
+    assert main(["--staged", staged, "--out", str(out), "--report", "monthly_trend",
+                 "--report", "dq_row_counts"]) == 0
+    months = spark.read.parquet(str(out / "monthly_trend")).count()
+    assert months == R.monthly_trend(open_staged(spark, staged)).count() > 0
+    counts = {r.table_name: r.total_rows for r in spark.read.parquet(str(out / "dq_row_counts")).collect()}
+    assert counts["order_list"] == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
