@@ -1,23 +1,61 @@
 """Materialize an intermediate result in the shared checkpoint folder.
 
-Used where one intermediate is read by several jobs (the ranking sample
-and the final plan). Writing it as Parquet under the session's
-``spark.checkpoint.dir`` cuts the lineage, survives executor loss (the
-folder is shared storage on a cluster) and keeps columnar pruning for
-the readers.
+Used where one intermediate is read by several jobs. Writing it as
+Parquet under the session's ``spark.checkpoint.dir`` cuts the lineage,
+survives executor loss (the folder is shared storage on a cluster) and
+keeps columnar pruning for the readers. Tables that are no longer needed
+are removed with :func:`release`; what is left when the application ends
+is removed then.
 """
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.session import checkpoint_dir
 
+# folder of each table written by this application -> its session
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new folder name for one table; removed when the application ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/{label}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
+
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` once and return a DataFrame that reads the copy."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._ledgerlens_path = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables returned by :func:`materialize`; nothing may read
+    them afterwards. Other DataFrames are left alone."""
+    for df in tables:
+        path = getattr(df, "_ledgerlens_path", None)
+        if path and path in _WRITTEN:
+            _delete(_WRITTEN.pop(path), path)
+
+
+@atexit.register
+def _release_all() -> None:
+    for path, spark in list(_WRITTEN.items()):
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+        _WRITTEN.pop(path, None)
