@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontamination, langid, minhash, mixing, sharding
+from ledgerlens.llm import (decontamination, langid, linededup, lm, minhash, mixing, sharding,
+                            toxicity, urlfilter, vecdedup)
 from ledgerlens.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +29,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "lang_pred", "score", "rejected", "cross_entropy")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model, counts = lm.train(docs.filter(fold(F.col("doc_id"), 5) != 1))
+    scored = lm.score(docs, model, counts, keep=["doc_id"])
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_report(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -38,16 +52,39 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "copy", F.round("rate", 6).alias("rate"), "mix_key")
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256)
+                       .alias("kept_sha256"))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels.filter(fold(F.col("doc_id"), 3) != 1))
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return toxicity.score(docs, model, keep=["doc_id"]).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
+    "op3_url_filter": op3_url_filter,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_decontamination": op5_decontamination,
     "op6_mixing": op6_mixing,
+    "op7_vector_dedup": op7_vector_dedup,
+    "op8_line_dedup": op8_line_dedup,
     "op9_minhash": op9_minhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -108,9 +145,28 @@ FROM drawn d JOIN term t ON d.source IS NOT DISTINCT FROM t.source
  AND CAST('0x' || substr(md5(k), 1, 13) AS BIGINT)::DOUBLE / 4503599627370496.0 >= below
 """
 
+_OP8 = f"""
+WITH line AS (
+  SELECT doc_id, r, unnest(string_split(body, chr(10))) AS line,
+         generate_subscripts(string_split(body, chr(10)), 1) AS nth
+  FROM (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS body FROM documents)
+), keyed AS (
+  SELECT *, {_LOWER.format(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS key
+  FROM line
+), common AS (
+  SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+)
+SELECT doc_id, count(*) AS n_lines, count(holder) FILTER (doc_id <> holder) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY nth)
+                       FILTER (holder IS NULL OR doc_id = holder), '')) AS kept_sha256
+FROM keyed LEFT JOIN common USING (key) GROUP BY r, doc_id
+"""
+
 # Sharding needs crc32 and a 64-bit hash, language models and shingle
 # graphs need more than SQL: their tests compare with plain Python.
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": _OP5,
     "op6_mixing": _OP6,
+    "op8_line_dedup": _OP8,
 }
