@@ -8,7 +8,7 @@ functions/  column expressions shared by all reports (money, ratios, month keys)
 operators/  reusable DataFrame operators (fact, measures, data quality,
             windows, scalable global ranking, targets, customers)
 plans/      the report catalogue, its registry and the SQL oracle
-streaming/  incremental refresh of the monthly summary (Structured Streaming)
+llm/        operators of a training-data pipeline (optional)
 """
 
 from ledgerlens.session import build_session, checkpoint_dir

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+from functools import partial
 
 from ledgerlens.plans.catalog import REPORTS
 from ledgerlens.session import build_session
@@ -30,6 +31,10 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--details", help="order lines CSV")
     ap.add_argument("--targets", help="sales targets CSV")
     ap.add_argument("--trim", action="store_true", help="trim blanks around CSV text values")
+    ap.add_argument("--ignore-case", action="store_true",
+                    help="compare and group CSV text without regard to case")
+    ap.add_argument("--orders-per-mark", type=int, default=1,
+                    help="orders that one mark of the weekday histogram stands for")
     ap.add_argument("--out", help="output folder")
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     ap.add_argument("--report", action="append", help="report name (repeatable); default all")
@@ -55,15 +60,18 @@ def main(argv: list[str] | None = None) -> int:
         tables = stage_tables(spark, args.warehouse, location=args.stage_to)
     else:
         from ledgerlens.sources.staging import stage_csv_tables
-        tables, rejects = stage_csv_tables(spark, args.orders, args.details, args.targets, args.trim)
+        tables, rejects = stage_csv_tables(spark, args.orders, args.details, args.targets, args.trim,
+                                           args.ignore_case)
         for table, bad in rejects.items():
             (bad.write.mode("overwrite").option("header", True)
              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
              .csv(f"{args.out}/_rejects/{table}"))
     if not args.out:
         return 0
+    reports = REPORTS | {"weekday_histogram": partial(REPORTS["weekday_histogram"],
+                                                      orders_per_mark=args.orders_per_mark)}
     for name in names:
-        w = REPORTS[name](tables).write.mode("overwrite").format(args.format)
+        w = reports[name](tables).write.mode("overwrite").format(args.format)
         if args.format == "csv":   # keep values exactly, blanks included
             w = (w.option("header", True).option("ignoreLeadingWhiteSpace", False)
                  .option("ignoreTrailingWhiteSpace", False))

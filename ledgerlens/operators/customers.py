@@ -19,9 +19,7 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.columns import MONEY, month_start, pct_of
 from ledgerlens.operators.materialize import materialize
-from ledgerlens.operators.ranking import (
-    asc, desc, join_rank, plan_splits, rank_table, rows_per_bucket, with_ntile, with_rank,
-)
+from ledgerlens.operators.ranking import asc, desc, with_ntile, with_rank
 from ledgerlens.plans import labels as L
 
 
@@ -30,25 +28,22 @@ def quartile_scores(base: DataFrame, scores: dict[str, list], k: int = 4,
     """Add one NTILE(k) column per ``{name: order}``; each order is made
     total with the grain columns ascending. ``base`` is materialized
     once and every score is computed from it."""
-    base = materialize(base, "ntile-input")
-    n_rows = base.count()
-    out = base
+    out = materialize(base, "stage-ntile", reuse=True)
     for name, order in scores.items():
-        keys = list(order) + [asc(g) for g in grain]
-        splits = plan_splits(base, keys, n_rows=n_rows)
-        out = with_ntile(out, k, keys, name, splits=splits)
+        out = with_ntile(out, k, list(order) + [asc(g) for g in grain], name, reuse=True)
     return out
 
 
 def rfm_segment(r: Column, f: Column, m: Column) -> Column:
     """Segment rules tried in order; the first match wins."""
-    return (F.when((r == 4) & (f == 4) & (m == 4), L.RFM_CHAMPIONS)
-            .when((r >= 3) & (f >= 3), L.RFM_LOYAL)
-            .when((r == 4) & (f <= 2), L.RFM_NEW)
-            .when((r >= 3) & (f <= 2) & (m >= 3), L.RFM_POTENTIAL)
-            .when((r <= 2) & (f >= 3), L.RFM_AT_RISK)
-            .when((r == 1) & (f == 1), L.RFM_LOST)
-            .otherwise(L.RFM_NEEDS_ATTENTION))
+    score = {"r": r, "f": f, "m": m}
+    out = F.lit(L.RFM_NEEDS_ATTENTION)
+    for segment, bounds in reversed(L.RFM_RULES):
+        fits = F.lit(True)
+        for axis, (low, high) in bounds.items():
+            fits = fits & score[axis].between(low, high)
+        out = F.when(fits, segment).otherwise(out)
+    return out
 
 
 SCORE_ORDERS = ("as_computed", "best_is_high")
@@ -104,35 +99,29 @@ def share_of_grand_total(df: DataFrame, value: str, name: str) -> DataFrame:
 
 def leaderboard(base: DataFrame, value: str = "total_revenue", partition: str = "state",
                 overall: str = "overall_rank", within: str = "rank_in_state",
-                share: str | None = None) -> DataFrame:
+                share: str | None = None, grain: Sequence[str] = ()) -> DataFrame:
     """RANK over all rows and DENSE_RANK within ``partition``, both by
     ``value`` descending; optionally ``share``: value in percent of the
-    grand total (a one-row scalar subquery over the materialized input)."""
-    base = materialize(base, "leaderboard-input")
-    n_rows = base.count()
-    if share:
-        base = share_of_grand_total(base, value, share)
-    if n_rows <= rows_per_bucket(base.sparkSession):
-        ranked = with_rank(base, [desc(value)], overall, n_rows=n_rows)
-        return with_rank(ranked, [desc(value)], within, partition_by=[partition], dense=True,
-                         n_rows=n_rows)
-    # both rank tables come from the materialized input and join onto it
-    overall_t = rank_table(base, [desc(value)], overall, n_rows=n_rows)
-    within_t = rank_table(base, [desc(value)], within, partition_by=[partition], dense=True,
-                          n_rows=n_rows)
-    return join_rank(join_rank(base, overall_t, overall), within_t, within)
+    grand total (a one-row scalar subquery over the materialized input).
+    ``grain`` spreads rows that share one value."""
+    base = materialize(base, "stage-leaderboard", reuse=True)
+    out = share_of_grand_total(base, value, share) if share else base
+    out = with_rank(out, [desc(value)], overall, grain=grain, reuse=True)
+    return with_rank(out, [desc(value)], within, partition_by=[partition], dense=True, grain=grain,
+                     reuse=True)
 
 
 def activity_months(orders: DataFrame) -> DataFrame:
     """Distinct (customer_name, activity_month) with each customer's
     cohort month (the first month with an order).
 
-    The (customer, month) aggregate shuffles at most one row per pair and
-    task; the cohort month is then a window partitioned by customer over
-    those pairs (bounded by the number of months per customer)."""
-    act = (orders.groupBy("customer_name", month_start("order_date").alias("activity_month"))
-           .agg(F.count(F.lit(1)).alias("_n")).drop("_n"))
-    return act.withColumn("cohort_month", F.min("activity_month").over(Window.partitionBy("customer_name")))
+    A customer's months are collected as a set, pre-aggregated in every
+    task and shuffled once by customer (bounded by the number of months);
+    its smallest element is the cohort month."""
+    months = orders.groupBy("customer_name").agg(
+        F.collect_set(month_start("order_date")).alias("_months"))
+    return months.select("customer_name", F.array_min("_months").alias("cohort_month"),
+                         F.explode("_months").alias("activity_month"))
 
 
 def cohort_retention(orders: DataFrame, max_index: int = 11) -> DataFrame:

@@ -11,7 +11,9 @@ def sales_fact(orders: DataFrame, details: DataFrame, key: str = "order_id") ->
     Lines without an order (orphans) and orders without lines drop out.
     Spark picks the strategy from size statistics: a sort-merge join that
     shuffles both sides on ``key`` at scale, a broadcast of the order side
-    when it is small. Aggregations keyed on ``key`` afterwards reuse that
-    partitioning and add no exchange.
+    when it is small. The rebalance after the join frees it from the
+    partitioning that an aggregate above would take over, so that AQE may
+    split an order with very many lines; later aggregates collapse its
+    lines before their own exchange.
     """
-    return orders.join(details, key, "inner")
+    return orders.join(details, key, "inner").hint("rebalance")

@@ -19,6 +19,8 @@ from ledgerlens.session import checkpoint_dir
 
 # folder of each table written by this application -> its session
 _WRITTEN: dict[str, SparkSession] = {}
+# (application, label, hash of the plan) -> (the input, its copy)
+_REUSABLE: dict[tuple, list[tuple[DataFrame, DataFrame]]] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -28,17 +30,42 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` once and return a DataFrame that reads the copy."""
+def _reads_own_tables(df: DataFrame) -> bool:
+    """Whether every file that ``df`` reads lies in a folder of ours: those
+    are written once under a new name and never change."""
+    files = df.inputFiles()
+    return bool(files) and all("/ledgerlens/" in f and any(
+        p in f for p in _WRITTEN_PARTS) for f in files)
+
+
+# parts of the names of folders that this package writes
+_WRITTEN_PARTS = ("/staged-", "/staged-csv-", "/stage-", "/ranking-")
+
+
+def materialize(df: DataFrame, label: str = "stage", reuse: bool = False) -> DataFrame:
+    """Write ``df`` once and return a DataFrame that reads the copy.
+
+    With ``reuse``, a later call with the same plan over staged tables
+    (which never change) gets the copy of the first one; otherwise every
+    call writes a new copy."""
     spark = df.sparkSession
+    known = None
+    if reuse and _reads_own_tables(df):
+        known = _REUSABLE.setdefault(
+            (spark.sparkContext.applicationId, label, df.semanticHash()), [])
+        for source, copy in known:
+            if source.sameSemantics(df):
+                return copy
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._ledgerlens_path = path
+    if known is not None:
+        known.append((df, stored))
     return stored
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -50,12 +77,12 @@ def release(*tables: DataFrame) -> None:
     for df in tables:
         path = getattr(df, "_ledgerlens_path", None)
         if path and path in _WRITTEN:
-            _delete(_WRITTEN.pop(path), path)
+            delete_folder(_WRITTEN.pop(path), path)
 
 
 @atexit.register
 def _release_all() -> None:
     for path, spark in list(_WRITTEN.items()):
         if spark.sparkContext._jsc is not None:
-            _delete(spark, path)
+            delete_folder(spark, path)
         _WRITTEN.pop(path, None)

@@ -66,12 +66,32 @@ def raw_sum(col: str, name: str) -> Column:
     return F.sum(col).cast(MONEY).alias(name)
 
 
-def measures(fact: DataFrame, keys: Sequence[Column | str], aggs: Sequence[Column]) -> DataFrame:
+def few_distinct(col: str, name: str) -> Column:
+    """COUNT(DISTINCT col) for a column with few values (states, cities,
+    categories): the set is built with the other measures in one pass."""
+    return F.size(F.collect_set(col)).cast(T.LongType()).alias(name)
+
+
+def measures(fact: DataFrame, keys: Sequence[Column | str], aggs: Sequence[Column],
+             distinct: dict[str, str] | None = None) -> DataFrame:
     """GROUP BY ``keys`` with the given measures.
 
-    One aggregate: partial aggregation on the map side, one hash exchange
-    on ``keys``. A single COUNT(DISTINCT order_id) groups by
-    (keys, order_id) first; after the fact join that grouping is already
-    co-partitioned on order_id, so it adds no exchange either.
+    One COUNT(DISTINCT order_id) groups by (keys, order_id) first: over the
+    staged fact, which is bucketed by order_id, that needs no exchange;
+    over other input it is one exchange on these columns, before the one on
+    ``keys``. A second distinct count in the same aggregate would repeat
+    every row, so each ``{name: column}`` of ``distinct`` is an aggregate of
+    its own (it reads the keys and that column only) joined by the keys.
     """
-    return fact.groupBy(*keys).agg(*aggs)
+    out = fact.groupBy(*keys).agg(*aggs) if keys else fact.agg(*aggs)
+    names = [c for c in out.columns][:len(keys)]
+    for name, col in (distinct or {}).items():
+        if not keys:
+            count = fact.agg(F.count_distinct(col).cast(T.LongType())).scalar()
+            out = out.withColumn(name, count)
+            continue
+        one = fact.groupBy(*keys).agg(distinct_count(col, name))
+        one = one.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)], name)
+        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(names)]
+        out = out.join(one, on).drop(*[f"_k{i}" for i in range(len(names))])
+    return out

@@ -16,6 +16,19 @@ from ledgerlens.operators.materialize import materialize
 # monotonically_increasing_id() keeps the partition in the bits above
 # these and the position inside the partition in these
 _POSITION_BITS = 33
+PART, POSITION = "_part", "_position"
+
+
+def ordered(df: DataFrame, keys: list[Column | str], label: str = "ordered",
+            reuse: bool = False) -> DataFrame:
+    """``df`` written once in the order of ``keys``, with the number of the
+    row's partition (``_part``) and its position in it (``_position``).
+    Partitions follow each other in the order of the keys. ``reuse`` as for
+    :func:`ledgerlens.operators.materialize.materialize`."""
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    stored = materialize(placed.withColumn(POSITION, F.monotonically_increasing_id()), label, reuse)
+    return stored.withColumn(PART, F.shiftright(POSITION, _POSITION_BITS)).withColumn(
+        POSITION, F.col(POSITION).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
 
 
 def number_rows(df: DataFrame, keys: list[Column | str], number: str = "row_index",
@@ -29,20 +42,15 @@ def number_rows(df: DataFrame, keys: list[Column | str], number: str = "row_inde
     between partitions, so a key that repeats without bound needs a
     further key. An empty input gives an empty result.
     """
-    part, position, offset = f"_{number}_part", f"_{number}_position", f"_{number}_offset"
-    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    mid = F.monotonically_increasing_id()
-    stored = materialize(placed.withColumn(position, mid), label)
-    stored = stored.withColumn(part, F.shiftright(position, _POSITION_BITS)).withColumn(
-        position, F.col(position).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
+    stored = ordered(df, keys, label)
     # one row per partition of the write: bounded by the partition count
-    counts = stored.groupBy(part).agg((F.max(position) + 1).alias("n"))
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(part).rowsBetween(Window.unboundedPreceding,
+    counts = stored.groupBy(PART).agg((F.max(POSITION) + 1).alias("n"))
+    before = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding,
                                                   Window.unboundedFollowing)
     offsets = counts.select(
-        part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset),
+        PART, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"),
         *([F.sum("n").over(everything).alias(total)] if total else []))
     kept = [f"`{c}`" for c in df.columns if c not in (number, total)]
-    return stored.join(F.broadcast(offsets), part).select(
-        *kept, (F.col(offset) + F.col(position)).alias(number), *([total] if total else []))
+    return stored.join(F.broadcast(offsets), PART).select(
+        *kept, (F.col("_offset") + F.col(POSITION)).alias(number), *([total] if total else []))

@@ -38,11 +38,13 @@ def orphan_count(child: DataFrame, parent: DataFrame, keys: Sequence[str],
                  name: str = "orphan_rows") -> DataFrame:
     """Rows of ``child`` with no matching ``parent`` row, counted.
 
-    Written as a left anti join (Spark does not rewrite LEFT JOIN ...
-    WHERE parent.key IS NULL into one). A NULL child key never matches,
-    so it counts as an orphan, as in the outer-join form."""
-    return (child.select(*keys).join(parent.select(*keys), list(keys), "left_anti")
-            .agg(F.count(F.lit(1)).cast(T.LongType()).alias(name)))
+    Rows are counted by key before the shuffle, so a key (or NULL) that
+    many rows share is one row per task, and the counts of the keys left by
+    an anti join are summed. A NULL child key never matches, so it counts
+    as an orphan, as in the outer-join form."""
+    counted = child.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return (counted.join(parent.select(*keys), list(keys), "left_anti")
+            .agg(F.coalesce(F.sum("_rows"), F.lit(0)).cast(T.LongType()).alias(name)))
 
 
 def date_range(df: DataFrame, col: str) -> DataFrame:

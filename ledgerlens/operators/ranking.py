@@ -1,43 +1,25 @@
 """Exact global ranking without a single-partition window.
 
 ``ROW_NUMBER/NTILE/RANK/DENSE_RANK() OVER (ORDER BY ...)`` without
-PARTITION BY makes Spark move every row into one task. At customer grain
-that input grows with the data, so these operators compute the same
-numbers with work spread over many tasks:
-
-1. **Split points.** A bounded sample of the sort values is sorted by
-   Spark and ``b - 1`` evenly spaced values are kept on the driver (at
-   most ``MAX_BUCKETS`` values, whatever the input size).
-2. **Buckets.** Each row gets the number of split points at or before it,
-   looked up in the split array (a coarse index, then one block). The
-   bucket depends only on the row's values, never on partitioning or task
-   order, so a task recomputed after an executor loss assigns the same
-   bucket.
-3. **Local numbers.** ``row_number`` / running sum inside each
-   (partition keys, bucket) with an ordinary window: the exchange is
-   hash-partitioned on the bucket, so the work is split ``b`` ways.
-4. **Offsets.** Rows per bucket, summed over earlier buckets, from an
-   aggregate with at most ``b`` rows per partition key, joined back.
-
-Sort orders are made total by a tie-break on the grain key, so buckets
-are balanced even when most rows share one sort value (a hot value is
-cut across buckets on the tie-break). RANK and DENSE_RANK depend only on
-the sort value: they are computed on the distinct values (one row per
-value after map-side aggregation, however many rows share it) and joined
-back.
-
-The sample only decides balance, never the result: any split points
-give the same numbers. When the counted input fits one task
-(``rows_per_bucket``) no sample is taken and the plain window is used: its
-single task then provably holds at most that many rows. Inputs should be
-materialized first
-(``ledgerlens.operators.materialize``), because the count, the sample
-and the final plan each read them.
+PARTITION BY makes Spark move every row into one task. Here, for every
+size of input:
+
+1. The rows are range-partitioned by (partition keys, order, grain),
+   sorted inside each partition, and written once with the number of the
+   partition and the position in it (``numbering.ordered``). The grain
+   makes the order total, so rows that share one value are spread.
+2. Inside each partition a window tells where a new group or a new value
+   begins; the last row before a partition comes from a table with one
+   row per partition.
+3. Counts, value changes and begins of groups are summed over earlier
+   partitions in that table and added to the local numbers.
+
+Nothing is sampled to the driver or looked up per row, and no step joins
+on the ranked value.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -45,16 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Sizing of the bucket scheme.
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 2048
-SAMPLE_PER_BUCKET = 40
-SAMPLE_SEED = 20240601
-# Splits are looked up in two steps: a coarse index (the first split of
-# every block of LOOKUP_BLOCK), then one block: at most
-# MAX_BUCKETS / LOOKUP_BLOCK + LOOKUP_BLOCK comparisons per row, with an
-# expression of constant size whatever the number of buckets.
-LOOKUP_BLOCK = 32
+from ledgerlens.operators.numbering import PART, POSITION, ordered
 
 
 @dataclass(frozen=True)
@@ -76,217 +49,97 @@ def desc(name: str) -> Key:
     return Key(name, False)
 
 
-def _sort_struct(df: DataFrame, keys: Sequence[Key]) -> Column:
-    """One struct whose ascending order is the order of ``keys``.
-
-    Ascending keys are used as they are (a struct compares field by field,
-    NULL first, which is ASC NULLS FIRST). A descending numeric or date key
-    becomes (key IS NULL, -key): non-NULL values first, largest first,
-    NULLs last, which is DESC NULLS LAST."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    fields: list[Column] = []
-    for i, k in enumerate(keys):
-        c = F.col(k.name)
-        if k.ascending:
-            fields.append(c.alias(f"k{i}"))
-            continue
-        t = types[k.name]
-        if isinstance(t, T.DateType):
-            neg = -F.unix_date(c)
-        elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-            neg = -F.unix_micros(c.cast(T.TimestampType()))
-        elif isinstance(t, T.NumericType):
-            neg = -c
-        else:
-            raise TypeError(f"descending order on {t.simpleString()} column {k.name} "
-                            "is not supported")
-        fields.append(c.isNull().alias(f"n{i}"))
-        fields.append(neg.alias(f"k{i}"))
-    return F.struct(*fields)
-
-
-@dataclass(frozen=True)
-class Splits:
-    """Split points for one total order over one input.
-
-    ``points`` are sorted values of the order's sort struct; a row's
-    bucket is the number of points at or before it (0 .. len(points))."""
-    keys: tuple[Key, ...]
-    points: tuple
-    n_rows: int
-    struct_type: T.StructType | None = None
-
-    @property
-    def buckets(self) -> int:
-        return len(self.points) + 1
-
-    def with_bucket(self, df: DataFrame, name: str = "_b") -> DataFrame:
-        """``df`` with its bucket number in column ``name``."""
-        if not self.points:
-            return df.withColumn(name, F.lit(0).cast(T.IntegerType()))
-        spark = df.sparkSession
-        arr_type = T.ArrayType(self.struct_type, containsNull=False)
-        # the points travel as a one-row relation read by a scalar
-        # subquery: a constant array in the plan, fixed once chosen
-        arr = spark.createDataFrame([(list(self.points),)],
-                                    T.StructType([T.StructField("a", arr_type)])).scalar()
-        row = _sort_struct(df, self.keys)
-        b = LOOKUP_BLOCK
-        x = df.withColumn("_splits", arr)
-        coarse = F.filter("_splits", lambda v, i: i % b == 0)
-        x = x.withColumn("_c", F.size(F.filter(coarse, lambda v: v <= row)))
-        block = F.slice("_splits", (F.col("_c") - 1) * b + 1, F.lit(b))
-        within = F.size(F.filter(block, lambda v: v <= row))
-        bucket = F.when(F.col("_c") == 0, F.lit(0)).otherwise((F.col("_c") - 1) * b + within)
-        return x.withColumn(name, bucket.cast(T.IntegerType())).drop("_splits", "_c")
-
-
-def rows_per_bucket(spark) -> int:
-    """Rows one task may rank on its own; ``ledgerlens.ranking.rowsPerBucket``
-    in the session conf overrides the default (tests use a small value to
-    exercise many buckets on small data)."""
-    return int(spark.conf.get("ledgerlens.ranking.rowsPerBucket", str(ROWS_PER_BUCKET)))
-
-
-def plan_splits(df: DataFrame, keys: Sequence[Key], n_rows: int | None = None,
-                buckets: int | None = None) -> Splits:
-    """Pick split points from a bounded sample of ``df``.
-
-    ``n_rows`` is the row count of ``df`` or an upper bound of it; it is
-    counted when not given. When it fits one bucket no sample is taken:
-    the whole input is then proven small enough for one task.
-    """
-    keys = tuple(keys)
-    if n_rows is None:
-        n_rows = df.count()
-    if buckets is None:
-        buckets = math.ceil(n_rows / rows_per_bucket(df.sparkSession))
-    buckets = max(1, min(buckets, MAX_BUCKETS, n_rows))
-    if buckets == 1:
-        return Splits(keys, (), n_rows)
-    want = buckets * SAMPLE_PER_BUCKET
-    fraction = min(1.0, want / n_rows)
-    sampled = (df.select(_sort_struct(df, keys).alias("sk"))
-               .sample(withReplacement=False, fraction=fraction, seed=SAMPLE_SEED))
-    struct_type = sampled.schema["sk"].dataType
-    sample = [r["sk"] for r in sampled.orderBy("sk").limit(2 * want).collect()]
-    points: list = []
-    for i in range(1, buckets):
-        idx = (i * len(sample)) // buckets
-        if idx <= 0 or idx >= len(sample):
-            continue
-        p = sample[idx]
-        if not points or tuple(points[-1]) != tuple(p):
-            points.append(p)
-    return Splits(keys, tuple(points), n_rows, struct_type)
-
-
-def _prefix_sums(df: DataFrame, keys: Sequence[Key], partition_by: Sequence[str],
-                 weight: Column | None, name: str, splits: Splits | None) -> DataFrame:
-    """Inclusive running SUM(weight) (ROW_NUMBER when weight is None) over
-    the total order ``keys`` within ``partition_by``, plus ``_n``: the
-    partition's total weight."""
-    pkeys = [asc(p) for p in partition_by]
-    all_keys = pkeys + list(keys)
-    if splits is None:
-        splits = plan_splits(df, all_keys)
-    w_col = F.lit(1).cast(T.LongType()) if weight is None else weight
-    x = splits.with_bucket(df.withColumn("_w", w_col))
-    local_w = (Window.partitionBy(*partition_by, "_b")
-               .orderBy(*[k.sort_col() for k in keys])
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = x.withColumn("_local", F.sum("_w").over(local_w))
-    per_bucket = x.groupBy(*partition_by, "_b").agg(F.sum("_w").alias("_bw"))
-    earlier = Window.partitionBy(*partition_by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_bucket.select(
-        *partition_by, "_b",
-        F.coalesce(F.sum("_bw").over(earlier), F.lit(0)).alias("_off"),
-        F.sum("_bw").over(Window.partitionBy(*partition_by)).alias("_n"))
-    if not partition_by:
-        # at most splits.buckets rows: a proven bound, safe to broadcast
-        offsets = F.broadcast(offsets)
-    # NULL is a partition of its own in windows and aggregates, so the
-    # offsets join back null-safely on the partition columns
-    offsets = offsets.select(*[F.col(p).alias("_o_" + p) for p in partition_by],
-                             F.col("_b").alias("_o_b"), "_off", "_n")
-    cond = [F.col(p).eqNullSafe(F.col("_o_" + p)) for p in partition_by] + [F.col("_b") == F.col("_o_b")]
-    out = local.join(offsets, cond).drop(*["_o_" + p for p in partition_by], "_o_b")
-    return out.withColumn(name, (F.col("_off") + F.col("_local")).cast(T.LongType())).drop(
-        "_w", "_b", "_local", "_off")
+_WORK = ("_rn", "_rank", "_dense", "_all")
+
+
+def numbered(df: DataFrame, order: Sequence[Key], partition_by: Sequence[str] = (),
+             values: Sequence[str] = (), reuse: bool = False) -> DataFrame:
+    """``df`` with ``_rn``, ``_rank``, ``_dense`` and ``_all`` (long): the
+    row number in its group, RANK and DENSE_RANK by the columns ``values``,
+    and the number of rows of all groups.
+
+    ``order`` should be total (end it with the grain key); ``values`` are
+    the leading columns of ``order`` that are ranked."""
+    stored = ordered(df, [*[F.asc(p) for p in partition_by], *[k.sort_col() for k in order]],
+                     label="ranking", reuse=reuse)
+    group = F.struct(F.lit(0).alias("g"), *[F.col(p).alias(f"g{i}") for i, p in enumerate(partition_by)])
+    value = F.struct(F.lit(0).alias("v"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
+    rows = stored.withColumn("_group", group).withColumn("_value", value)
+    # one row per partition from here to the carried columns
+    parts = Window.orderBy(PART)
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
+    tails = rows.groupBy(PART).agg(
+        F.max_by(F.struct("_group", "_value"), POSITION).alias("last"), F.count(F.lit(1)).alias("rows"))
+    tails = tails.select(PART, F.lag("last").over(parts).alias("_before"),
+                         F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_offset"),
+                         F.sum("rows").over(parts.rowsBetween(
+                             Window.unboundedPreceding, Window.unboundedFollowing)).alias("_all"))
+    here = Window.partitionBy(PART).orderBy(POSITION)
+    seen = F.coalesce(F.lag(F.struct("_group", "_value")).over(here), F.col("_before"))
+    rows = rows.join(F.broadcast(tails), PART).withColumn("_seen", seen)
+    rows = rows.withColumn("_new_group", F.col("_seen").isNull()
+                           | ~F.col("_seen._group").eqNullSafe(F.col("_group")))
+    rows = rows.withColumn("_new", F.col("_new_group")
+                           | ~F.col("_seen._value").eqNullSafe(F.col("_value")))
+    upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    index = F.col("_offset") + F.col(POSITION)
+    rows = rows.withColumn("_index", index).withColumn(
+        "_changes", F.sum(F.col("_new").cast("long")).over(upto))
+    marks = {"_begin": F.when(F.col("_new"), F.col("_index")),
+             "_first": F.when(F.col("_new_group"), F.col("_index")),
+             "_base": F.when(F.col("_new_group"), F.col("_changes"))}
+    rows = rows.withColumns(marks)
+    carried = rows.groupBy(PART).agg(
+        F.max("_changes").alias("changes"), F.max("_begin").alias("begin"),
+        F.max("_first").alias("first"), F.max("_base").alias("base"))
+    carried = carried.withColumn("_c0", F.coalesce(F.sum("changes").over(earlier), F.lit(0)))
+    carried = carried.select(
+        PART, "_c0", F.max("begin").over(earlier).alias("_begin0"),
+        F.max("first").over(earlier).alias("_first0"),
+        F.max(F.col("base") + F.col("_c0")).over(earlier).alias("_base0"))
+    rows = rows.join(F.broadcast(carried), PART)
+    first = F.coalesce(F.max("_first").over(upto), F.col("_first0"))
+    begin = F.coalesce(F.max("_begin").over(upto), F.col("_begin0"))
+    base = F.coalesce(F.max(F.col("_base") + F.col("_c0")).over(upto), F.col("_base0"))
+    return rows.select(
+        *[f"`{c}`" for c in df.columns], (F.col("_index") - first + 1).alias("_rn"),
+        (begin - first + 1).alias("_rank"),
+        (F.col("_changes") + F.col("_c0") - base + 1).alias("_dense"), "_all")
 
 
 def with_row_number(df: DataFrame, order: Sequence[Key], name: str = "row_number",
-                    partition_by: Sequence[str] = (), splits: Splits | None = None) -> DataFrame:
-    """ROW_NUMBER() OVER (PARTITION BY partition_by ORDER BY order).
-
-    ``order`` must be a total order (end it with the grain key)."""
-    splits = splits or plan_splits(df, [*[asc(p) for p in partition_by], *order])
-    if splits.buckets == 1:
-        return df.withColumn(name, F.row_number().over(_one_task(order, partition_by)).cast(T.LongType()))
-    return _prefix_sums(df, order, partition_by, None, name, splits).drop("_n")
-
-
-def _one_task(order: Sequence[Key], partition_by: Sequence[str]):
-    """The plain window, used only when the counted input fits one task."""
-    return Window.partitionBy(*partition_by).orderBy(*[k.sort_col() for k in order])
+                    partition_by: Sequence[str] = (), reuse: bool = False) -> DataFrame:
+    """ROW_NUMBER() OVER (PARTITION BY partition_by ORDER BY order)."""
+    x = numbered(df, order, partition_by, reuse=reuse)
+    return x.withColumn(name, F.col("_rn")).drop(*_WORK)
 
 
 def with_ntile(df: DataFrame, k: int, order: Sequence[Key], name: str = "ntile",
-               partition_by: Sequence[str] = (), splits: Splits | None = None) -> DataFrame:
+               partition_by: Sequence[str] = (), reuse: bool = False) -> DataFrame:
     """NTILE(k) OVER (PARTITION BY partition_by ORDER BY order).
 
     With N rows, q = N div k and r = N mod k, the first r tiles hold
     q + 1 rows and the rest q, as in SQL."""
-    splits = splits or plan_splits(df, [*[asc(p) for p in partition_by], *order])
-    if splits.buckets == 1:
-        return df.withColumn(name, F.ntile(k).over(_one_task(order, partition_by)).cast(T.LongType()))
-    x = _prefix_sums(df, order, partition_by, None, "_rn", splits)
+    x = numbered(df, order, partition_by, reuse=reuse)
+    if partition_by:
+        sizes = x.groupBy(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(partition_by)]).agg(
+            F.max("_rn").alias("_n"))
+        x = x.join(sizes, [F.col(p).eqNullSafe(F.col(f"_p{i}")) for i, p in enumerate(partition_by)])
+    else:
+        x = x.withColumn("_n", F.col("_all"))
     x = x.withColumn("_q", F.expr(f"_n div {int(k)}")).withColumn("_r", F.expr(f"_n % {int(k)}"))
     tile = F.expr("CASE WHEN _rn <= _r * (_q + 1) THEN (_rn + _q) div (_q + 1) "
                   "ELSE _r + (_rn - _r * (_q + 1) + _q - 1) div _q END")
-    return x.withColumn(name, tile.cast(T.LongType())).drop("_rn", "_n", "_q", "_r")
-
-
-def rank_table(df: DataFrame, order: Sequence[Key], name: str = "rank",
-               partition_by: Sequence[str] = (), dense: bool = False,
-               n_rows: int | None = None) -> DataFrame:
-    """The distinct (partition_by, order) values of ``df`` with their
-    RANK() (or DENSE_RANK()) in column ``name``.
-
-    Map-side aggregation collapses a value shared by many rows to one row
-    per task before the exchange. RANK is 1 + the number of rows with a
-    value sorting strictly before; DENSE_RANK is the value's position
-    among distinct values."""
-    vals = [*partition_by, *[k.name for k in order]]
-    distinct_vals = df.groupBy(*vals).agg(F.count(F.lit(1)).alias("_cnt"))
-    # distinct values are never more than the rows: n_rows bounds them
-    splits = plan_splits(distinct_vals, [*[asc(p) for p in partition_by], *order], n_rows=n_rows)
-    if dense:
-        ranked = _prefix_sums(distinct_vals, order, partition_by, None, name, splits)
-    else:
-        ranked = _prefix_sums(distinct_vals, order, partition_by, F.col("_cnt"), "_incl", splits)
-        ranked = ranked.withColumn(name, (F.col("_incl") - F.col("_cnt") + 1).cast(T.LongType()))
-    return ranked.select(*vals, name)
-
-
-def join_rank(df: DataFrame, table: DataFrame, name: str) -> DataFrame:
-    """Attach ``name`` from a ``rank_table`` to every row of ``df``,
-    matching the value columns null-safely."""
-    vals = [c for c in table.columns if c != name]
-    t = table.select(*[F.col(v).alias("_v_" + v) for v in vals], name)
-    cond = [F.col(v).eqNullSafe(F.col("_v_" + v)) for v in vals]
-    return df.join(t, cond, "inner").drop(*["_v_" + v for v in vals])
+    return x.withColumn(name, tile.cast(T.LongType())).select(
+        *[f"`{c}`" for c in df.columns if c != name], name)
 
 
 def with_rank(df: DataFrame, order: Sequence[Key], name: str = "rank",
               partition_by: Sequence[str] = (), dense: bool = False,
-              n_rows: int | None = None) -> DataFrame:
+              grain: Sequence[str] = (), reuse: bool = False) -> DataFrame:
     """RANK() (or DENSE_RANK()) OVER (PARTITION BY partition_by ORDER BY order).
 
-    With ``n_rows`` (a bound on the rows of ``df``) at most one task's
-    worth, the plain window is used. Otherwise the rank is computed on the
-    distinct values (``rank_table``) and joined back null-safely."""
-    if n_rows is not None and n_rows <= rows_per_bucket(df.sparkSession):
-        fn = F.dense_rank if dense else F.rank
-        return df.withColumn(name, fn().over(_one_task(order, partition_by)).cast(T.LongType()))
-    return join_rank(df, rank_table(df, order, name, partition_by, dense, n_rows), name)
+    ``grain`` breaks ties in the layout only: with it, rows that share one
+    value are spread over tasks."""
+    x = numbered(df, [*order, *[asc(g) for g in grain]], partition_by, [k.name for k in order], reuse)
+    return x.withColumn(name, F.col("_dense" if dense else "_rank")).drop(*_WORK)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.functions.columns import MONEY, growth_pct, pct_of
+from ledgerlens.plans import labels as L
 
 
 def _w(order: Sequence[Column | str], by: Sequence[Column | str] = ()):
@@ -84,21 +85,29 @@ def top_n_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column | s
     return rank_by(df, order, name, by, kind).where(F.col(name) <= n)
 
 
-def pareto(df: DataFrame, value: str, tiebreak: Sequence[str], threshold: int = 80,
+def _share_at_most(part: str, total: str, percent: int) -> Column:
+    """part / total * 100 <= percent without a rounded quotient: the sign
+    of the total decides which side is larger; not true for a zero total."""
+    gap = F.col(part) * 100 - F.col(total) * percent
+    return F.when(F.col(total) > 0, gap <= 0).when(F.col(total) < 0, gap >= 0).otherwise(False)
+
+
+def pareto(df: DataFrame, value: str, tiebreak: Sequence[str], threshold: int = L.PARETO_THRESHOLD,
            pct_name: str = "cumulative_pct", group_name: str = "pareto_group",
-           top_label: str = "Top 80% Revenue Drivers",
-           rest_label: str = "Remaining 20%") -> DataFrame:
+           top_label: str = L.PARETO_TOP, rest_label: str = L.PARETO_REST) -> DataFrame:
     """Cumulative share of ``value`` in descending order and an 80/20 label.
 
     A row is a top driver while its cumulative share is at most
-    ``threshold`` percent, so the row that crosses the threshold is not."""
+    ``threshold`` percent, so the row that crosses the threshold is not.
+    The share is that of the signed total: over a zero total it is NULL
+    and no row is a top driver; over a negative one it falls as the
+    running sum grows."""
     order = [F.desc(value)] + [F.asc(c) for c in tiebreak]
     w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = F.sum(value).over(w)
     total = F.sum(value).over(Window.partitionBy())
     return (df.withColumn("_cum", cum).withColumn("_tot", total)
             .withColumn(pct_name, pct_of(F.col("_cum"), F.col("_tot")))
-            .withColumn(group_name,
-                        F.when(F.col("_cum") * 100 <= F.col("_tot") * threshold, F.lit(top_label))
+            .withColumn(group_name, F.when(_share_at_most("_cum", "_tot", threshold), F.lit(top_label))
                         .otherwise(F.lit(rest_label)))
             .drop("_cum", "_tot"))

@@ -109,19 +109,20 @@ def business_summary(t: SalesTables) -> DataFrame:
     """One-row KPI set over the sales fact (orders, customers, states, cities, categories, units,
     revenue, profit, mean line value, margin, loss lines)."""
     fact = t.fact(["customer_name", "state", "city"], ["category", "sub_category", *LINE])
-    return fact.agg(
-        M.orders("total_orders"),
-        M.customers("unique_customers"),
-        M.distinct_count("state", "states_covered"),
-        M.distinct_count("city", "cities_covered"),
-        M.distinct_count("category", "product_categories"),
-        M.distinct_count("sub_category", "sub_categories"),
+    x = M.measures(fact, [], [
+        M.few_distinct("state", "states_covered"),
+        M.few_distinct("city", "cities_covered"),
+        M.few_distinct("category", "product_categories"),
+        M.few_distinct("sub_category", "sub_categories"),
         M.units("total_units_sold"),
         M.revenue("total_revenue"),
         M.profit("total_profit"),
         M.avg_line_value("avg_order_value"),
         M.margin_pct("overall_profit_margin_pct"),
-        M.loss_lines("loss_making_orders"))
+        M.loss_lines("loss_making_orders")],
+        distinct={"total_orders": "order_id", "unique_customers": "customer_name"})
+    first = ["total_orders", "unique_customers"]
+    return x.select(*first, *[c for c in x.columns if c not in first])
 
 
 # ------------------------------------------------------------------ trends
@@ -292,7 +293,7 @@ def top_subcategories_per_category(t: SalesTables, n: int = 3) -> DataFrame:
     return x.drop("_profit").orderBy("category", "profit_rank", "sub_category")
 
 
-def pareto_subcategories(t: SalesTables, threshold: int = 80) -> DataFrame:
+def pareto_subcategories(t: SalesTables, threshold: int = L.PARETO_THRESHOLD) -> DataFrame:
     """Sub-categories by revenue with cumulative share and an 80/20 group."""
     fact = t.fact([], ["category", "sub_category", "amount"])
     x = M.measures(fact, ["category", "sub_category"], [M.revenue("revenue")])
@@ -334,11 +335,11 @@ def _max_order_date(t: SalesTables):
 
 
 def rfm_segments(t: SalesTables, score_order: str = "as_computed",
-                 grain: tuple = ("customer_name",)) -> DataFrame:
+                 grain: tuple = ("customer_name",), as_of: str = L.RFM_AS_OF) -> DataFrame:
     """Per customer: recency days, frequency, monetary, NTILE(4) scores, their total and the
-    segment."""
-    scored = C.rfm_scores(t.fact([*grain, "order_date"], ["amount"]), score_order=score_order,
-                          grain=grain)
+    segment. ``as_of`` is the date that recency scores count from."""
+    scored = C.rfm_scores(t.fact([*grain, "order_date"], ["amount"]), as_of=as_of,
+                          score_order=score_order, grain=grain)
     return (scored.select(
         *grain,
         F.datediff(_max_order_date(t), "last_purchase_date").cast(T.LongType()).alias("recency_days"),
@@ -349,10 +350,10 @@ def rfm_segments(t: SalesTables, score_order: str = "as_computed",
 
 
 def rfm_segment_summary(t: SalesTables, score_order: str = "as_computed",
-                        grain: tuple = ("customer_name",)) -> DataFrame:
+                        grain: tuple = ("customer_name",), as_of: str = L.RFM_AS_OF) -> DataFrame:
     """Per RFM segment: customers, revenue, mean spend and shares of customers and revenue."""
-    scored = C.rfm_scores(t.fact([*grain, "order_date"], ["amount"]), score_order=score_order,
-                          grain=grain)
+    scored = C.rfm_scores(t.fact([*grain, "order_date"], ["amount"]), as_of=as_of,
+                          score_order=score_order, grain=grain)
     seg = scored.withColumn("customer_segment",
                             C.rfm_segment(F.col("r_score"), F.col("f_score"), F.col("m_score")))
     x = seg.groupBy("customer_segment").agg(
@@ -372,10 +373,11 @@ def state_performance(t: SalesTables) -> DataFrame:
     by revenue and profit."""
     fact = t.fact(["state", "customer_name"], LINE)
     x = M.measures(fact, ["state"], [
-        M.orders("total_orders"), M.customers("unique_customers"), M.units("units_sold"),
+        M.orders("total_orders"), M.units("units_sold"),
         M.revenue("total_revenue"), M.profit("total_profit"), M.margin_pct("profit_margin_pct"),
         M.avg_line_value("avg_order_value"),
-        M.raw_sum("amount", "_rev"), M.raw_sum("profit", "_profit")])
+        M.raw_sum("amount", "_rev"), M.raw_sum("profit", "_profit")],
+        distinct={"unique_customers": "customer_name"})
     x = W.rank_by(x, [F.desc("_rev")], "revenue_rank")
     x = W.rank_by(x, [F.desc("_profit")], "profit_rank")
     return x.drop("_rev", "_profit").orderBy(F.desc("total_revenue"), "state")
@@ -386,9 +388,9 @@ def top_cities(t: SalesTables, n: int = 15) -> DataFrame:
     dense rank."""
     fact = t.fact(["city", "state", "customer_name"], ["amount", "profit"])
     x = M.measures(fact, ["city", "state"], [
-        M.orders("total_orders"), M.customers("unique_customers"), M.revenue("total_revenue"),
+        M.orders("total_orders"), M.revenue("total_revenue"),
         M.profit("total_profit"), M.avg_line_value("avg_order_value"),
-        M.raw_sum("amount", "_rev")])
+        M.raw_sum("amount", "_rev")], distinct={"unique_customers": "customer_name"})
     x = W.rank_by(x, [F.desc("_rev")], "city_rank")
     return x.drop("_rev").orderBy(F.desc("total_revenue"), "city", "state").limit(n)
 
@@ -555,7 +557,7 @@ def customer_leaderboard(t: SalesTables, grain: tuple = ("customer_name", "state
     grain = list(grain)
     fact = t.fact(grain, ["amount", "profit"])
     base = M.measures(fact, grain, [M.revenue("total_revenue"), M.profit("total_profit")])
-    x = C.leaderboard(base, "total_revenue", "state", share="revenue_share_pct")
+    x = C.leaderboard(base, "total_revenue", "state", share="revenue_share_pct", grain=grain)
     return (x.select(*grain, "total_revenue", "total_profit", "overall_rank",
                      "rank_in_state", "revenue_share_pct")
             .orderBy("overall_rank", *grain))
@@ -579,7 +581,8 @@ def weekday_histogram(t: SalesTables, orders_per_mark: int = 1) -> DataFrame:
     x = text_histogram(orders, [day_name("order_date").alias("day_name"),
                                 day_of_week("order_date").alias("_dow")],
                        F.count_distinct("order_id"), L.HISTOGRAM_MARK,
-                       count_name="order_count", bar_name="histogram", unit=orders_per_mark)
+                       count_name="order_count", bar_name="histogram", unit=orders_per_mark,
+                       unit_name="orders_per_mark")
     return x.orderBy("_dow").drop("_dow")
 
 
@@ -593,12 +596,13 @@ def executive_summary_frame(t: SalesTables) -> DataFrame:
     line value, margin, loss lines."""
     fact = t.fact(["order_date", "customer_name", "state"], LINE)
     x = M.measures(fact, [month_start("order_date").alias("m")], [
-        M.orders("total_orders"), M.customers("unique_customers"),
-        M.distinct_count("state", "active_states"), M.units("units_sold"),
+        M.orders("total_orders"), M.few_distinct("state", "active_states"), M.units("units_sold"),
         M.revenue("total_revenue"), M.profit("total_profit"),
         M.avg_line_value("avg_order_value"), M.margin_pct("profit_margin_pct"),
-        M.loss_lines("loss_orders")])
-    return x.select(month_key("m").alias("month"), *[c for c in x.columns if c != "m"])
+        M.loss_lines("loss_orders")], distinct={"unique_customers": "customer_name"})
+    first = ["total_orders", "unique_customers"]
+    return x.select(month_key("m").alias("month"), *first,
+                    *[c for c in x.columns if c not in ("m", *first)])
 
 
 def create_executive_view(t: SalesTables, name: str = EXECUTIVE_VIEW) -> None:

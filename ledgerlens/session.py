@@ -60,6 +60,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    local_only = configured and configured.startswith("file:")
+    if local_only and not sc.master.startswith("local"):
+        raise RuntimeError(
+            f"spark.checkpoint.dir is the local folder {configured}; point it at a shared "
+            "folder that every executor can reach")
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()

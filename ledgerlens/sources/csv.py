@@ -7,13 +7,15 @@ kept as written (``"Kerala "`` keeps its trailing blank); use
 
 Two load modes:
 
-* strict (``read_*``): explicit schema, FAILFAST; one malformed record
-  fails the load.
+* strict (``read_*``): explicit schema, FAILFAST; the header must have the
+  expected names in order, and one malformed record fails the load. All columns of every record are parsed once, when the file is
+  loaded into the shared folder, so that reports that read few columns
+  cannot miss a bad one.
 * lenient (``read_with_rejects``): every field is read as text and
   converted with ``try_cast`` / ``try_to_date``; rows where a non-empty
-  field fails to convert, or the line has the wrong field count, go to a
-  rejects DataFrame with the raw line and a reason instead of being
-  silently coerced.
+  field fails to convert or would lose digits, or the line has the wrong
+  field count, go to a rejects DataFrame with the raw line and a reason
+  instead of being silently coerced. The header is checked as well.
 """
 
 from __future__ import annotations
@@ -22,38 +24,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.operators.materialize import materialize
 from ledgerlens.sources import schemas
 from ledgerlens.sources.tables import SalesTables
 
 ORDER_DATE_FORMAT = "dd-MM-yyyy"
 
 
-def _reader(spark: SparkSession, schema: T.StructType):
-    return (spark.read.schema(schema)
+def _reader(spark: SparkSession):
+    """``enforceSchema`` off compares every file's header with the names of
+    the schema; without column pruning all fields of a record are parsed."""
+    return (spark.read
             .option("header", True)
-            .option("mode", "FAILFAST")
+            .option("enforceSchema", False)
+            .option("columnPruning", False)
             .option("dateFormat", ORDER_DATE_FORMAT)
             .option("ignoreTrailingWhiteSpace", False)
             .option("ignoreLeadingWhiteSpace", False))
 
 
+def _with_header(schema: T.StructType) -> T.StructType:
+    """The schema under the names that the file's header must have."""
+    return T.StructType([T.StructField(h, f.dataType) for h, f in
+                         zip(schemas.HEADERS[tuple(schema.names)], schema.fields)])
+
+
+def _strict(spark: SparkSession, path: str, schema: T.StructType, label: str) -> DataFrame:
+    whole = _reader(spark).schema(_with_header(schema)).option("mode", "FAILFAST").csv(path)
+    return materialize(whole.toDF(*schema.names), f"staged-{label}")
+
+
 def read_order_list(spark: SparkSession, path: str) -> DataFrame:
-    return _reader(spark, schemas.ORDER_LIST).csv(path)
+    return _strict(spark, path, schemas.ORDER_LIST, "order-list")
 
 
 def read_order_details(spark: SparkSession, path: str) -> DataFrame:
-    return _reader(spark, schemas.ORDER_DETAILS).csv(path)
+    return _strict(spark, path, schemas.ORDER_DETAILS, "order-details")
 
 
 def read_sales_target(spark: SparkSession, path: str) -> DataFrame:
-    return _reader(spark, schemas.SALES_TARGET).csv(path)
+    return _strict(spark, path, schemas.SALES_TARGET, "sales-target")
 
 
 def read_sales_tables(spark: SparkSession, orders_path: str, details_path: str,
-                      targets_path: str) -> SalesTables:
-    """The three CSV files as one bundle for the reports (strict load)."""
-    return SalesTables(read_order_list(spark, orders_path), read_order_details(spark, details_path),
-                       read_sales_target(spark, targets_path))
+                      targets_path: str, ignore_case: bool = False) -> SalesTables:
+    """The three CSV files as one bundle for the reports (strict load);
+    with ``ignore_case`` text other than ids compares without case."""
+    frames = [read_order_list(spark, orders_path), read_order_details(spark, details_path),
+              read_sales_target(spark, targets_path)]
+    return SalesTables(*[normalise_case(f) if ignore_case else f for f in frames])
 
 
 def _convert(raw: Column, dtype: T.DataType) -> Column:
@@ -72,15 +91,12 @@ def read_with_rejects(spark: SparkSession, path: str,
     Empty fields become NULL in ``good`` (the NULL profile reports them).
     """
     text_schema = T.StructType(
-        [T.StructField(f.name, T.StringType()) for f in schema.fields]
+        [T.StructField(f.name, T.StringType()) for f in _with_header(schema).fields]
         + [T.StructField("_corrupt", T.StringType())])
-    raw = (spark.read.schema(text_schema)
-           .option("header", True)
+    raw = (_reader(spark).schema(text_schema)
            .option("mode", "PERMISSIVE")
            .option("columnNameOfCorruptRecord", "_corrupt")
-           .option("ignoreTrailingWhiteSpace", False)
-           .option("ignoreLeadingWhiteSpace", False)
-           .csv(path))
+           .csv(path)).toDF(*schema.names, "_corrupt")
     typed = raw.select(
         *[_convert(F.col(f.name), f.dataType).alias(f.name) for f in schema.fields],
         *[F.col(f.name).alias("_raw_" + f.name) for f in schema.fields],
@@ -90,6 +106,12 @@ def read_with_rejects(spark: SparkSession, path: str,
                F.lit(f"bad {f.name}"))
         for f in schema.fields if not isinstance(f.dataType, T.StringType)
     ]
+    # a number with more digits than the column keeps would be rounded
+    failures += [
+        F.when(F.col("_raw_" + f.name).try_cast(T.DecimalType(38, 18)) != F.col(f.name),
+               F.lit(f"{f.name} loses digits"))
+        for f in schema.fields if isinstance(f.dataType, (T.DecimalType, T.IntegerType))
+    ]
     reason = F.coalesce(
         F.when(F.col("_corrupt").isNotNull(), F.lit("malformed line")), *failures)
     flagged = typed.withColumn("_reason", reason)
@@ -108,8 +130,12 @@ def clean_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.select(*[F.trim(F.col(c)).alias(c) if c in names else F.col(c) for c in df.columns])
 
 
-def normalise_case(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Compare and group the given text columns case-insensitively, as a
-    server with a case-insensitive default collation would."""
-    return df.select(*[F.collate(F.col(c), "UTF8_LCASE").alias(c) if c in columns else F.col(c)
+def normalise_case(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Compare and group the given text columns (default: all but
+    ``order_id``) case-insensitively, as a server with a case-insensitive
+    default collation would."""
+    names = columns if columns is not None else [
+        f.name for f in df.schema.fields
+        if isinstance(f.dataType, T.StringType) and f.name != "order_id"]
+    return df.select(*[F.collate(F.col(c), "UTF8_LCASE").alias(c) if c in names else F.col(c)
                        for c in df.columns])

@@ -32,6 +32,13 @@ SALES_TARGET = T.StructType([
     T.StructField("target", T.DecimalType(10, 2)),
 ])
 
+# Header names of the three files.
+ORDER_HEADER = ("Order ID", "Order Date", "CustomerName", "State", "City")
+DETAIL_HEADER = ("Order ID", "Amount", "Profit", "Quantity", "Category", "Sub-Category", "PaymentMode")
+TARGET_HEADER = ("Month of Order Date", "Category", "Target")
+HEADERS = {tuple(ORDER_LIST.names): ORDER_HEADER, tuple(ORDER_DETAILS.names): DETAIL_HEADER,
+           tuple(SALES_TARGET.names): TARGET_HEADER}
+
 ORDER_COLUMNS = [f.name for f in ORDER_LIST.fields]
 DETAIL_COLUMNS = [f.name for f in ORDER_DETAILS.fields]
 TARGET_COLUMNS = [f.name for f in SALES_TARGET.fields]

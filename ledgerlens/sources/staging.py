@@ -3,53 +3,132 @@
 Mapping the warehouse tables costs joins (orders x customer x nation x
 region, lineitem x part) and per-line decimal arithmetic, and 31 reports
 read the sales fact, itself a join of the two largest tables on
-order_id. Doing that per report means a shuffle join of the two largest
-tables per report. Staging does it once, the way the original analysis
-loaded its tables before querying them:
+order_id. Staging does that once, the way the original analysis loaded
+its tables before querying them:
 
     order_list     orders with customer, nation and region attributes
     order_details  lines with amount, profit and part attributes
-    sales_fact     order_list JOIN order_details ON order_id, with the
-                   lines of one order in one file, so COUNT(DISTINCT
-                   order_id) collapses them before any exchange. At scale
-                   that is the layout the sort-merge join on order_id
-                   produces (AQE splits a partition that a hot order makes
-                   too large); a small input (fewer splits than cores, so
-                   bounded in size) is hash-partitioned on the order key
-                   at its scan (``warehouse.by_order_key``) and keeps that
-                   layout through the broadcast joins
+    sales_fact     order_list JOIN order_details ON order_id, bucketed by
+                   order_id, so that Spark knows the layout: grouping by
+                   (keys, order_id) for COUNT(DISTINCT order_id) needs no
+                   exchange
     sales_target   the derived targets (small)
 
 Files go under the session's ``spark.checkpoint.dir`` (shared storage on
 a cluster, so a lost executor loses nothing). Each report then scans only
-the staged columns it needs. Staged tables are reused for the same
-source folder within one Spark application.
+the staged columns it needs. Staged tables are reused within one Spark
+application as long as the source files (path, length, modification time)
+are the same; otherwise they are staged anew. A folder of staged tables is
+complete when it has its marker file, which is written last.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import threading
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.session import checkpoint_dir
-from ledgerlens.sources.schemas import DETAIL_COLUMNS, ORDER_COLUMNS, TARGET_COLUMNS
+from ledgerlens.operators.materialize import delete_folder, scratch_path
+from ledgerlens.sources.schemas import DETAIL_COLUMNS, ORDER_COLUMNS, TARGET_COLUMNS, WAREHOUSE
 from ledgerlens.sources.tables import SalesTables
 from ledgerlens.sources.warehouse import Warehouse
 
 FACT_COLUMNS = ORDER_COLUMNS + [c for c in DETAIL_COLUMNS if c != "order_id"]
+STAGED_NAMES = ("order_list", "order_details", "sales_fact", "sales_target")
+MARKER = "_staged.json"
 
 _lock = threading.Lock()
-_staged: dict[tuple[str, str], SalesTables] = {}
+_staged: dict[tuple[str, str], tuple[str, SalesTables]] = {}
 
 
-def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
-STAGED_NAMES = ("order_list", "order_details", "sales_fact", "sales_target")
+def source_state(spark: SparkSession, root: str) -> str:
+    """A digest of the listing (path, length, modification time) of the
+    stored tables under ``root`` that the mapping reads."""
+    listing = []
+    for name in sorted(WAREHOUSE):
+        fs, path = _file_system(spark, f"{root.rstrip('/')}/{name}.parquet")
+        files = fs.listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            listing.append(f"{f.getPath().toString()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(listing)).encode()).hexdigest()
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _open_bucketed(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """The fact as a table of this application's catalog that names its
+    bucketing; the files stay where they are."""
+    name = "ledgerlens_fact_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+    if not spark.catalog.tableExists(name):
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
+                           for f in spark.read.parquet(path).schema.fields)
+        spark.sql(f"CREATE TABLE {name} ({fields}) USING parquet CLUSTERED BY (order_id) "
+                  f"INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
+def _write_fact(order_list: DataFrame, order_details: DataFrame, path: str, buckets: int) -> DataFrame:
+    spark = order_list.sparkSession
+    fact = order_list.join(order_details, "order_id").select(*FACT_COLUMNS)
+    name = "ledgerlens_fact_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+    # one file per bucket and writing task: rows of a bucket come together first
+    (fact.repartition(buckets, "order_id").write.mode("errorifexists").format("parquet")
+     .bucketBy(buckets, "order_id").option("path", path).saveAsTable(name))
+    return spark.table(name)
+
+
+def _mark(spark: SparkSession, base: str, buckets: int) -> None:
+    fs, path = _file_system(spark, f"{base}/{MARKER}")
+    out = fs.create(path, True)
+    out.write(bytearray(json.dumps({"buckets": buckets}).encode()))
+    out.close()
+
+
+def _read_mark(spark: SparkSession, base: str) -> dict | None:
+    fs, path = _file_system(spark, f"{base}/{MARKER}")
+    if not fs.exists(path):
+        return None
+    stream = fs.open(path)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def fact_buckets(spark: SparkSession) -> int:
+    """Buckets of the staged fact: ``ledgerlens.factBuckets`` in the session
+    conf, else the number of shuffle partitions."""
+    return int(spark.conf.get("ledgerlens.factBuckets", None)
+               or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _base_folder(spark: SparkSession, location: str | None) -> str:
+    """``location``, emptied if an earlier staging there did not end; or a
+    new folder that goes with the application."""
+    if not location:
+        return scratch_path(spark, "staged")
+    base = location.rstrip("/")
+    fs, path = _file_system(spark, base)
+    if fs.exists(path):
+        if _read_mark(spark, base):
+            raise FileExistsError(f"{base} already holds staged tables; open them or name another folder")
+        names = {s.getPath().getName() for s in fs.listStatus(path)}
+        if names - set(STAGED_NAMES):
+            raise FileExistsError(f"{base} holds other files: {sorted(names - set(STAGED_NAMES))}")
+        for name in names:  # what an aborted staging left
+            delete_folder(spark, f"{base}/{name}")
+    return base
 
 
 def stage_tables(spark: SparkSession, root: str, location: str | None = None) -> SalesTables:
@@ -57,35 +136,35 @@ def stage_tables(spark: SparkSession, root: str, location: str | None = None) ->
 
     ``location`` names a folder (shared storage) to keep them in, so that
     later applications can open them with ``open_staged`` instead of
-    staging again; by default a fresh folder under the checkpoint folder
-    is used. An existing ``location`` is not overwritten."""
-    base = (location.rstrip("/") if location else
-            f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/staged-{uuid.uuid4().hex}")
+    staging again; by default a new folder under the checkpoint folder is
+    used. Complete staged tables at ``location`` are not overwritten."""
+    base, buckets = _base_folder(spark, location), fact_buckets(spark)
     w = Warehouse(spark, root)
     order_list = _write(w.orders(ORDER_COLUMNS), f"{base}/order_list")
     order_details = _write(w.details(DETAIL_COLUMNS), f"{base}/order_details")
-    fact = _write(order_list.join(order_details, "order_id").select(*FACT_COLUMNS),
-                  f"{base}/sales_fact")
+    fact = _write_fact(order_list, order_details, f"{base}/sales_fact", buckets)
     staged_w = SalesTables(order_list, order_details, sales_target=lambda: None, fact_table=fact)
     targets = _write(Warehouse.targets_from(staged_w).select(*TARGET_COLUMNS),
                      f"{base}/sales_target")
+    _mark(spark, base, buckets)
     return SalesTables(order_list, order_details, targets, fact_table=fact)
 
 
 def stage_csv_tables(spark: SparkSession, orders_path: str, details_path: str,
-                     targets_path: str, trim: bool = False
+                     targets_path: str, trim: bool = False, ignore_case: bool = False
                      ) -> tuple[SalesTables, dict[str, DataFrame]]:
     """Load the three CSV files leniently and stage them like the warehouse.
 
     Rows that fail to parse are not coerced: they are returned per table
     as ``(raw_line, reason)`` rejects, so the caller can report or store
-    them. ``trim`` removes blanks around text values (``"Kerala "``).
-    Returns the staged tables and the rejects.
+    them. ``trim`` removes blanks around text values (``"Kerala "``);
+    ``ignore_case`` makes text other than ids compare and group without
+    regard to case. Returns the staged tables and the rejects.
     """
     from ledgerlens.sources import schemas
-    from ledgerlens.sources.csv import clean_text, read_with_rejects
+    from ledgerlens.sources.csv import clean_text, normalise_case, read_with_rejects
 
-    base = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/staged-csv-{uuid.uuid4().hex}"
+    base, buckets = scratch_path(spark, "staged-csv"), fact_buckets(spark)
     loaded, rejects = {}, {}
     for name, path, schema in [("order_list", orders_path, schemas.ORDER_LIST),
                                ("order_details", details_path, schemas.ORDER_DETAILS),
@@ -93,31 +172,41 @@ def stage_csv_tables(spark: SparkSession, orders_path: str, details_path: str,
         good, bad = read_with_rejects(spark, path, schema)
         loaded[name] = _write(clean_text(good) if trim else good, f"{base}/{name}")
         rejects[name] = bad
-    fact = _write(loaded["order_list"].join(loaded["order_details"], "order_id")
-                  .select(*FACT_COLUMNS), f"{base}/sales_fact")
-    tables = SalesTables(loaded["order_list"], loaded["order_details"], loaded["sales_target"],
-                         fact_table=fact)
+    fact = _write_fact(loaded["order_list"], loaded["order_details"], f"{base}/sales_fact", buckets)
+    _mark(spark, base, buckets)
+    frames = [loaded["order_list"], loaded["order_details"], loaded["sales_target"], fact]
+    if ignore_case:
+        frames = [normalise_case(df) for df in frames]
+    tables = SalesTables(*frames[:3], fact_table=frames[3])
     return tables, rejects
 
 
 def open_staged(spark: SparkSession, location: str) -> SalesTables:
-    """Open tables staged earlier with ``stage_tables(..., location=...)``."""
+    """Open tables staged earlier with ``stage_tables(..., location=...)``;
+    refuses a folder whose staging did not end."""
     base = location.rstrip("/")
-    t = {n: spark.read.parquet(f"{base}/{n}") for n in STAGED_NAMES}
+    mark = _read_mark(spark, base)
+    if mark is None:
+        raise FileNotFoundError(f"{base} holds no complete staged tables (no {MARKER}); stage them again")
+    t = {n: spark.read.parquet(f"{base}/{n}") for n in STAGED_NAMES if n != "sales_fact"}
     return SalesTables(t["order_list"], t["order_details"], t["sales_target"],
-                       fact_table=t["sales_fact"])
+                       fact_table=_open_bucketed(spark, f"{base}/sales_fact", mark["buckets"]))
 
 
 def use_staged(spark: SparkSession, root: str, tables: SalesTables) -> None:
-    """Make ``tables`` the staged tables of ``root`` in this application."""
+    """Make ``tables`` the staged tables of ``root`` in this application,
+    until the source files change."""
     with _lock:
-        _staged[(spark.sparkContext.applicationId, root.rstrip("/"))] = tables
+        _staged[(spark.sparkContext.applicationId, root.rstrip("/"))] = (
+            source_state(spark, root), tables)
 
 
 def staged_tables(spark: SparkSession, root: str) -> SalesTables:
-    """Staged tables for ``root``, built on first use in this application."""
+    """Staged tables for ``root``: built on first use in this application,
+    and again when the source files have changed."""
     key = (spark.sparkContext.applicationId, root.rstrip("/"))
     with _lock:
-        if key not in _staged:
-            _staged[key] = stage_tables(spark, root)
-        return _staged[key]
+        state = source_state(spark, root)
+        if key not in _staged or _staged[key][0] != state:
+            _staged[key] = (state, stage_tables(spark, root))
+        return _staged[key][1]

@@ -53,33 +53,10 @@ PROFIT_TYPE = T.DecimalType(13, 2)
 TARGET_TYPE = T.DecimalType(18, 2)
 
 
-def is_small_input(df: DataFrame) -> bool:
-    """True when a scan yields fewer input splits than the session has
-    cores. Its size is then bounded by cores x split size, so any layout
-    choice made for it (even one where a hot key fills a partition) only
-    concerns a bounded amount of data."""
-    try:
-        return df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
-    except Exception:   # e.g. a Spark Connect session exposes no RDD/SparkContext
-        return False
-
-
-def by_order_key(df: DataFrame, key: str) -> DataFrame:
-    """A small scan (see ``is_small_input``) hash-partitioned on its order
-    key over the session's cores: per-line work runs on every core and
-    each order's rows stay together. Other scans are returned unchanged
-    (they are already read by many tasks; at scale the join on the order
-    key partitions them)."""
-    if is_small_input(df):
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-    return df
-
-
 class Warehouse:
-    def __init__(self, spark: SparkSession, root: str, spread_small: bool = True):
+    def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
-        self.spread_small = spread_small
         self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
@@ -100,10 +77,7 @@ class Warehouse:
         need_customer = bool({"customer_name", "state", "city"} & set(cols))
         need_nation = bool({"state", "city"} & set(cols))
         need_region = "state" in cols
-        orders = self.table("orders")
-        if self.spread_small:
-            orders = by_order_key(orders, "o_orderkey")
-        o = orders.select(
+        o = self.table("orders").select(
             F.col("o_orderkey").alias("order_id"),
             F.col("o_orderdate").cast(T.DateType()).alias("order_date"),
             F.col("o_custkey"))
@@ -128,14 +102,11 @@ class Warehouse:
         if unknown:
             raise ValueError(f"not an order_details column: {sorted(unknown)}")
         need_part = bool({"profit", "category", "sub_category"} & set(cols))
-        li = self.table("lineitem")
-        if self.spread_small:
-            li = by_order_key(li, "l_orderkey")
         amount = F.round(
             F.col("l_extendedprice").cast(AMOUNT_TYPE)
             * (F.lit(1).cast(T.DecimalType(3, 2)) - F.col("l_discount").cast(T.DecimalType(3, 2))),
             2).cast(AMOUNT_TYPE)
-        d = li.select(
+        d = self.table("lineitem").select(
             F.col("l_orderkey").alias("order_id"),
             F.col("l_partkey"),
             F.col("l_quantity"),
@@ -163,21 +134,28 @@ class Warehouse:
 
     @staticmethod
     def targets_from(tables: SalesTables) -> DataFrame:
-        """Target rows derived from the sales of ``tables`` (see module doc)."""
+        """Target rows derived from the sales of ``tables`` (see module doc):
+        one aggregate of the fact by month and category, the rest on its
+        rows. """
         fact = tables.fact(["order_date"], ["category", "amount"])
         monthly = (fact.groupBy(month_label("order_date").alias("month_of_order_date"),
                                 F.month("order_date").alias("k"), "category")
                    .agg(F.sum("amount").alias("revenue")))
-        extra = (monthly.select("category").distinct()
-                 .select(F.lit(EXTRA_TARGET_MONTH).alias("month_of_order_date"),
-                         F.lit(EXTRA_TARGET_MONTH_NUMBER).alias("k"), "category"))
-        cells = monthly.select("month_of_order_date", "k", "category").unionByName(extra).distinct()
-        totals = monthly.groupBy("category").agg(F.sum("revenue").alias("tot"))
+        # months are few: every category's cells fit a row
+        cells = monthly.groupBy("category").agg(
+            F.sum("revenue").alias("tot"),
+            F.collect_set(F.struct("month_of_order_date", "k")).alias("cells"))
+        extra = F.struct(F.lit(EXTRA_TARGET_MONTH).alias("month_of_order_date"),
+                         F.lit(EXTRA_TARGET_MONTH_NUMBER).alias("k"))
+        # an equi-join never matches a NULL category, so it has no target
+        cells = cells.where(F.col("category").isNotNull()).select(
+            "category", "tot", F.explode(F.array_union("cells", F.array(extra))).alias("c"))
         # integer arithmetic in cents: FLOOR is exact, no rounded quotient
-        target = F.expr(f"(tot_cents * (k + {TARGET_BASE})) div {TARGET_DIVISOR_CENTS}")
-        return (cells.join(totals, "category")
+        target = F.expr(f"(tot_cents * (c.k + {TARGET_BASE})) div {TARGET_DIVISOR_CENTS}")
+        return (cells
                 .withColumn("tot_cents", (F.col("tot") * F.lit(100)).cast(T.DecimalType(38, 0)))
-                .select("month_of_order_date", "category", target.cast(TARGET_TYPE).alias("target")))
+                .select(F.col("c.month_of_order_date").alias("month_of_order_date"), "category",
+                        target.cast(TARGET_TYPE).alias("target")))
 
     def sales_tables(self) -> SalesTables:
         return SalesTables(

@@ -7,16 +7,11 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from ledgerlens.session import build_session  # noqa: E402
 
-# Small buckets make every global ranking in the tests run through the
-# multi-bucket path (split points, offsets), not the one-task shortcut.
-TEST_ROWS_PER_BUCKET = "7"
-
 
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("local[4]", 8, app_name="ledgerlens-tests",
-                      extra={"spark.ui.showConsoleProgress": "false",
-                             "ledgerlens.ranking.rowsPerBucket": TEST_ROWS_PER_BUCKET})
+                      extra={"spark.ui.showConsoleProgress": "false"})
     yield s
 
 

@@ -31,10 +31,10 @@ def test_customer_grain_has_no_unpartitioned_window_over_customers(staged, repor
     wins = _windows(p)
     assert wins, "expected windows"
     for part, order in wins:
-        # the only unpartitioned windows run over the per-bucket summary
-        # (at most one row per bucket) or over a handful of segment rows
+        # the only unpartitioned windows run over the summary with one row
+        # per partition or over a handful of segment rows
         if part.strip() == "":
-            assert "_b" in order or report in (R.clv_segment_summary, R.rfm_segment_summary), (
+            assert "_part" in order or report in (R.clv_segment_summary, R.rfm_segment_summary), (
                 part, order)
 
 
@@ -63,3 +63,36 @@ def test_market_entry_is_aggregate_not_window(staged):
 
 def test_top_customers_is_distributed_top_k(staged):
     assert "TakeOrderedAndProject" in plan(R.top_customers(staged))
+
+
+@pytest.mark.parametrize("report", [R.business_summary, R.state_performance, R.top_cities,
+                                    R.executive_summary])
+def test_no_row_is_repeated_for_distinct_counts(staged, report):
+    assert "Expand" not in plan(report(staged))
+
+
+@pytest.mark.parametrize("report", [
+    R.monthly_trend, R.quarterly_summary, R.day_of_week_performance, R.category_performance,
+    R.subcategory_performance, R.loss_making_subcategories, R.top_customers,
+    R.payment_mode_performance, R.payment_preference_by_state, R.top_payment_per_category,
+    R.business_summary, R.state_performance, R.top_cities, R.executive_summary])
+def test_distinct_orders_need_no_exchange_by_order(staged, report):
+    exchanges = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan(report(staged)))
+    assert not [e for e in exchanges if "order_id" in e]
+
+
+def test_targets_scan_the_fact_once(staged):
+    from ledgerlens.sources.warehouse import Warehouse
+    p = plan(Warehouse.targets_from(staged))
+    assert p.count("FileScan") == 1
+
+
+def test_orphan_rows_are_counted_before_the_exchange(staged):
+    p = plan(R.dq_orphan_details(staged))
+    assert re.search(r"Exchange hashpartitioning\(order_id.*\n.*HashAggregate\(keys=\[order_id", p)
+
+
+def test_hot_order_can_be_split_without_staging(spark):
+    """The join of entry()'s plan is not bound to the aggregate above it."""
+    from __spark_entry__ import entry
+    assert "REBALANCE" in entry(spark)._jdf.queryExecution().executedPlan().toString()

@@ -1,4 +1,4 @@
-"""Bucketed global ranking equals Spark's single-partition windows."""
+"""Range-partitioned global ranking equals Spark's single-partition windows."""
 
 import random
 
@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import ranking as RK
+from ledgerlens.operators.numbering import number_rows, ordered
 
 
 @pytest.fixture(scope="module")
@@ -40,13 +41,19 @@ def test_row_number_and_ntile(skewed, ascending):
     w = Window.orderBy(*spark_order)
     ref = skewed.select("name", F.row_number().over(w).alias("rn"),
                         F.ntile(4).over(w).alias("q4"), F.ntile(7).over(w).alias("q7"))
-    splits = RK.plan_splits(skewed, order)
-    assert splits.buckets > 10          # the multi-bucket path is exercised
-    _cmp(RK.with_row_number(skewed, order, "rn", splits=splits), ref, "name", "rn", "rn")
-    _cmp(RK.with_ntile(skewed, 4, order, "q4", splits=splits), ref, "name", "q4", "q4")
+    _cmp(RK.with_row_number(skewed, order, "rn"), ref, "name", "rn", "rn")
+    _cmp(RK.with_ntile(skewed, 4, order, "q4"), ref, "name", "q4", "q4")
     _cmp(RK.with_ntile(skewed, 7, order, "q7"), ref, "name", "q7", "q7")
 
 
+@pytest.mark.parametrize("tiles", [3, 5])
+def test_partitioned_ntile(skewed, tiles):
+    ref = skewed.select("name", F.ntile(tiles).over(
+        Window.partitionBy("region").orderBy(F.asc("v"), F.asc("name"))).alias("r"))
+    got = RK.with_ntile(skewed, tiles, [RK.asc("v"), RK.asc("name")], "r", partition_by=["region"])
+    _cmp(got, ref, "name", "r", "r")
+
+
 def test_ntile_more_tiles_than_rows(spark):
     df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2)], "name string, v int")
     got = {r["name"]: r["t"] for r in RK.with_ntile(df, 5, [RK.desc("v"), RK.asc("name")], "t").collect()}
@@ -76,27 +83,54 @@ def test_partitioned_row_number(skewed):
     _cmp(got, ref, "name", "r", "r")
 
 
-def test_bucket_is_a_function_of_values(skewed):
-    """Same row values give the same bucket, whatever the partitioning."""
+def test_layout_does_not_matter(skewed):
     order = [RK.desc("v"), RK.asc("name")]
-    splits = RK.plan_splits(skewed, order)
-    a = {r["name"]: r["b"] for r in splits.with_bucket(skewed, "b").collect()}
-    b = {r["name"]: r["b"] for r in splits.with_bucket(skewed.repartition(5), "b").collect()}
-    assert a == b
-    # buckets are contiguous ranges of the sort order
-    ordered = skewed.orderBy(F.desc("v"), F.asc("name")).select("name").collect()
-    seq = [a[r["name"]] for r in ordered]
-    assert seq == sorted(seq)
-
-
-def test_hot_value_is_spread_over_buckets(skewed):
-    order = [RK.desc("v"), RK.asc("name")]
-    splits = RK.plan_splits(skewed, order)
-    hot = splits.with_bucket(skewed.where("v = 100"), "b").select("b").distinct().count()
+    one = {r["name"]: r["rn"] for r in RK.with_row_number(skewed, order, "rn").collect()}
+    for df in (skewed.repartition(5), skewed.coalesce(1)):
+        assert one == {r["name"]: r["rn"] for r in RK.with_row_number(df, order, "rn").collect()}
+
+
+def test_hot_value_is_spread_over_partitions(spark, skewed):
+    """The grain splits the rows of one value between partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        stored = ordered(skewed, [F.desc("v"), F.asc("name")])
+        parts = stored.groupBy("_part").count().collect()
+        hot = stored.where("v = 100").select("_part").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert hot > 1
+    assert max(r["count"] for r in parts) < 3 * 600 / len(parts)
+
+
+def test_ranks_across_partition_borders(spark):
+    """Values that span many partitions, groups of one row, all equal."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for rows in ([(f"n{i:03d}", "a", 1) for i in range(90)],
+                     [(f"n{i:03d}", str(i), i) for i in range(90)],
+                     [(f"n{i:03d}", str(i // 45), i // 30) for i in range(90)]):
+            df = spark.createDataFrame(rows, "name string, region string, v int")
+            for by in ([], ["region"]):
+                w = Window.partitionBy(*by).orderBy(F.desc("v"))
+                ref = df.select("name", F.rank().over(w).alias("r"), F.dense_rank().over(w).alias("d"))
+                for dense, col in ((False, "r"), (True, "d")):
+                    got = RK.with_rank(df, [RK.desc("v")], "r", partition_by=by, dense=dense, grain=["name"])
+                    _cmp(got, ref, "name", "r", col)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 def test_empty_input(spark):
     df = spark.createDataFrame([], "name string, v int")
     assert RK.with_ntile(df, 4, [RK.desc("v"), RK.asc("name")], "t").count() == 0
     assert RK.with_rank(df, [RK.desc("v")], "r").count() == 0
+
+
+def test_number_rows(spark):
+    df = spark.createDataFrame([(i * 7919 % 101, None if i % 9 == 0 else i) for i in range(100)],
+                               "k int, row_index int")
+    rows = number_rows(df, ["k"], total="n").orderBy("k").collect()
+    assert [r["row_index"] for r in rows] == list(range(100))
+    assert {r["n"] for r in rows} == {100}
+    assert number_rows(df.limit(0), ["k"]).count() == 0
