@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.materialize import materialize, release
 
 
+# links that one file of an intermediate table holds
+LINKS_PER_FILE = 500_000
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
     return (both.filter("b > a").join(least, "a").filter("b <> m")
-            .select(F.col("m").alias("a"), "b").distinct())
+            .select(F.col("m").alias("a"), "b"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
@@ -28,8 +32,16 @@ def _small_star(links: DataFrame) -> DataFrame:
     smallest one."""
     least = links.groupBy("b").agg(F.min("a").alias("m"))
     moved = links.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    kept = least.select(F.col("m").alias("a"), "b")
-    return moved.union(kept).distinct()
+    return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one smaller neighbour, which has none."""
+    ends = links.select(F.col("b").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        links.select("a", F.lit(0), F.lit(1)))
+    unsettled = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter(
+        "up > 1 or (up = 1 and down = 1)")
+    return not unsettled.limit(1).count()
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -37,19 +49,12 @@ def connected_components(links: DataFrame) -> DataFrame:
     the smallest one of its component; ``component`` is that smallest node.
     Links are undirected and may repeat; a link of a node to itself or with
     a null end says nothing. An empty table gives no rows."""
-    def state(df: DataFrame) -> tuple:
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
-        return row["n"], row["x"]
-
     current = materialize(links.filter("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    before = state(current)
-    while before[0]:
-        following = materialize(_small_star(_large_star(current)), "links")
-        after = state(following)
-        release(current)
+    files = 1 + current.count() // LINKS_PER_FILE
+    while not _settled(current):
+        starred = materialize(_large_star(current).distinct().coalesce(files), "links")
+        following = materialize(_small_star(starred).coalesce(files), "links")
+        release(current, starred)
         current = following
-        if after == before:
-            break
-        before = after
     return current.select(F.col("b").alias("node"), F.col("a").alias("component"))

@@ -8,18 +8,21 @@ such pair meets under a common key, and pairs further apart often do.
 Candidates are confirmed on the full shingle sets.
 
 Documents with equal sets form one node from the start. In a bucket
-(nodes under a key) of at most ``SMALL`` nodes every pair is a candidate.
-Larger ones are compared with one pivot at a time, and a pair that is
-already connected is never compared; after ``ROUNDS`` pivots, nodes of a
-bucket that are still in different components are compared in full. So no
-link between components is lost, and a large group of copies costs about
-one comparison a member.
+(nodes under a key) of at most ``SMALL`` nodes every pair is a candidate;
+in a larger one each node is first compared with the bucket's smallest
+node and with the one that shares most buckets with others (the text that
+copies were made from, rather than one of the copies). Then nodes that
+share a bucket but not a component are compared in full, in tiles of
+``TILE`` x ``TILE`` nodes: a matrix product counts the common shingles of
+all their pairs, tiles inside one component are left out, and of the links
+found only a spanning forest is emitted. So no link between components is
+lost, no group is handled in one task, and a large group of copies costs
+about two comparisons a member.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +30,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import small_side
+from ledgerlens.llm.common import byte_pieces, small_side
 from ledgerlens.llm.components import connected_components
 from ledgerlens.operators.materialize import materialize, release
+from ledgerlens.operators.numbering import number_rows
 
 SHINGLE = 4
 CHUNKS, WIDTH = 8, 5
 PLACES = CHUNKS * WIDTH
 SMALL = 8
-ROUNDS = 3
+TILE = 128
+COLUMNS = 1 << 15  # shingles in one matrix product
 SIMILAR_PERCENT = 80
-PIECE = 1 << 20  # bytes of a text hashed at a time
 BLOCK = 1 << 13  # shingles put through all hash functions at a time
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -46,7 +50,6 @@ _random = np.random.default_rng(77)
 _TIMES = _random.integers(0, 1 << 63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_AFTER_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -67,21 +70,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS
 
 
-def _pieces(data: bytes):
-    """``data`` cut at blanks into pieces of about PIECE bytes."""
-    start = 0
-    while len(data) - start > PIECE:
-        at = _AFTER_BLANK.search(data, start + PIECE)
-        end = at.end() if at else len(data)
-        yield data[start:end]
-        start = end
-    yield data[start:]
-
-
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of each word (A-Z lower-cased), in order."""
     out = []
-    for piece in _pieces(text.encode("utf-8", "surrogatepass").lower()):
+    for piece in byte_pieces(text.encode("utf-8", "surrogatepass").lower()):
         data = np.frombuffer(piece, np.uint8)
         inside = np.zeros(len(data) + 2, bool)
         inside[1:-1] = ~_BLANK[data]
@@ -152,15 +144,21 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(ids, pa.binary()),
              pa.array(sizes, pa.int64()), keys.cast(pa.list_(pa.int64()))],
-            names=["doc_id", "text_hash", "node", "n_shingles", "keys"])
+            names=["doc_id", "text_hash", "digest", "n_shingles", "keys"])
 
 
 def _full_sets(batches):
+    """Sets of the texts that belong to their node (an id that repeats may
+    bring others)."""
     for batch in batches:
-        sets = [shingle_set(t.as_py()) for t in batch.column(0)]
-        yield pa.RecordBatch.from_arrays([
-            pa.array([node_id(s) if len(s) else None for s in sets], pa.binary()),
-            pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
+        nodes, sets = [], []
+        for node, digest, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+            shingles = shingle_set(text.as_py())
+            if len(shingles) and node_id(shingles) == digest.as_py():
+                nodes.append(node.as_py())
+                sets.append(shingles.view(np.int64))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
             names=["node", "shingles"])
 
 
@@ -177,14 +175,6 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("a", "b"))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends lie in different components so far."""
-    one = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return (pairs.join(one, "a", "left").join(two, "b", "left")
-            .filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-
-
 def near_duplicates(docs: DataFrame, percent: int = SIMILAR_PERCENT, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_shingles``, ``component_id``
@@ -200,85 +190,136 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILAR_PERCENT, id_col: str
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"),
                          F.col(text_col).alias("text"))
-    schema = source.select("doc_id", "text_hash").schema.add("node", "binary").add(
+    schema = source.select("doc_id", "text_hash").schema.add("digest", "binary").add(
         "n_shingles", "long").add("keys", T.ArrayType(T.LongType()))
     sketches = materialize(source.mapInArrow(_sketch, schema), "sketches")
-    nodes = (sketches.filter("node is not null").groupBy("node")
+    nodes = (sketches.filter("digest is not null").groupBy("digest")
              .agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
-    nodes = materialize(nodes, "nodes")
-    links = _links(source, nodes, percent)
-    components = connected_components(links)
+    nodes = number_rows(nodes, ["digest"], "node", label="nodes")
+    components = connected_components(_links(source, nodes, percent))
     # smallest id over the members of all nodes of a component
-    label = nodes.select("node", "rep").join(components, "node", "left").select(
-        "node", "rep", F.coalesce("component", "node").alias("component"))
+    label = nodes.select("node", "digest", "rep").join(components, "node", "left").select(
+        "digest", "rep", F.coalesce("component", "node").alias("component"))
     least = label.groupBy("component").agg(F.min("rep").alias("component_id"))
-    label = label.join(least, "component").select("node", "component_id")
-    return sketches.drop("keys").join(label, "node", "left").select(
+    label = label.join(least, "component").select("digest", "component_id")
+    return sketches.drop("keys").join(label, "digest", "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         .alias("component_id"), "text_hash",
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _tile_links(percent: int):
+    """Links between components among the nodes of one or two tiles, as a
+    spanning forest of the components."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        component = table.column("component").to_numpy()
+        tile = table.column("tile").to_numpy()
+        sets = table.column("shingles").combine_chunks()
+        sizes = np.diff(sets.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        shingle, column, seen = np.unique(sets.flatten().to_numpy(), return_inverse=True,
+                                          return_counts=True)
+        common = seen[column] > 1  # the others are in one set only
+        kept = np.cumsum(seen > 1) - 1
+        owner, column = owner[common], kept[column[common]]
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        low = np.flatnonzero(tile == tile.min())
+        high = np.flatnonzero(tile == tile.max())
+        both = np.zeros((len(low), len(high)))
+        width = int((seen > 1).sum())
+        for start in range(0, width, COLUMNS):
+            at = slice(*np.searchsorted(column, [start, start + COLUMNS]))
+            m = np.zeros((len(sizes), min(COLUMNS, width - start)), np.float32)
+            m[owner[at], column[at] - start] = 1
+            both += m[low] @ m[high].T
+        union = sizes[low][:, None] + sizes[high][None, :] - both
+        i, j = np.nonzero((100 * both >= percent * union)
+                          & (component[low][:, None] != component[high][None, :]))
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        out = []
+        for x, y in np.unique(np.stack([component[low[i]], component[high[j]]], axis=1), axis=0).tolist():
+            rx, ry = root(x), root(y)
+            if rx != ry:
+                parent[max(rx, ry)] = min(rx, ry)
+                out.append((min(x, y), max(x, y)))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()),
+                         "b": pa.array([x[1] for x in out], pa.int64())})
+    return run
+
+
 def _links(source: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links ``a, b`` between nodes that hold every component
+    together."""
     members = nodes.select("node", F.explode("keys").alias("key"))
     buckets = members.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("node").alias("pivot")).filter("n > 1")
+        F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
     members = materialize(members.join(buckets, "key"), "buckets")
     # texts are read again only for the nodes that share a bucket
-    wanted = materialize(members.select("node").distinct().join(nodes, "node")
-                         .select(F.col("rep").alias("doc_id")), "candidates")
+    wanted = materialize(members.select("node").distinct().join(nodes, "node").select(
+        "node", "digest", F.col("rep").alias("_rep")), "candidates")
     near = small_side(wanted)
-    sets = materialize(source.join(near, source["doc_id"].eqNullSafe(near["doc_id"]), "left_semi")
-                       .select("text").mapInArrow(_full_sets, "node binary, shingles array<long>")
-                       .filter("node is not null"), "shingle-sets")
+    sets = materialize(source.join(near, source["doc_id"].eqNullSafe(near["_rep"])).select(
+        "node", "digest", "text").mapInArrow(_full_sets, "node long, shingles array<long>"),
+        "shingle-sets")
     release(wanted)
-    few = (members.filter(F.col("n") <= SMALL).groupBy("key").agg(
-        F.sort_array(F.collect_list("node")).alias("x")))
+    few = members.filter(F.col("n") <= SMALL).groupBy("key").agg(
+        F.sort_array(F.collect_list("node")).alias("x"))
     few = few.select(F.col("x"), F.posexplode("x").alias("i", "a")).select(
         "a", F.explode(F.expr(f"slice(x, i + 2, {SMALL})")).alias("b"))
     many = members.filter(F.col("n") > SMALL)
-    pairs = materialize(few.union(many.filter("node <> pivot").select(
-        F.col("pivot").alias("a"), F.col("node").alias("b"))).distinct(), "pairs")
-    # first each node with its smallest partner only: most groups are
-    # connected by that, and the rest compares what is still apart
-    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    links = materialize(_confirm(first, sets, percent), "confirmed")
-    labels = materialize(connected_components(links), "labels")
-    again = materialize(_apart(pairs, labels).join(
-        first, ["a", "b"], "left_anti"), "pairs")
-    found = [links, materialize(_confirm(again, sets, percent), "confirmed")]
-    many = many.select("key", "node")
-    for turn in range(ROUNDS + 1):
-        labels = materialize(connected_components(_union(found)), "labels")
-        split = many.join(labels, "node", "left").select(
-            "key", "node", F.coalesce("component", "node").alias("component"))
-        split = materialize(split.join(split.groupBy("key").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-            .select("key"), "key"), "unresolved")
-        if not split.limit(1).count():
-            break
-        if turn < ROUNDS:
-            chosen = split.groupBy("key").agg(
-                F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn))).alias("p"))
-            pairs = split.join(chosen, "key").filter(
-                F.col("component") != F.col("p.component")).select(F.col("p.node").alias("x"), "node")
-        else:  # exact end: what the pivots left apart, component against component
-            other = split.select("key", F.col("node").alias("x"), F.col("component").alias("cx"))
-            pairs = split.join(other, "key").filter("component < cx").select("x", "node")
-        pairs = pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        found.append(materialize(_confirm(pairs.distinct(), sets, percent), "confirmed"))
-        release(split)
-    result = materialize(_union(found), "confirmed")
-    release(sets, members, *found)
-    return result
-
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.union(t)
-    return out
+    shared = many.groupBy("node").agg(F.sum("n").alias("shared"))
+    centres = many.join(shared, "node").groupBy("key").agg(
+        F.max(F.struct("shared", F.col("node").alias("centre"))).alias("c"))
+    pivots = many.join(centres, "key").select("node", F.explode(F.array(
+        "least", "c.centre")).alias("p"))
+    pairs = few.union(pivots.filter("node <> p").select(
+        F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))).distinct()
+    found = materialize(_confirm(pairs, sets, percent), "confirmed")
+    labels = connected_components(found)
+    placed = materialize(many.select("key", "node").join(labels, "node", "left").select(
+        "key", "node", F.coalesce("component", "node").alias("component")), "placed")
+    split = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    placed = placed.join(split.filter("lo <> hi").select("key", "lo"), "key")
+    late = _links_between(placed, sets, percent)
+    links = late.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b")))
+    release(sets, members, found)
+    return links
+
+
+def _links_between(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of nodes that share a bucket; ``placed``
+    has ``key, node, component`` and the bucket's smallest component
+    ``lo``. Components that meet in buckets, directly or through others,
+    form a cluster, which is cut into tiles in the order of components."""
+    meet = connected_components(placed.select(F.col("lo").alias("a"), F.col("component").alias("b")))
+    meet = meet.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    rows = placed.select("node", "component").distinct().join(meet, "component", "left").select(
+        "node", "component", F.coalesce("cluster", "component").alias("cluster"))
+    rows = number_rows(rows, ["cluster", "component", "node"], label="clusters")
+    first = rows.groupBy("cluster").agg(F.min("row_index").alias("first"))
+    rows = materialize(rows.join(first, "cluster").select(
+        "node", "component", "cluster",
+        F.floor((F.col("row_index") - F.col("first")) / TILE).alias("tile")), "tiles")
+    tiles = rows.groupBy("cluster", "tile").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"))
+    other = tiles.select("cluster", F.col("tile").alias("tile2"), F.col("lo").alias("lo2"),
+                         F.col("hi").alias("hi2"))
+    pairs = tiles.join(other, "cluster").filter("tile <= tile2").filter(
+        "lo <> hi or lo2 <> hi2 or lo <> lo2")
+    sides = pairs.select("cluster", F.col("tile").alias("i"), F.col("tile2").alias("j"),
+                         F.explode(F.array_distinct(F.array("tile", "tile2"))).alias("tile"))
+    links = sides.join(rows, ["cluster", "tile"]).join(sets, "node").groupBy(
+        "cluster", "i", "j").applyInArrow(_tile_links(percent), "a long, b long")
+    return materialize(links, "confirmed")
 
 
 def keep_one(docs: DataFrame, percent: int = SIMILAR_PERCENT, id_col: str = "doc_id",
