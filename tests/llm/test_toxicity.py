@@ -1,0 +1,113 @@
+"""Toxicity: the automaton against edit distances, learning, held-out accuracy."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import toxicity as X
+from ledgerlens.llm.queries import op10_toxicity
+
+SF = "/root/testdata/sf0.1"
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row
+
+
+def brute(terms, word):
+    best = None
+    for term, (stem, errors) in terms.items():
+        row = distance(term, word)
+        e = min(row) if stem else row[-1]
+        if e <= errors and (best is None or (e, term) < best):
+            best = (e, term)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_automaton_matches_edit_distance(seed, monkeypatch):
+    if seed == 3:
+        monkeypatch.setattr(X, "MEMO", 10)
+    rng = random.Random(seed)
+    letters = "abcé"
+    terms = {"".join(rng.choices(letters, k=rng.randrange(1, 8))): (rng.random() < 0.3, rng.randrange(3))
+             for _ in range(12)}
+    a = X.Automaton(terms)
+    for _ in range(1500):
+        word = "".join(rng.choices(letters, k=rng.randrange(0, 10)))
+        got, want = a.match(word), brute(terms, word)
+        assert (got is None) == (want is None) and (got is None or got[0] == want[0]), (terms, word)
+
+
+def test_quotation():
+    def q(text):
+        raw = text.lower().split()
+        words = X.words_of(text)
+        return X.quoted(words, raw, words.index("idiot"))
+    assert q('she said idiot') and q('the "idiot" thing') and q('an “utter idiot” there')
+    assert not q("you idiot") and not q('a "quoted" word then you idiot')
+
+
+def made(n=400):
+    rng = random.Random(1)
+    rows, labels = [], []
+    for i in range(n):
+        words = [rng.choice("abcdefgh") + rng.choice("ioue") + rng.choice("lmnrst") + rng.choice(["", "an", "en"])
+                 for _ in range(40)]
+        toxic = i % 4 == 0
+        if toxic:
+            for _ in range(3):
+                words.insert(rng.randrange(40), rng.choice(["vildorpe", "kraxomund", "zzyp" + rng.choice(
+                    ["er", "ing", "ol", "af", "ut", "emi"])]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_learning_and_edges(spark, docs_of):
+    rows, labels = made()
+    labels = spark.createDataFrame(labels + [(9999, 1), (1, None), (None, 1)], "doc_id long, toxic int")
+    model = X.train(docs_of(rows + [(2, None)]), labels)
+    assert {"vildorpe", "kraxomund", "zzyp"} <= set(model.terms) and model.terms["zzyp"][0]
+    docs = docs_of([(1, None), (2, ""), (3, "you kraxomund"), (4, "you KRAXOMUNNDD vildorpe!"), (5, "clean words"),
+                    (6, "zzypanything goes"), (6, "calm " * 100_000), (None, 'they said "kraxomund" once'),
+                    (7, "vilxdorpe krxomund")]).withColumn("score", F.lit("mine"))
+    got = X.score(docs, model)
+    assert got.columns == ["doc_id", "text", "lang", "source", "score", "predicted"]
+    s = [r["score"] for r in got.collect()]
+    assert all(0 <= x <= 1 for x in s)
+    assert s[0] == s[1] == s[4] == s[6] < 0.2
+    assert min(s[2], s[3], s[5], s[8]) > 0.7 and s[7] < s[2]
+
+
+def test_copies_teach_nothing(spark, docs_of):
+    rows, labels = made()
+    rows += [(1000 + i, "holdom grebsum venlat " + "a b c d e".replace(" ", f" {i % 2} ")) for i in range(60)]
+    labels += [(1000 + i, 1) for i in range(60)]
+    model = X.train(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert not {"holdom", "grebsum", "venlat"} & set(model.terms)
+
+
+def test_nothing_to_learn(spark, docs_of):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    model = X.train(docs_of([(1, "a b c")]), labels)
+    row = X.score(docs_of([(1, "a b c")]), model).first()
+    assert row["predicted"] == 0
+    assert X.score(docs_of([]), model).count() == 0
+
+
+def test_query_on_held_out_rows(spark):
+    got = {r["doc_id"]: r for r in op10_toxicity(spark, SF).collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    held = [d for d in labels if got[d]["held_out"]]
+    toxic = [got[d]["predicted"] for d in held if labels[d]]
+    clean = [got[d]["predicted"] for d in held if not labels[d]]
+    assert np.mean(toxic) > 0.95 and np.mean(clean) < 0.01
