@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.materialize import materialize, release
@@ -79,6 +79,12 @@ def _context(keys: np.ndarray, order: int) -> np.ndarray:
     return keys & np.uint64((1 << 16 * (order - 1)) - 1)
 
 
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the keys in a sorted table, and which are there."""
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and how often each occurs."""
     keys = np.sort(keys)
@@ -95,12 +101,14 @@ def _pieces(text: str):
 @dataclass
 class Model:
     """``keys[n-1]`` sorted hashes of order n; ``logp[n-1]`` their
-    log-probabilities per language; ``backoff[n-1]`` the log weight that
-    the n-gram, as a context, passes on to the next lower order."""
+    log-probabilities per language; ``contexts[n-1]`` sorted hashes of the
+    contexts of order n and ``backoff[n-1]`` the log weight that each
+    passes on to the next lower order."""
 
     languages: list[str]
     keys: list[np.ndarray]
     logp: list[np.ndarray]
+    contexts: list[np.ndarray]
     backoff: list[np.ndarray]
     floor: np.ndarray  # per language, for symbols never seen
     temperature: float = 1.0
@@ -108,25 +116,20 @@ class Model:
     spread: np.ndarray | None = None  # its deviation times sqrt(characters)
     limit: float = np.inf  # rejection limit in those deviations
 
-    def _find(self, order: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        table = self.keys[order - 1]
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return at, table[at] == keys
-
     def _piece(self, codes: np.ndarray) -> np.ndarray:
         keys, times = _runs(grams(codes))
         total = np.zeros(len(self.languages))
-        at, hit = self._find(ORDER, keys)
+        at, hit = _find(self.keys[ORDER - 1], keys)
         total += times[hit] @ self.logp[ORDER - 1][at[hit]].astype(np.float64)
         # shorter n-grams count only where the longer one was never seen
         for n in range(ORDER - 1, 0, -1):
             keys, times = keys[~hit], times[~hit]
             if not len(keys):
                 return total
-            at, known = self._find(n, _context(keys, n + 1))
-            total += times[known] @ self.backoff[n - 1][at[known]].astype(np.float64)
+            at, known = _find(self.contexts[n], _context(keys, n + 1))
+            total += times[known] @ self.backoff[n][at[known]].astype(np.float64)
             keys = _suffix(keys, 1)
-            at, hit = self._find(n, keys)
+            at, hit = _find(self.keys[n - 1], keys)
             total += times[hit] @ self.logp[n - 1][at[hit]].astype(np.float64)
         return total + times[~hit].sum() * self.floor
 
@@ -197,7 +200,7 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             levels.insert(0, (gram, c.astype(float)))
         seen[v] = levels
     keys = [np.unique(np.concatenate([seen[v][n][0] for v in languages])) for n in range(ORDER)]
-    logp, backoff, prob = [], [], None
+    logp, contexts, backoff, prob = [], [], [], None
     floor = np.zeros(size)
     for n in range(ORDER):
         context = _context(keys[n], n + 1)
@@ -205,32 +208,29 @@ def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
             base = prob[np.searchsorted(keys[n - 1], _suffix(keys[n], 1))]
         else:
             base = np.full((len(keys[0]), size), 1.0 / _ALPHABET)
-        prob = np.empty((len(keys[n]), size))
-        weights = np.ones((len(keys[n - 1]) if n else 1, size))
+        known, own = np.unique(context, return_inverse=True)
+        weights = np.ones((len(known), size))
+        seen_part = np.zeros((len(keys[n]), size))
         for k, v in enumerate(languages):
             gram, c = seen[v][n]
             ones, twos = (c == 1).sum(), (c == 2).sum()
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
             groups, member = np.unique(_context(gram, n + 1), return_inverse=True)
             totals = np.bincount(member, c)
-            weight = discount * np.bincount(member) / totals
-            passed = np.ones(len(keys[n]))
-            at = np.minimum(np.searchsorted(groups, context), len(groups) - 1)
-            known = groups[at] == context
-            passed[known] = weight[at[known]]
-            prob[:, k] = passed * base[:, k]
-            prob[np.searchsorted(keys[n], gram), k] += (c - discount) / totals[member]
-            if n:
-                # a context that no text ends with is never a seen n-gram
-                at = np.minimum(np.searchsorted(keys[n - 1], groups), len(keys[n - 1]) - 1)
-                known = keys[n - 1][at] == groups
-                weights[at[known], k] = weight[known]
-            else:
-                floor[k] = np.log(weight[0] / _ALPHABET)
+            weights[np.searchsorted(known, groups), k] = discount * np.bincount(member) / totals
+            seen_part[np.searchsorted(keys[n], gram), k] = (c - discount) / totals[member]
+        prob = seen_part + weights[own] * base
+        if not n:
+            floor = np.log(weights[0] / _ALPHABET)
         logp.append(np.log(prob).astype(np.float32))
-        if n:
-            backoff.append(np.log(weights).astype(np.float32))
-    return Model(languages, keys, logp, backoff, floor)
+        contexts.append(known)
+        backoff.append(np.log(weights).astype(np.float32))
+    return Model(languages, keys, logp, contexts, backoff, floor)
+
+
+def _nothing() -> Model:
+    """A model that knows no language."""
+    return Model([], [np.zeros(0, np.uint64)] * ORDER, [], [], [], np.zeros(0))
 
 
 def _count(batches):
@@ -261,7 +261,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang",
              labelled.filter(F.col(lang).isNotNull()).groupBy(F.col(lang).alias("lang"))
              .agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Model([], [np.zeros(0, np.uint64)] * ORDER, [], [], np.zeros(0))
+        return _nothing()
     grain = 1 << 30
     share = F.lit(0)
     for name, n in sizes.items():
@@ -281,7 +281,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang",
         at = np.flatnonzero(names == v)
         at = at[np.argsort(gram[at])]
         by[v] = (gram[at], count[at])
-    model = fit(by) if by else Model([], [np.zeros(0, np.uint64)] * ORDER, [], [], np.zeros(0))
+    model = fit(by) if by else _nothing()
     shared = spark.sparkContext.broadcast(model)
 
     def measure(batches):
@@ -328,7 +328,3 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
                                              names=[*kept, *names])
 
     return source.mapInArrow(run, schema)
-
-
-def letterless(text: Column) -> Column:
-    return text.isNull() | ~text.rlike(r"\p{L}")
