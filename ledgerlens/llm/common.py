@@ -47,6 +47,14 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spare(name: str, columns: list[str]) -> str:
+    """``name``, with underscores until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def byte_pieces(data: bytes, size: int = 1 << 20):
     """``data`` cut after blanks into pieces of about ``size`` bytes."""
     start = 0

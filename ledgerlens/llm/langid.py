@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import spare
 from ledgerlens.operators.materialize import materialize, release
 
 ORDER = 4
@@ -313,7 +314,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kept = [c for c in (keep or docs.columns) if c not in names]
-    at = "_text_to_score"
+    at = spare("text_to_score", kept)
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias(at))
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
     for name, kind in zip(names, ("string", "double", "boolean", "double")):

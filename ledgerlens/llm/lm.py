@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import word_pieces
+from ledgerlens.llm.common import spare, word_pieces
 from ledgerlens.operators.materialize import materialize, release
 
 VOCABULARY = 1400  # frequent words with a class of their own, at most
@@ -34,8 +34,10 @@ SUFFIX_CLASSES = 509
 FREQUENT = 200_000  # words whose counts are broadcast, at most
 DIMENSIONS = 40
 NOISE = 10.0  # noise tokens for each token
-EPOCHS = 60
+EPOCHS = 30
 RATE = 0.05
+# A context's prediction and the unigram weigh alike at this many tokens.
+CONTEXT_TOKENS = 20.0
 FLUSH = 300_000  # distinct words a task holds before it hands them on
 END = b""  # no word is empty
 
@@ -147,6 +149,8 @@ def train_pairs(pairs: np.ndarray, dimensions: int = DIMENSIONS, epochs: int = E
     A token w after h is told from noise by the odds exp(s(h, w)) /
     (noise * q(w)), with q the smoothed unigram and s(h, w) = r_h . q_w +
     b_w. Real pairs weigh as counted; noise pairs by their expectation.
+    The fewer tokens a context has, the more the result is mixed with the
+    unigram, which keeps it normalised.
     """
     size = len(pairs)
     per_context = pairs.sum(axis=1).astype(np.float64)
@@ -185,8 +189,9 @@ def train_pairs(pairs: np.ndarray, dimensions: int = DIMENSIONS, epochs: int = E
     out = np.empty((size, size), np.float32)
     for rows in blocks:
         s = (params[0][rows] @ params[1].T + params[2]).astype(np.float64)
-        s -= s.max(axis=1, keepdims=True)
-        out[rows] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        share = (per_context[rows] / (per_context[rows] + CONTEXT_TOKENS))[:, None]
+        out[rows] = np.log10(share * p / p.sum(axis=1, keepdims=True) + (1 - share) * unigram)
     return out
 
 
@@ -200,7 +205,8 @@ def train(docs: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY,
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
                         F.count(F.lit(1)).alias("v")).first()
     least = _threshold(counts, frequent)
-    top = counts.filter(F.col("c") >= least).toArrow().to_pydict()
+    # the end has a count of its own, however rare it is
+    top = counts.filter((F.col("c") >= least) | (F.octet_length("word") == 0)).toArrow().to_pydict()
     found = {w: c for w, c in zip(top["word"], top["c"])}
     found.setdefault(END, 0)
     words = sorted(found, key=lambda w: (-found[w], w))
@@ -256,10 +262,12 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str] | No
     uniform classes. An empty table gives no rows.
     """
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    inner = ["_n_tokens", "_n_known", "_base", "_lm", "_rare"]
     kept = [x for x in (keep or docs.columns) if x not in names]
+    inner = [spare(x, kept) for x in ("_n_tokens", "_n_known", "_base", "_lm", "_rare")]
+    n_tokens, n_known, base, lm, rare_words = inner
+    row = spare("_row", kept)
     source = docs.select(*[F.col(f"`{x}`") for x in kept],
-                         F.coalesce(F.col(text_col), F.lit("")).alias("_text_to_score"))
+                         F.coalesce(F.col(text_col), F.lit("")).alias(spare("text_to_score", kept)))
     schema = docs.select(*[F.col(f"`{x}`") for x in kept]).schema
     for name, kind in zip(inner, (T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(),
                                   T.ArrayType(T.BinaryType()))):
@@ -296,15 +304,18 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str] | No
                                              names=[*kept, *inner])
 
     scored = materialize(source.mapInArrow(run, schema).withColumn(
-        "_row", F.monotonically_increasing_id()), "lm-scores")
-    rare = scored.select("_row", F.explode("_rare").alias("word")).join(counts, "word", "left")
-    rare = rare.groupBy("_row").agg(
-        F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("_rare_log"),
-        F.count("c").alias("_rare_known"))
-    rare_log = F.coalesce("_rare_log", F.lit(0.0))
-    return scored.drop("_rare").join(rare, "_row", "left").select(
-        *[F.col(f"`{x}`") for x in kept], F.col("_n_tokens").alias("n_tokens"),
-        (F.col("_n_known") + F.coalesce("_rare_known", F.lit(0))).alias("n_known"),
+        row, F.monotonically_increasing_id()), "lm-scores")
+    rare = scored.select(F.col(row).alias("of"), F.explode(rare_words).alias("word")).join(
+        counts, "word", "left")
+    rare = rare.groupBy("of").agg(
+        F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).alias("log"),
+        F.count("c").alias("known"))
+    scored, rare = scored.alias("s"), rare.alias("r")
+    rare_log = F.coalesce("r.log", F.lit(0.0))
+    return scored.join(rare, F.col(f"s.{row}") == F.col("r.of"), "left").select(
+        *[F.col(f"s.`{x}`") for x in kept], F.col(f"s.{n_tokens}").alias("n_tokens"),
+        (F.col(f"s.{n_known}") + F.coalesce("r.known", F.lit(0))).alias("n_known"),
         F.lit(model.n).cast("long").alias("train_tokens"),
-        (F.col("_base") + rare_log - F.col("_n_tokens") * F.lit(model.base_norm)).alias("base_score"),
-        (F.col("_lm") + rare_log).alias("score"))
+        (F.col(f"s.{base}") + rare_log - F.col(f"s.{n_tokens}") * F.lit(model.base_norm))
+        .alias("base_score"),
+        (F.col(f"s.{lm}") + rare_log).alias("score"))

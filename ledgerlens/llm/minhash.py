@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.llm.common import byte_pieces, small_side
+from ledgerlens.llm.common import byte_pieces, small_side, spare
 from ledgerlens.llm.components import connected_components
 from ledgerlens.operators.materialize import materialize, release
 from ledgerlens.operators.numbering import number_rows
@@ -335,9 +335,10 @@ def keep_one(docs: DataFrame, percent: int = SIMILAR_PERCENT, id_col: str = "doc
 
     def matched(rows: DataFrame, which: str, how: str) -> DataFrame:
         side = small_side(verdict.filter(which).select(
-            F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).alias("_row")))
-        return rows.join(side, repeated.eqNullSafe(F.col("_row")), how)
+            F.struct(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).alias(name)))
+        return rows.join(side, repeated.eqNullSafe(F.col(name)), how)
 
-    once = matched(docs, "kept", "left_semi").withColumn("_row", repeated).dropDuplicates(
-        ["_row"]).drop("_row")
+    name = spare("row", docs.columns)
+    once = matched(docs, "kept", "left_semi").select(
+        F.struct("*").alias("doc"), repeated.alias("row")).dropDuplicates(["row"]).select("doc.*")
     return matched(docs, "true", "left_anti").union(once)

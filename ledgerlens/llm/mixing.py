@@ -95,13 +95,15 @@ def mix(docs: DataFrame, weights: dict | None = None, exponent: float = EXPONENT
     """
     rates = materialize(source_rates(docs, weights, exponent, epochs, source_col), "rates")
     side = small_side(rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate")))
-    kept = [c for c in docs.columns if c not in (copy, rate, key)]
-    rows = docs.join(side, docs[source_col].eqNullSafe(F.col("_source"))).withColumn(
-        "_key", _identity(id_col, text_col, seed))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(whole, F.col(source_col).alias("_of"),
+                       _identity(id_col, text_col, seed).alias("_key"))
+    rows = rows.join(side, F.col("_of").eqNullSafe(F.col("_source")))
     rows = rows.withColumn("_copies", poisson_copies(F.col("_key"), F.col("_rate")))
-    rows = rows.filter("_copies > 0").select(
-        *[f"`{c}`" for c in kept], "_key", F.col("_rate").alias(rate),
-        F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias(copy))
-    rows = rows.select(*[f"`{c}`" for c in kept], copy, rate,
-                       F.md5(F.concat_ws("/", "_key", F.col(copy).cast("string"))).alias(key))
-    return rows.repartition(key).sortWithinPartitions(key)
+    rows = rows.filter("_copies > 0").withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    rows = rows.withColumn("_place", F.md5(F.concat_ws("/", "_key", F.col("_copy").cast("string"))))
+    rows = rows.repartition("_place").sortWithinPartitions("_place")
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in (copy, rate, key)]
+    return rows.select(*kept, F.col("_copy").alias(copy), F.col("_rate").alias(rate),
+                       F.col("_place").alias(key))

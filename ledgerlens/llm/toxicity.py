@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import spare
 from ledgerlens.operators.materialize import materialize, release
 
 SAMPLE_ROWS = 24_000
@@ -331,7 +332,8 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col
     An empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in (keep or docs.columns) if c not in names]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text_col).alias("_text_to_score"))
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], 
+                         F.col(text_col).alias(spare("text_to_score", kept)))
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(names[0], "double").add(
         names[1], "integer")
 
