@@ -37,7 +37,8 @@ def test_weights_and_nulls(spark, docs_of):
     assert None not in n  # not among the weights
     assert abs(n["small"] / (n["small"] + n["big"]) - 0.75) < 0.03
     assert abs(n["small"] + n["big"] - 4005) < 300
-    copies = mixed.groupBy("doc_id").agg(F.max("copy").alias("m"), F.count("*").alias("n"))
+    assert mixed.filter("_copies <> 7").count() == 0
+    copies = mixed.groupBy("doc_id", "source").agg(F.max("copy").alias("m"), F.count("*").alias("n"))
     assert copies.filter("m <> n").count() == 0
     # by their own weight, null is a source like others; equal rows alike
     own = M.mix(docs_of(rows), exponent=1.0, epochs=6.0).filter("source is null")
