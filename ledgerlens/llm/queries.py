@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import (decontamination, langid, linededup, lm, minhash, mixing, sharding,
                             toxicity, urlfilter, vecdedup)
-from ledgerlens.llm.common import fold, table
+from ledgerlens.llm.common import fold, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.filter(fold(F.col("doc_id"), 5) != 0))
     return langid.identify(docs, model, keep=["doc_id"]).select(
@@ -34,6 +35,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     model, counts = lm.train(docs.filter(fold(F.col("doc_id"), 5) != 1))
     scored = lm.score(docs, model, counts, keep=["doc_id"])
@@ -53,6 +55,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return vecdedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
@@ -63,10 +66,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.filter(fold(F.col("doc_id"), 3) != 1))
     held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))

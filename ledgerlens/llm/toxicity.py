@@ -7,11 +7,12 @@ trie. The Levenshtein automata of all terms run over the trie at once, as
 one automaton whose states are sets of (trie node, errors) and whose
 transitions are worked out when first needed; a word that is near no term
 leaves it after a few characters. Misspelling is only allowed for terms
-that few words of clean texts are near to.
+that no word of the clean texts learned from is near to.
 
-A hit counts by its errors and by its context window: inside quotation
-marks or after a word of reporting it is a quotation. The weights of the
-kinds of hits are fitted by logistic regression.
+A hit is as strong as the term's log-odds in the labelled texts. Its kind
+follows from its errors and its context window: inside quotation marks or
+after a word of reporting it is a quotation. The strongest hit of each
+kind and the density of hits are weighed by logistic regression.
 
 Learning uses a bounded sample of labelled rows (``SAMPLE_ROWS``, chosen by
 a hash); matching and scoring run in Spark tasks over whole texts.
@@ -36,7 +37,7 @@ MIN_RATIO = 30.0  # how much more frequent a term is in toxic texts
 STEM_LENGTH = (4, 8)
 STEM_ENDINGS = 4  # distinct words that make a stem
 MAX_TERMS = 20_000
-CLEAN_NEIGHBOURS = 3  # words of clean texts near a term that rule errors out
+CLEAN_NEIGHBOURS = 1  # words of clean texts near a term that rule errors out
 WINDOW = 6  # words before a hit that are searched for a sign of quotation
 FLUSH = 400_000
 MEMO = 200_000  # transitions kept
@@ -49,6 +50,7 @@ REPORTING = {
 _OPENING, _CLOSING = "“„«‹", "”»›"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _KINDS = 6  # (0, 1, 2 errors) x (own words, quoted)
+_FEATURES = _KINDS + 1  # and hits in own words per 100 words
 
 
 def words_of(text: str) -> list[str]:
@@ -122,7 +124,8 @@ class Automaton:
 
     def match(self, word: str) -> tuple[int, str] | None:
         """Fewest errors and the term; None if no term is near enough."""
-        state, best, memo = self.start, None, self.memo
+        state, memo = self.start, self.memo
+        best = self.found[state][1]
         for c in word:
             following = memo.get((state, c))
             state = self._step(state, c) if following is None else following
@@ -147,13 +150,15 @@ def quoted(words: list[str], raw: list[str], at: int) -> bool:
 @dataclass
 class Model:
     terms: dict[str, tuple[bool, int]]
+    strength: dict[str, float]
     weights: np.ndarray = field(default_factory=lambda: np.array(
-        [-4.0, 4.0, 2.5, 1.5, 0.8, 0.4, 0.2]))
+        [-3.0, 1.0, 0.8, 0.7, 0.3, 0.2, 0.1, 0.5]))
     automaton: Automaton | None = None
     cache: dict[str, int] = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"terms": self.terms, "weights": self.weights, "automaton": None, "cache": {}}
+        return {"terms": self.terms, "strength": self.strength, "weights": self.weights,
+                "automaton": None, "cache": {}}
 
     def hits(self, text: str) -> list[tuple[int, int, str]]:
         """(index of the word, errors, term) of every hit."""
@@ -171,16 +176,22 @@ class Model:
         return out
 
     def features(self, text: str | None) -> np.ndarray:
-        """log(1 + hits) of each kind."""
-        n = np.zeros(_KINDS)
+        """Strongest hit of each kind, and the logarithm of 1 + hits in own
+        words per 100 words."""
+        x = np.zeros(_FEATURES)
         if text and self.terms:
             found = self.hits(text)
             if found:
                 raw = text.lower().split()
                 words = words_of(text)
-                for i, e, _ in found:
-                    n[e + 3 * quoted(words, raw, i)] += 1
-        return np.log1p(n)
+                own = 0
+                for i, e, term in found:
+                    quote = quoted(words, raw, i)
+                    own += not quote
+                    kind = e + 3 * quote
+                    x[kind] = max(x[kind], self.strength[term])
+                x[-1] = np.log1p(100 * own / len(words))
+        return x
 
     def score(self, text: str | None) -> float:
         z = self.weights[0] + self.weights[1:] @ self.features(text)
@@ -283,13 +294,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         release(sample)
-        return Model({})
+        return Model({}, {})
     ratio = (F.col("toxic") / sizes[1]) / ((F.col("clean") + 0.1) / sizes[0])
     rows = (sample.mapInArrow(_document_terms, "term string, stem boolean, clean long, toxic long")
             .groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
             .filter((F.col("toxic") >= MIN_SUPPORT) & (ratio >= MIN_RATIO))
             .orderBy(F.desc("toxic"), "term").limit(MAX_TERMS).collect())
     candidates = {r["term"] + "*" * r["stem"]: r["stem"] for r in rows}
+    odds = {r["term"] + "*" * r["stem"]: float(np.log(
+        (r["toxic"] + 0.5) / (sizes[1] + 1) * (sizes[0] + 1) / (r["clean"] + 0.5))) for r in rows}
     support = (sample.filter("y = 1").select("text")
                .mapInArrow(_surroundings(candidates), "term string, before string, word string")
                .groupBy("term").agg(F.countDistinct("before").alias("before"),
@@ -303,13 +316,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     whole = [t for t in held if not candidates[t] and not t.startswith(tuple(stems))]
     terms = {t: (False, errors_allowed(t, False)) for t in whole}
     terms |= {t: (True, errors_allowed(t, True)) for t in stems}
-    model = Model(terms)
+    strength = {t: odds[t + "*" * stem] for t, (stem, _) in terms.items()}
+    model = Model(terms, strength)
     near = (sample.filter("y = 0").select("text").mapInArrow(_near(model), "term string, word string")
             .groupBy("term").agg(F.countDistinct("word").alias("n"))
             .filter(F.col("n") >= CLEAN_NEIGHBOURS).collect())
     for r in near:
         terms[r["term"]] = (terms[r["term"]][0], 0)
-    model = Model(terms)
+    model = Model(terms, strength)
 
     def measure(batches):
         for batch in batches:
@@ -318,7 +332,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                                              names=["x", "y"])
 
     rows = sample.select("text", "y").mapInArrow(measure, "x array<double>, y int").collect()
-    model.fit(np.array([r["x"] for r in rows]).reshape(-1, _KINDS),
+    model.fit(np.array([r["x"] for r in rows]).reshape(-1, _FEATURES),
               np.array([r["y"] for r in rows], float))
     release(sample)
     return model
