@@ -8,17 +8,18 @@ the last return the columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontamination, langid, minhash, mixing, sharding
-from ledgerlens.llm.common import fold, table
+from ledgerlens.llm.common import fold, ship_package, table
 from ledgerlens.operators.materialize import materialize
-from pyspark.sql import functions as F
 
 MIN_SIMILARITY_PERCENT = 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language; rejected ones go."""
+    ship_package(spark)
     model = langid.train(docs.filter(fold(F.col("doc_id"), 5) != 0))
     names = ("_lang_pred", "_score", "_rejected", "_cross_entropy")
     return langid.identify(docs, model, names=names).filter("not _rejected").drop(*names)
@@ -26,6 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    ship_package(spark)
     return minhash.keep_one(docs, MIN_SIMILARITY_PERCENT)
 
 
