@@ -66,14 +66,19 @@ def raw_sum(col: str, name: str) -> Column:
     return F.sum(col).cast(MONEY).alias(name)
 
 
-def few_distinct(col: str, name: str) -> Column:
+def _few_distinct(fact: DataFrame, col: str, name: str) -> Column:
     """COUNT(DISTINCT col) for a column with few values (states, cities,
-    categories): the set is built with the other measures in one pass."""
-    return F.size(F.collect_set(col)).cast(T.LongType()).alias(name)
+    categories): the set is built with the other measures in one pass. Sets
+    cannot hold text that compares without case, so that is lowered."""
+    kind = fact.schema[col].dataType
+    value = F.col(col)
+    if isinstance(kind, T.StringType) and not kind.isUTF8BinaryCollation():
+        value = F.lower(F.collate(value, "UTF8_BINARY"))
+    return F.size(F.collect_set(value)).cast(T.LongType()).alias(name)
 
 
 def measures(fact: DataFrame, keys: Sequence[Column | str], aggs: Sequence[Column],
-             distinct: dict[str, str] | None = None) -> DataFrame:
+             distinct: dict[str, str] | None = None, few: dict[str, str] | None = None) -> DataFrame:
     """GROUP BY ``keys`` with the given measures.
 
     One COUNT(DISTINCT order_id) groups by (keys, order_id) first: over the
@@ -81,14 +86,16 @@ def measures(fact: DataFrame, keys: Sequence[Column | str], aggs: Sequence[Colum
     over other input it is one exchange on these columns, before the one on
     ``keys``. A second distinct count in the same aggregate would repeat
     every row, so each ``{name: column}`` of ``distinct`` is an aggregate of
-    its own (it reads the keys and that column only) joined by the keys.
+    its own (it reads the keys and that column only) joined by the keys;
+    columns with few values can be counted in ``few``.
     """
+    aggs = [*aggs, *[_few_distinct(fact, col, name) for name, col in (few or {}).items()]]
     out = fact.groupBy(*keys).agg(*aggs) if keys else fact.agg(*aggs)
     names = [c for c in out.columns][:len(keys)]
     for name, col in (distinct or {}).items():
         if not keys:
-            count = fact.agg(F.count_distinct(col).cast(T.LongType())).scalar()
-            out = out.withColumn(name, count)
+            values = fact.select(col).distinct().agg(F.count(col).cast(T.LongType()))
+            out = out.withColumn(name, values.scalar())
             continue
         one = fact.groupBy(*keys).agg(distinct_count(col, name))
         one = one.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)], name)

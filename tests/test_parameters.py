@@ -49,7 +49,7 @@ def test_text_histogram_unit(spark):
 def test_csv_bundle_runs_reports(spark, tmp_path):
     (tmp_path / "o.csv").write_bytes(
         b"Order ID,Order Date,CustomerName,State,City\r\n"
-        b"B-1,01-04-2018,Bharat,Gujarat,Ahmedabad\r\nB-2,02-05-2018,Pearl,Goa,Panaji\r\n")
+        b"B-1,01-04-2018,Orla,Northmark,Tarn\r\nB-2,02-05-2018,Emre,Eastmark,Quill\r\n")
     (tmp_path / "d.csv").write_bytes(
         b"Order ID,Amount,Profit,Quantity,Category,Sub-Category,PaymentMode\r\n"
         b"B-1,100.00,10.00,1,Furniture,Chairs,UPI\r\nB-2,50.00,-5.00,2,Clothing,Saree,COD\r\n")
@@ -69,8 +69,8 @@ def test_stage_csv_with_rejects_and_cli(spark, tmp_path):
     from ledgerlens.sources.staging import stage_csv_tables
     (tmp_path / "o.csv").write_bytes(
         b"Order ID,Order Date,CustomerName,State,City\r\n"
-        b"B-1,01-04-2018,Bharat,Kerala ,Kochi\r\nB-2,31-02-2018,Pearl,Goa,Panaji\r\n"
-        b"B-3,02-05-2018,Pearl,Goa,Panaji\r\n")
+        b"B-1,01-04-2018,Orla,Southmark ,Fenn\r\nB-2,31-02-2018,Emre,Eastmark,Quill\r\n"
+        b"B-3,02-05-2018,Emre,Eastmark,Quill\r\n")
     (tmp_path / "d.csv").write_bytes(
         b"Order ID,Amount,Profit,Quantity,Category,Sub-Category,PaymentMode\r\n"
         b"B-1,100.00,10.00,1,Furniture,Chairs,UPI\r\nB-3,50.00,-5.00,2,Clothing,Saree,COD\r\n")
@@ -78,14 +78,14 @@ def test_stage_csv_with_rejects_and_cli(spark, tmp_path):
     paths = [str(tmp_path / f) for f in ("o.csv", "d.csv", "t.csv")]
     t, rejects = stage_csv_tables(spark, *paths, trim=True)
     assert [r.reason for r in rejects["order_list"].collect()] == ["bad order_date"]
-    assert {r.state for r in t.order_list.collect()} == {"Kerala", "Goa"}
+    assert {r.state for r in t.order_list.collect()} == {"Southmark", "Eastmark"}
     assert R.business_summary(t).first()["total_orders"] == 2
     out = tmp_path / "out"
     assert main(["--orders", paths[0], "--details", paths[1], "--targets", paths[2],
                  "--out", str(out), "--format", "csv", "--report", "state_performance"]) == 0
     part = next((out / "state_performance").glob("part-*.csv"))
     rows = list(pycsv.DictReader(part.open()))
-    assert {r["state"] for r in rows} == {"Kerala ", "Goa"}
+    assert {r["state"] for r in rows} == {"Southmark ", "Eastmark"}
     assert next((out / "_rejects" / "order_list").glob("part-*.csv")).read_text().count("B-2") == 1
 
 
