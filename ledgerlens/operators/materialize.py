@@ -4,13 +4,12 @@ Used where one intermediate is read by several jobs. Writing it as
 Parquet under the session's ``spark.checkpoint.dir`` cuts the lineage,
 survives executor loss (the folder is shared storage on a cluster) and
 keeps columnar pruning for the readers. Tables that are no longer needed
-are removed with :func:`release`; what is left when the application ends
-is removed then.
+are removed with :func:`release`; what is left is removed when the
+application's JVM ends.
 """
 
 from __future__ import annotations
 
-import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ _REUSABLE: dict[tuple, list[tuple[DataFrame, DataFrame]]] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new folder name for one table; removed when the application ends."""
+    """A new folder name. Call :func:`remove_at_exit` once it exists."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerlens/{label}-{uuid.uuid4().hex}"
     _WRITTEN[path] = spark
     return path
@@ -58,6 +57,7 @@ def materialize(df: DataFrame, label: str = "stage", reuse: bool = False) -> Dat
                 return copy
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
+    remove_at_exit(spark, path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._ledgerlens_path = path
     if known is not None:
@@ -65,10 +65,20 @@ def materialize(df: DataFrame, label: str = "stage", reuse: bool = False) -> Dat
     return stored
 
 
+def file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = file_system(spark, path)
+    fs.delete(target, True)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove an existing folder when the JVM shuts down."""
+    fs, target = file_system(spark, path)
+    fs.deleteOnExit(target)
 
 
 def release(*tables: DataFrame) -> None:
@@ -78,11 +88,3 @@ def release(*tables: DataFrame) -> None:
         path = getattr(df, "_ledgerlens_path", None)
         if path and path in _WRITTEN:
             delete_folder(_WRITTEN.pop(path), path)
-
-
-@atexit.register
-def _release_all() -> None:
-    for path, spark in list(_WRITTEN.items()):
-        if spark.sparkContext._jsc is not None:
-            delete_folder(spark, path)
-        _WRITTEN.pop(path, None)

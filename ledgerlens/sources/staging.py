@@ -30,7 +30,9 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlens.operators.materialize import delete_folder, scratch_path
+from ledgerlens.operators.materialize import (
+    file_system, delete_folder, remove_at_exit, scratch_path,
+)
 from ledgerlens.sources.schemas import DETAIL_COLUMNS, ORDER_COLUMNS, TARGET_COLUMNS, WAREHOUSE
 from ledgerlens.sources.tables import SalesTables
 from ledgerlens.sources.warehouse import Warehouse
@@ -43,17 +45,12 @@ _lock = threading.Lock()
 _staged: dict[tuple[str, str], tuple[str, SalesTables]] = {}
 
 
-def _file_system(spark: SparkSession, path: str):
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
 def source_state(spark: SparkSession, root: str) -> str:
     """A digest of the listing (path, length, modification time) of the
     stored tables under ``root`` that the mapping reads."""
     listing = []
     for name in sorted(WAREHOUSE):
-        fs, path = _file_system(spark, f"{root.rstrip('/')}/{name}.parquet")
+        fs, path = file_system(spark, f"{root.rstrip('/')}/{name}.parquet")
         files = fs.listFiles(path, True)
         while files.hasNext():
             f = files.next()
@@ -89,14 +86,14 @@ def _write_fact(order_list: DataFrame, order_details: DataFrame, path: str, buck
 
 
 def _mark(spark: SparkSession, base: str, buckets: int) -> None:
-    fs, path = _file_system(spark, f"{base}/{MARKER}")
+    fs, path = file_system(spark, f"{base}/{MARKER}")
     out = fs.create(path, True)
     out.write(bytearray(json.dumps({"buckets": buckets}).encode()))
     out.close()
 
 
 def _read_mark(spark: SparkSession, base: str) -> dict | None:
-    fs, path = _file_system(spark, f"{base}/{MARKER}")
+    fs, path = file_system(spark, f"{base}/{MARKER}")
     if not fs.exists(path):
         return None
     stream = fs.open(path)
@@ -119,7 +116,7 @@ def _base_folder(spark: SparkSession, location: str | None) -> str:
     if not location:
         return scratch_path(spark, "staged")
     base = location.rstrip("/")
-    fs, path = _file_system(spark, base)
+    fs, path = file_system(spark, base)
     if fs.exists(path):
         if _read_mark(spark, base):
             raise FileExistsError(f"{base} already holds staged tables; open them or name another folder")
@@ -147,6 +144,8 @@ def stage_tables(spark: SparkSession, root: str, location: str | None = None) ->
     targets = _write(Warehouse.targets_from(staged_w).select(*TARGET_COLUMNS),
                      f"{base}/sales_target")
     _mark(spark, base, buckets)
+    if not location:
+        remove_at_exit(spark, base)
     return SalesTables(order_list, order_details, targets, fact_table=fact)
 
 
@@ -174,6 +173,7 @@ def stage_csv_tables(spark: SparkSession, orders_path: str, details_path: str,
         rejects[name] = bad
     fact = _write_fact(loaded["order_list"], loaded["order_details"], f"{base}/sales_fact", buckets)
     _mark(spark, base, buckets)
+    remove_at_exit(spark, base)
     frames = [loaded["order_list"], loaded["order_details"], loaded["sales_target"], fact]
     if ignore_case:
         frames = [normalise_case(df) for df in frames]
