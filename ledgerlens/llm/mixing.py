@@ -73,12 +73,11 @@ def source_rates(docs: DataFrame, weights: dict | None = None, exponent: float =
         weight = F.lit(0.0)
         for name, w in weights.items():
             weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
-    sizes = sizes.withColumn("w", weight)
-    total = sizes.agg(F.sum("n").alias("rows"), F.sum("w").alias("weights"))
-    # one row: the totals over the sources
-    return sizes.join(F.broadcast(total)).select(
-        "source", "n", F.when(F.col("weights") > 0, epochs * F.col("rows") * F.col("w")
-                              / F.col("weights") / F.col("n")).otherwise(F.lit(0.0)).alias("rate"))
+    sizes = materialize(sizes.withColumn("w", weight), "source-sizes")
+    rows, weights = sizes.agg(F.sum("n")).scalar(), sizes.agg(F.sum("w")).scalar()
+    return sizes.select("source", "n", F.when(
+        weights > 0, epochs * rows * F.col("w") / weights / F.col("n")).otherwise(F.lit(0.0))
+        .alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict | None = None, exponent: float = EXPONENT,
