@@ -70,6 +70,16 @@ def file_system(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write one small file through Spark's file system."""
+    fs, target = file_system(spark, path)
+    out = fs.create(target, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     fs, target = file_system(spark, path)
     fs.delete(target, True)

@@ -31,7 +31,7 @@ import threading
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlens.operators.materialize import (
-    file_system, delete_folder, remove_at_exit, scratch_path,
+    delete_folder, file_system, remove_at_exit, scratch_path, write_bytes,
 )
 from ledgerlens.sources.schemas import DETAIL_COLUMNS, ORDER_COLUMNS, TARGET_COLUMNS, WAREHOUSE
 from ledgerlens.sources.tables import SalesTables
@@ -86,10 +86,7 @@ def _write_fact(order_list: DataFrame, order_details: DataFrame, path: str, buck
 
 
 def _mark(spark: SparkSession, base: str, buckets: int) -> None:
-    fs, path = file_system(spark, f"{base}/{MARKER}")
-    out = fs.create(path, True)
-    out.write(bytearray(json.dumps({"buckets": buckets}).encode()))
-    out.close()
+    write_bytes(spark, f"{base}/{MARKER}", json.dumps({"buckets": buckets}).encode())
 
 
 def _read_mark(spark: SparkSession, base: str) -> dict | None:
