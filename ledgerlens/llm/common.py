@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
-import tempfile
 import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.materialize import remove_at_exit, scratch_path, write_bytes
+
 # A side with at most this many narrow rows (an id and a few numbers) is
 # broadcast: some tens of MB. Larger ones take part in a shuffled join.
 BROADCAST_ROWS = 500_000
@@ -31,19 +33,22 @@ _shipped: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Send this package's modules to the Python workers, once per
     application, as ``--py-files`` would; not needed where the package is
-    installed on all machines."""
+    installed on all machines. The archive lies in the shared folder."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-"), "ledgerlens.zip")
-    with zipfile.ZipFile(path, "w") as out:
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as out:
         for folder, _, names in os.walk(package):
             for name in names:
                 if name.endswith(".py"):
                     file = os.path.join(folder, name)
                     out.write(file, os.path.relpath(file, os.path.dirname(package)))
-    spark.sparkContext.addPyFile(path)
+    folder = scratch_path(spark, "modules")
+    write_bytes(spark, f"{folder}/ledgerlens.zip", archive.getvalue())
+    remove_at_exit(spark, folder)
+    spark.sparkContext.addPyFile(f"{folder}/ledgerlens.zip")
     _shipped.add(app)
 
 
