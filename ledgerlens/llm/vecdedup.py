@@ -3,14 +3,19 @@
 In every pass the vectors get a string of random hyperplane signs and are
 ordered by it; each vector is compared with the next ``NEIGHBOURS`` in that
 order. Pairs whose cosine, in double precision, reaches the threshold are
-united over all passes. The number of passes follows from the number of
-vectors, so that a pair exactly at the threshold is still met with
-probability ``RECALL`` among random others.
-
-Equal vectors are one node from the start. The components found this way
-hold all links but for missed ones between them, so the links of a vector
-are then counted exactly within its component, tile by tile: no group is
-handled in one task, and no pairs are emitted for that.
+united over all passes. Then vectors that share a pass's first
+``prefix_bits`` signs but no component are compared in full, in tiles of
+``TILE`` x ``TILE``: a matrix product each, tiles inside one component are
+left out, and of the links found only a spanning forest is emitted. So a
+pair that agrees in these signs in any pass ends in one component, however
+crowded its surroundings are; the number of passes follows from the number
+of vectors, so that a pair exactly at the threshold does so with
+probability ``RECALL``. Where the crowds are so large that this would
+compare more than all pairs, all pairs are compared, once.
+
+Equal vectors are one node from the start. The links of a vector are then
+counted exactly within its component, tile by tile: no group is handled in
+one task, and no pairs are emitted for that.
 """
 
 from __future__ import annotations
@@ -36,13 +41,18 @@ TILE = 512
 SEED = 99
 
 
+def prefix_bits(n: int, neighbours: int = NEIGHBOURS) -> int:
+    """Leading signs that at most ``neighbours`` of ``n`` random vectors share
+    on average."""
+    return min(BITS, max(1, math.ceil(math.log2(max(2.0, n / neighbours)))))
+
+
 def passes_needed(n: int, cosine: float = COSINE, neighbours: int = NEIGHBOURS,
                   recall: float = RECALL) -> int:
-    """Passes until a pair at the threshold lies within the window with
-    probability ``recall``: it does if it agrees in the first
-    log2(n / neighbours) signs."""
+    """Passes until a pair at the threshold agrees in the first
+    ``prefix_bits`` signs of one of them with probability ``recall``."""
     same = 1 - math.acos(cosine) / math.pi
-    met = same ** max(1.0, math.log2(max(2.0, n / neighbours)))
+    met = same ** prefix_bits(n, neighbours)
     return max(2, math.ceil(math.log(1 - recall) / math.log(1 - met)))
 
 
@@ -101,6 +111,44 @@ def _neighbour_pairs(cosine: float, neighbours: int):
     return run
 
 
+def _tile_links(cosine: float):
+    """Links between the nodes of two tiles (or inside one) that make the
+    same components as all of their links."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        tile = table.column("tile").to_numpy()
+        node = np.array(table.column("node").to_pylist(), dtype=object)
+        x = _unit(table.column("vector").chunk(0))
+        low = np.flatnonzero(tile == tile.min())
+        high = np.flatnonzero(tile != tile.min())
+        high = high if len(high) else low
+        i, j = np.nonzero(x[low] @ x[high].T >= cosine)
+        i, j = low[i], high[j]
+        label, first, second = np.arange(len(x)), [], []
+        while True:  # each round joins every part to the smallest one that it sees
+            a, b = label[i], label[j]
+            apart = a != b
+            if not apart.any():
+                break
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            large, small = np.maximum(a, b), np.minimum(a, b)
+            order = np.lexsort((small, large))
+            part, at = np.unique(large[order], return_index=True)
+            at = order[at]
+            first.append(i[at])
+            second.append(j[at])
+            to = np.arange(len(x))
+            to[part] = small[at]
+            while (to[to] != to).any():
+                to = to[to]
+            label = to[label]
+        a = node[np.concatenate(first)] if first else node[:0]
+        b = node[np.concatenate(second)] if second else node[:0]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.string()),
+                         "b": pa.array(np.maximum(a, b), pa.string())})
+    return run
+
+
 def _tile_counts(cosine: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -170,14 +218,15 @@ def near_duplicate_vectors(vectors: DataFrame, cosine: float = COSINE,
 
 
 def _links(nodes: DataFrame, cosine: float, neighbours: int, recall: float, seed: int) -> DataFrame:
-    """Distinct verified pairs ``a, b`` of all passes, for vectors of one
-    length."""
+    """Verified pairs ``a, b`` that connect all that meet in some pass, for
+    vectors of one length."""
     n = nodes.count()
     passes = passes_needed(n, cosine, neighbours, recall)
     keys = nodes.select("node", "vector").mapInArrow(
         _project(passes, BITS, seed), "node string, pass int, key long")
-    ordered = number_rows(keys, ["pass", "key", "node"], label="projections").select(
-        "node", "pass", (F.col("row_index") - F.col("pass") * F.lit(n)).alias("position"))
+    ordered = materialize(number_rows(keys, ["pass", "key", "node"], label="projections").select(
+        "node", "pass", F.shiftright("key", BITS - prefix_bits(n, neighbours)).alias("prefix"),
+        (F.col("row_index") - F.col("pass") * F.lit(n)).alias("position")), "projections")
     block = F.floor(F.col("position") / BLOCK)
     # the first rows of a block are also the end of the one before
     blocks = F.when((F.col("position") % BLOCK < neighbours) & (block > 0),
@@ -186,7 +235,43 @@ def _links(nodes: DataFrame, cosine: float, neighbours: int, recall: float, seed
         "node", "vector", "pass", "position", F.explode(blocks).alias("block"))
     pairs = grouped.groupBy("pass", "block").applyInArrow(
         _neighbour_pairs(cosine, neighbours), "a string, b string").distinct()
-    return materialize(pairs, "vector-links")
+    near = materialize(pairs, "vector-links")
+    # a run of at most neighbours + 1 rows has been compared in full
+    runs = materialize(ordered.groupBy("pass", "prefix").agg(F.count(F.lit(1)).alias("size"))
+                       .filter(F.col("size") > neighbours + 1), "vector-runs")
+    pairs = runs.agg(F.sum(F.col("size").cast("double") ** 2).alias("s")).first()["s"]
+    if pairs is None:
+        return near
+    labels = materialize(connected_components(near), "vector-near")
+    if pairs < float(n) * n:
+        crowds = ordered.join(runs, ["pass", "prefix"]).select("node", "pass", "prefix")
+    else:
+        crowds = nodes.select("node", F.lit(0).alias("pass"), F.lit(0).cast("long").alias("prefix"))
+    crowds = crowds.join(labels, "node", "left").select(
+        "pass", "prefix", "node", F.coalesce("component", "node").alias("component"))
+    late = _crowd_links(crowds, nodes, cosine)
+    return near.union(late)
+
+
+def _crowd_links(crowds: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
+    """Links between components inside each run ``pass, prefix`` of rows
+    ``node, component``."""
+    run = ["pass", "prefix"]
+    placed = number_rows(crowds, [*run, "component", "node"], label="crowds")
+    first = placed.groupBy(run).agg(F.min("row_index").alias("first"), F.min("component").alias("least"),
+                                    F.max("component").alias("most")).filter("least <> most")
+    rows = materialize(placed.join(first, run).select(
+        *run, "node", "component",
+        F.floor((F.col("row_index") - F.col("first")) / TILE).alias("tile")), "crowd-tiles")
+    tiles = rows.groupBy(*run, "tile").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    other = tiles.select(*run, F.col("tile").alias("tile2"), F.col("lo").alias("lo2"),
+                         F.col("hi").alias("hi2"))
+    pairs = tiles.join(other, run).filter("tile <= tile2").filter("lo <> hi or lo2 <> hi2 or lo <> lo2")
+    sides = pairs.select(*run, F.col("tile").alias("i"), F.col("tile2").alias("j"),
+                         F.explode(F.array_distinct(F.array("tile", "tile2"))).alias("tile"))
+    links = sides.join(rows, [*run, "tile"]).join(nodes.select("node", "vector"), "node").groupBy(
+        *run, "i", "j").applyInArrow(_tile_links(cosine), "a string, b string")
+    return materialize(links, "crowd-links")
 
 
 def _count_links(members: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:

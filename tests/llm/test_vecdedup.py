@@ -66,6 +66,69 @@ def test_matches_all_pairs(spark, seed, monkeypatch):
     assert have(V.near_duplicate_vectors(spark.createDataFrame(rows, KIND))) == brute(rows)
 
 
+def crowd(seed, n, size, pairs, dim=64):
+    """``size`` of the rows at mutual cosine 0.9, with planted pairs at 0.955."""
+    rng = np.random.default_rng(seed)
+
+    def units(k):
+        x = rng.standard_normal((k, dim))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    def beside(x, cosine):
+        y = units(len(x))
+        y -= (y * x).sum(axis=1, keepdims=True) * x
+        return cosine * x + np.sqrt(1 - cosine ** 2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+
+    near = beside(np.repeat(units(1), size - pairs, axis=0), np.sqrt(0.9))
+    x = np.concatenate([near, beside(near[:pairs], 0.955), units(n - size)])
+    return list(enumerate(x[rng.permutation(n)].tolist()))
+
+
+@pytest.mark.parametrize("n, size, neighbours", [(2400, 800, 16), (700, 700, 4)])
+def test_crowd_matches_all_pairs(spark, monkeypatch, n, size, neighbours):
+    """Many different vectors just below the threshold hide no links; if all
+    are in the crowd, all pairs are compared."""
+    monkeypatch.setattr(V, "TILE", 128)
+    rows = crowd(5, n, size, 150)
+    x = np.array([v for _, v in rows])
+    linked = x @ x.T >= 0.95
+    least = np.arange(n)
+    for _ in range(n):
+        following = np.where(linked, least, n).min(axis=1)
+        if (following == least).all():
+            break
+        least = following
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in V.near_duplicate_vectors(df, neighbours=neighbours).collect()}
+    assert [got[i]["component_id"] for i in range(n)] == least.tolist()
+    assert [got[i]["n_links"] for i in range(n)] == (linked.sum(axis=1) - 1).tolist()
+    assert [got[i]["kept"] for i in range(n)] == (least == np.arange(n)).tolist()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tile_links_keep_the_components(seed):
+    import pyarrow as pa
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((60, 3))
+    tile = np.arange(60) // 30 if seed else np.zeros(60, int)
+    table = pa.table({"node": [f"{i:02}" for i in range(60)], "tile": tile,
+                      "vector": pa.array(x.tolist())})
+    out = V._tile_links(0.95)(table).to_pylist()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want, have_parts = list(range(60)), list(range(60))
+
+    def unite(parts, i, j):
+        a, b = parts[i], parts[j]
+        parts[:] = [min(a, b) if p in (a, b) else p for p in parts]
+
+    for i, j in np.argwhere(unit @ unit.T >= 0.95):
+        if not seed or tile[i] != tile[j]:
+            unite(want, i, j)
+    for r in out:
+        unite(have_parts, int(r["a"]), int(r["b"]))
+    assert have_parts == want and len(out) == 60 - len(set(want))
+
+
 def test_edges(spark):
     a, b = [1.0, 0.0, 0.0], [0.96, 0.28, 0.0]
     rows = [(1, None), (2, []), (3, [0.0, 0.0, 0.0]), (4, [1.0, None, 0.0]), (5, [float("nan"), 1.0, 0.0]),
