@@ -31,8 +31,11 @@ ORDER = 4
 ROWS_PER_LANGUAGE = 1200
 CHUNK = 1 << 18  # characters of a text handled at a time
 UNKNOWN = "und"
-# Rejection: this many times the largest excess seen on calibration rows.
+# Rejection: this many times a high quantile of the excess of a language's
+# calibration rows (below their largest, so that no single row sets it).
 REJECT_MARGIN = 3.0
+REJECT_QUANTILE = 0.99
+REJECT_CHARACTERS = 2000  # a longer text deviates as one of this length does
 _ALPHABET = 1 << 16  # uniform floor below the lowest order
 
 _table: np.ndarray | None = None
@@ -113,9 +116,9 @@ class Model:
     backoff: list[np.ndarray]
     floor: np.ndarray  # per language, for symbols never seen
     temperature: float = 1.0
-    mean: np.ndarray | None = None  # cross-entropy on calibration rows
+    mean: np.ndarray | None = None  # median cross-entropy on calibration rows
     spread: np.ndarray | None = None  # its deviation times sqrt(characters)
-    limit: float = np.inf  # rejection limit in those deviations
+    limit: np.ndarray | None = None  # per language, in those deviations
 
     def _piece(self, codes: np.ndarray) -> np.ndarray:
         keys, times = _runs(grams(codes))
@@ -154,15 +157,18 @@ class Model:
         score = 1.0 / np.exp((h[best] - h) * np.sqrt(n) * self.temperature).sum()
         excess = 0.0
         if self.mean is not None:
-            excess = (h[best] - self.mean[best]) * np.sqrt(n) / self.spread[best]
-        return self.languages[best], float(score), bool(excess > self.limit), float(h[best])
+            excess = (h[best] - self.mean[best]) * np.sqrt(min(n, REJECT_CHARACTERS)) / self.spread[best]
+        rejected = self.limit is not None and excess > self.limit[best]
+        return self.languages[best], float(score), bool(rejected), float(h[best])
 
     def calibrate(self, rows: list[tuple[str, np.ndarray, int]]) -> None:
         """Fit temperature and rejection on (language, cross-entropies,
-        characters) of rows that were not counted."""
+        characters) of rows that were not counted. Every row has the same
+        say in rejection: medians and quantiles per language, and lengths
+        up to ``REJECT_CHARACTERS``."""
         rows = [r for r in rows if r[0] in self.languages and r[2] > 0]
         size = len(self.languages)
-        self.mean, self.spread = np.zeros(size), np.ones(size)
+        self.mean, self.spread, self.limit = np.zeros(size), np.ones(size), np.full(size, np.inf)
         if not rows:
             return
         h = np.array([r[1] for r in rows])
@@ -176,15 +182,16 @@ class Model:
             loss = (np.logaddexp.reduce(z, axis=1) - z[np.arange(len(rows)), truth]).mean()
             if loss < best_loss - 1e-9:
                 best_loss, self.temperature = loss, float(t)
+        scale = np.minimum(n, np.sqrt(REJECT_CHARACTERS))
         for k in range(size):
             mine = truth == k
             if mine.any():
-                weight = n[mine] ** 2
-                self.mean[k] = np.average(own[mine], weights=weight)
-                self.spread[k] = max(np.sqrt(np.mean(((own[mine] - self.mean[k]) * n[mine]) ** 2)),
-                                     1e-3)
-        excess = (own - self.mean[truth]) * n / self.spread[truth]
-        self.limit = float(max(excess.max(), 3.0) * REJECT_MARGIN)
+                self.mean[k] = np.median(own[mine])
+                off = (own[mine] - self.mean[k]) * scale[mine]
+                # of a normal distribution, the deviation is 1.4826 such medians
+                self.spread[k] = max(1.4826 * np.median(np.abs(off)), 1e-3)
+                high = np.quantile(off, REJECT_QUANTILE, method="lower") / self.spread[k]
+                self.limit[k] = max(high, 3.0) * REJECT_MARGIN
 
 
 def fit(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:

@@ -88,3 +88,18 @@ def test_calibration_without_rows(limit):
     m = model_of({"x": ["abc"], "y": ["xyz"]})
     m.calibrate([])
     assert m.predict("abc")[0] == "x" and not m.predict("abc")[2]
+
+
+@pytest.mark.parametrize("odd", [None, (0.3, 800_000), (6.0, 1_000_000), (6.0, 1000)])
+def test_one_odd_row_leaves_rejection_as_it_was(odd, monkeypatch):
+    """A long repetitive, a long mislabelled and a short mislabelled row."""
+    m = model_of({"x": ["abc"], "y": ["xyz"]})
+    rng = np.random.default_rng(3)
+    rows = [("x", np.array([2 + rng.standard_normal() * 3 / np.sqrt(n), 9]), int(n))
+            for n in rng.integers(300, 3000, 240)]
+    m.calibrate(rows + ([("x", np.array([odd[0], 9]), odd[1])] if odd else []))
+    got = []
+    for h in (2.1, 3.5):
+        monkeypatch.setattr(L.Model, "cross_entropies", lambda self, text: (np.array([h, 9.0]), 1400))
+        got.append(m.predict("a")[2])
+    assert got == [False, True]
