@@ -6,10 +6,12 @@ surroundings (so that copies of one text teach nothing). The terms form a
 trie. The Levenshtein automata of all terms run over the trie at once, as
 one automaton whose states are sets of (trie node, errors) and whose
 transitions are worked out when first needed; a word that is near no term
-leaves it after a few characters. Misspelling is only allowed for terms
-that no word of the clean texts learned from is near to.
+leaves it after a few characters. Words of clean texts that are near a term
+are no misspellings of it, unless toxic texts have them far more often.
 
-A hit is as strong as the term's log-odds in the labelled texts. Its kind
+A hit is as strong as the term's log-odds in the labelled texts; one with
+errors counts the words near the term that a single clean text has as clean
+hits, as they tell how many more such words other texts hold. Its kind
 follows from its errors and its context window: inside quotation marks or
 after a word of reporting it is a quotation. The strongest hit of each
 kind and the density of hits are weighed by logistic regression.
@@ -37,7 +39,7 @@ MIN_RATIO = 30.0  # how much more frequent a term is in toxic texts
 STEM_LENGTH = (4, 8)
 STEM_ENDINGS = 4  # distinct words that make a stem
 MAX_TERMS = 20_000
-CLEAN_NEIGHBOURS = 1  # words of clean texts near a term that rule errors out
+CLEAN_NEIGHBOURS = 1  # clean texts that make a word near a term one of its own
 WINDOW = 6  # words before a hit that are searched for a sign of quotation
 FLUSH = 400_000
 MEMO = 200_000  # transitions kept
@@ -155,10 +157,13 @@ class Model:
         [-3.0, 1.0, 0.8, 0.7, 0.3, 0.2, 0.1, 0.5]))
     automaton: Automaton | None = None
     cache: dict[str, int] = field(default_factory=dict)
+    exempt: frozenset[str] = frozenset()  # words near a term that are no misspellings
+    inexact: dict[str, float] = field(default_factory=dict)  # strength of hits with errors
 
     def __getstate__(self):
         return {"terms": self.terms, "strength": self.strength, "weights": self.weights,
-                "automaton": None, "cache": {}}
+                "automaton": None, "cache": {}, "exempt": self.exempt,
+                "inexact": self.inexact}
 
     def hits(self, text: str) -> list[tuple[int, int, str]]:
         """(index of the word, errors, term) of every hit."""
@@ -170,7 +175,10 @@ class Model:
             if found == 0:
                 if len(cache) > FLUSH:
                     cache.clear()
-                found = cache[w] = self.automaton.match(w)
+                found = self.automaton.match(w)
+                if found and found[0] and w in self.exempt:
+                    found = None
+                cache[w] = found
             if found is not None:
                 out.append((i, *found))
         return out
@@ -189,7 +197,8 @@ class Model:
                     quote = quoted(words, raw, i)
                     own += not quote
                     kind = e + 3 * quote
-                    x[kind] = max(x[kind], self.strength[term])
+                    strength = self.strength[term]
+                    x[kind] = max(x[kind], self.inexact.get(term, strength) if e else strength)
                 x[-1] = np.log1p(100 * own / len(words))
         return x
 
@@ -264,16 +273,19 @@ def _surroundings(candidates: dict[str, bool]):
 
 
 def _near(model: Model):
-    """Words with errors in clean texts, by the term they are near to."""
+    """Words within the errors of a term, with the class of each text that
+    has them."""
     def run(batches):
         for batch in batches:
-            seen = set()
-            for text in batch.column(0):
-                words = words_of(text.as_py())
-                seen |= {(t, words[i]) for i, e, t in model.hits(text.as_py()) if e}
+            found, y = [], []
+            for text, toxic in zip(batch.column(0), batch.column(1)):
+                all_words = words_of(text.as_py())
+                near = {(t, all_words[i]) for i, e, t in model.hits(text.as_py()) if e}
+                found += near
+                y += [toxic.as_py()] * len(near)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([s[i] for s in seen], pa.string()) for i in range(2)],
-                names=["term", "word"])
+                [*(pa.array([f[i] for f in found], pa.string()) for i in range(2)),
+                 pa.array(y, pa.int32())], names=["term", "word", "y"])
     return run
 
 
@@ -318,12 +330,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     terms |= {t: (True, errors_allowed(t, True)) for t in stems}
     strength = {t: odds[t + "*" * stem] for t, (stem, _) in terms.items()}
     model = Model(terms, strength)
-    near = (sample.filter("y = 0").select("text").mapInArrow(_near(model), "term string, word string")
-            .groupBy("term").agg(F.countDistinct("word").alias("n"))
-            .filter(F.col("n") >= CLEAN_NEIGHBOURS).collect())
+    # at most the distinct words of the sample
+    near = (sample.select("text", "y").mapInArrow(_near(model), "term string, word string, y int")
+            .groupBy("term", "word")
+            .agg(F.sum(1 - F.col("y")).alias("clean"), F.sum("y").alias("toxic"))
+            .filter((F.col("clean") >= CLEAN_NEIGHBOURS) & (ratio < MIN_RATIO)).collect())
+    once: dict[str, int] = {}
     for r in near:
-        terms[r["term"]] = (terms[r["term"]][0], 0)
-    model = Model(terms, strength)
+        once[r["term"]] = once.get(r["term"], 0) + (r["clean"] == 1)
+    base = {r["term"] + "*" * r["stem"]: r["clean"] + 0.5 for r in rows}
+    clean = {t: base[t + "*" * stem] for t, (stem, _) in terms.items()}
+    inexact = {t: max(0.0, strength[t] + float(np.log(clean[t] / (clean[t] + n))))
+               for t, n in once.items()}
+    # weights are fitted with each text as one not learned from: what it alone
+    # has is not exempt
+    model = Model(terms, strength, inexact=inexact,
+                  exempt=frozenset(r["word"] for r in near if r["clean"] > 1))
+    learned = Model(terms, strength, inexact=inexact, exempt=frozenset(r["word"] for r in near))
 
     def measure(batches):
         for batch in batches:
@@ -332,10 +355,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                                              names=["x", "y"])
 
     rows = sample.select("text", "y").mapInArrow(measure, "x array<double>, y int").collect()
-    model.fit(np.array([r["x"] for r in rows]).reshape(-1, _FEATURES),
-              np.array([r["y"] for r in rows], float))
+    learned.fit(np.array([r["x"] for r in rows]).reshape(-1, _FEATURES),
+                np.array([r["y"] for r in rows], float))
     release(sample)
-    return model
+    return learned
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text",

@@ -88,6 +88,20 @@ def test_learning_and_edges(spark, docs_of):
     assert min(s[2], s[3], s[5], s[8]) > 0.7 and s[7] < s[2]
 
 
+def test_a_clean_word_near_a_term_leaves_its_misspellings(spark, docs_of):
+    rows, labels = made()
+    assert not labels[1][1]
+    rows[1] = (1, rows[1][1] + " kraxomand vildorp")
+    for i, word in enumerate(["krakomund", "vilddorpe", "kraxomumd", "vildorqe", "kraxomundd", "viltorpe"]):
+        assert labels[4 * i][1]
+        calm = [w for w in rows[4 * i][1].split() if len(w) < 6 and not w.startswith("zzyp")]
+        rows[4 * i] = (4 * i, " ".join(calm + [word]))
+    model = X.train(docs_of(rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert [e for _, e, _ in model.hits("krxomund vildoorpe")] == [1, 1]
+    assert model.score("krxomund vildoorpe") > 0.7
+    assert model.score("kraxomand vildorp") == model.score("calm words")
+
+
 def test_copies_teach_nothing(spark, docs_of):
     rows, labels = made()
     rows += [(1000 + i, "holdom grebsum venlat " + "a b c d e".replace(" ", f" {i % 2} ")) for i in range(60)]
