@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import (decontamination, langid, linededup, lm, minhash, mixing, sharding,
-                            toxicity, urlfilter, vecdedup)
+from ledgerlens.llm import (decontamination, langid, linededup, lm, minhash, mixing, phrases,
+                            sharding, topk, toxicity, urlfilter, veccodes, vecdedup)
 from ledgerlens.llm.common import fold, ship_package, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,6 +79,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), f"vec_id % {topk.EVERY} = 0")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return veccodes.compression_report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_sharding": op1_sharding,
     "op2_language_id": op2_language_id,
@@ -90,6 +104,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
+    "op11_topk_search": op11_topk_search,
+    "op12_collocations": op12_collocations,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -168,10 +185,108 @@ SELECT doc_id, count(*) AS n_lines, count(holder) FILTER (doc_id <> holder) AS n
 FROM keyed LEFT JOIN common USING (key) GROUP BY r, doc_id
 """
 
+_DIGITS = ("list_transform(embedding, lambda x: CAST(floor(256.0::DOUBLE * CAST(x AS DOUBLE)) AS {}))")
+_FINITE = ("embedding IS NOT NULL AND "
+           "len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0")
+
+_OP11 = f"""
+WITH vec AS (
+  SELECT row_number() OVER () AS r, vec_id, {_DIGITS.format('DOUBLE')} AS v
+  FROM embeddings WHERE {_FINITE}
+), scored AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM vec q JOIN vec c ON q.r <> c.r WHERE q.vec_id % {topk.EVERY} = 0
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM scored)
+WHERE rank <= {topk.K}
+"""
+
+_OP12 = f"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(b, '[^\\x20\\x09]+') AS w FROM (
+    SELECT lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")},
+                                              '[.,;:!?\\x0A-\\x0D]')) AS b FROM documents)
+), gram AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM (
+    SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+    FROM piece, (SELECT unnest(range(1, {phrases.LONGEST} + 1)) AS m) WHERE len(w) >= m)
+  GROUP BY ALL
+), total AS (
+  SELECT lang, sum(f) AS n FROM gram WHERE m = 1 GROUP BY lang
+), cand AS (
+  SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM gram
+  WHERE m > 1 AND f >= {phrases.MIN_COUNT}
+), cut AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r,
+         ({phrases.SCORE_SCALE}::HUGEINT * c.a) // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c
+  JOIN gram l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN gram r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1:], ' ')
+), worst AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_part AS (
+  SELECT lang, a, w, s, unnest(range(1, m - s + 2)) AS i FROM (
+    SELECT *, unnest(range(2, m)) AS s FROM cand)
+), covered AS (
+  SELECT DISTINCT c.lang, c.phrase FROM inner_part p
+  JOIN cand c ON c.lang = p.lang AND c.phrase = array_to_string(p.w[i:i + s - 1], ' ')
+  WHERE 100::HUGEINT * p.a >= {phrases.COVER_PERCENT} * c.a
+)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM worst ANTI JOIN covered USING (lang, phrase))
+JOIN total USING (lang) WHERE rank <= {phrases.TOP}
+"""
+
+
+def _op13(parts: int = veccodes.PARTS, entries: int = veccodes.ENTRIES, rounds: int = veccodes.ROUNDS) -> str:
+    """Full comparisons in every round; vectors of one length."""
+    steps = [f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, {_DIGITS.format('BIGINT')} AS v
+  FROM embeddings WHERE {_FINITE}
+), part AS MATERIALIZED (
+  SELECT r, p, v[p * (len(v) // {parts}) + 1:(p + 1) * (len(v) // {parts})] AS x
+  FROM kept, (SELECT unnest(range({parts})) AS p)
+), book0 AS MATERIALIZED (
+  SELECT p, r - 1 AS e, x FROM part WHERE r <= {entries}
+)"""]
+    for n in range(rounds + 1):
+        steps.append(f""", near{n} AS MATERIALIZED (
+  SELECT r, p, x, min(d * {entries} + e) AS best FROM (
+    SELECT r, p, part.x, e, list_sum(list_transform(range(1, len(part.x) + 1),
+           lambda i: (part.x[i] - b.x[i]) * (part.x[i] - b.x[i]))) AS d
+    FROM part JOIN book{n} b USING (p))
+  GROUP BY r, p, x
+)""")
+        if n < rounds:
+            steps.append(f""", mean{n} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM (
+    SELECT p, best % {entries} AS e, i, sum(x[i]) AS s, count(*) AS n
+    FROM near{n}, (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM part))) AS i) GROUP BY ALL)
+  GROUP BY p, e
+), book{n + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.x, b.x) AS x FROM book{n} b LEFT JOIN mean{n} m USING (p, e)
+)""")
+    return "".join(steps) + f""", coded AS (
+  SELECT r, string_agg(printf('%02x', CAST(best % {entries} AS INTEGER)), '' ORDER BY p) AS code,
+         CAST(sum(best // {entries}) AS BIGINT) AS error FROM near{rounds} GROUP BY r
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) FROM book{rounds})
+         AS codebooks_sha256
+FROM kept JOIN coded USING (r)
+"""
+
+
 # Sharding needs crc32 and a 64-bit hash, language models and shingle
 # graphs need more than SQL: their tests compare with plain Python.
 ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": _OP5,
     "op6_mixing": _OP6,
     "op8_line_dedup": _OP8,
+    "op11_topk_search": _OP11,
+    "op12_collocations": _OP12,
+    "op13_vector_codes": _op13(),
 }
