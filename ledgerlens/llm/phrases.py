@@ -1,26 +1,34 @@
 """Phrase collocation mining by SETM, on relations.
 
 Texts are split into pieces and those into words. The first occurrence
-relation has a row ``piece, pos, gid`` for every occurrence of a frequent
-word (``gid`` numbers the word within its language). A relation is stored
-bucketed by piece and sorted by (piece, pos). To extend phrases by a word,
-a relation is merge-joined with itself at the same piece and the adjacent
-position, which needs no exchange; the pairs of groups are counted, the
-frequent ones get numbers, and a semi-join with them makes the next
-relation. Both parts of a frequent phrase are frequent, so nothing is lost.
-
-Counts are pre-aggregated in every task; frequent groups are broadcast only
-where a count shows that they are few, and joined with a shuffle otherwise.
+relation has a row ``doc, at, gid`` for every occurrence of a frequent word:
+``gid`` numbers the word within its language, and ``at`` counts the words of
+the document and one more at every end of a piece, so that adjacent
+positions are adjacent words of a piece. A relation is stored bucketed by
+document and sorted by (doc, at). To extend phrases by a word, a relation is
+merge-joined with itself at adjacent positions, which needs no exchange; the
+pairs of groups are stored and counted, the frequent ones get numbers, and a
+semi-join with them makes the next relation. Both parts of a frequent phrase
+are frequent, so nothing is lost.
+
+Words are cut in Python (bytes, without decoding); all counting and joining
+is Spark's. Counts are pre-aggregated in every task; frequent groups are
+broadcast only where a count shows that they are few, and joined with a
+shuffle otherwise.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import Counter, defaultdict
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import lower_ascii, small_side
+from ledgerlens.llm.common import BROADCAST_ROWS, byte_pieces, small_side
 from ledgerlens.operators.materialize import materialize, release, remove_at_exit, scratch_path
 
 MIN_COUNT = 30
@@ -29,53 +37,132 @@ TOP = 2000
 COVER_PERCENT = 80  # a longer phrase with this share of the count takes the place
 SCORE_SCALE = 2_000_000
 NO_LANG = "und"
-PIECE_ENDS = r"[.,;:!?\x0A-\x0D]"
-WORD_GAPS = r"[\x20\x09]+"
-
-
-def _words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """``lang, piece, pos, word``: every word occurrence. Pieces are dealt
-    by their number before they are cut into words, so that a long document
-    is spread and the words of a piece stay together."""
-    pieces = docs.select(
-        F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"),
-        F.explode(F.split(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), PIECE_ENDS)).alias("body"))
-    return pieces.filter(F.length("body") > 0).withColumn("piece", F.monotonically_increasing_id())
-
-
-def _split(pieces: DataFrame) -> DataFrame:
-    # only the first and last of the split can be empty: positions stay adjacent
-    return pieces.select("lang", "piece", F.posexplode(F.split("body", WORD_GAPS)).alias("pos", "word")
-                         ).filter("word <> ''")
-
-
-def _buckets(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-class _Relation:
-    """A stored occurrence relation ``piece, pos, gid``."""
-
-    def __init__(self, rows: DataFrame):
+PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
+ROWS_OUT = 200_000  # words or counts that a task holds before it returns them
+
+# every end of a piece becomes a line feed, a tab a space, A to Z lower case
+_FOLD = bytes.maketrans(PIECE_ENDS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ",
+                        b"\n" * len(PIECE_ENDS) + b" abcdefghijklmnopqrstuvwxyz")
+
+
+def piece_words(text: bytes):
+    """The words of each piece of a text that has some; very long pieces in
+    several lists, all but the first with ``False``."""
+    for piece in text.translate(_FOLD).split(b"\n"):
+        new = True
+        for part in byte_pieces(piece):
+            # of the bytes that split() takes for blanks only spaces are left
+            words = part.split()
+            if words:
+                yield words, new
+                new = False
+
+
+def _strings(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).view(pa.string())
+
+
+def _word_counts(batches):
+    """(lang, text) -> partial counts (lang, word, f)."""
+    counts, size = defaultdict(Counter), 0
+
+    def out():
+        for lang, words in counts.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(words)), _strings(list(words)),
+                 pa.array(list(words.values()), pa.int64())], names=["lang", "word", "f"])
+
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(),
+                              batch.column("text").cast(pa.binary()).to_pylist()):
+            one = counts[lang]
+            for words, _ in piece_words(text):
+                size -= len(one)
+                one.update(words)
+                size += len(one)
+                if size > ROWS_OUT:
+                    yield from out()
+                    counts.clear()
+                    one, size = counts[lang], 0
+    yield from out()
+
+
+def _word_places(batches):
+    """(lang, doc, text) -> (lang, doc, at, word) of every word."""
+    langs, docs, ats, found = [], [], [], []
+
+    def out():
+        sizes = [len(a) for a in ats]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(langs).take(pa.array(np.repeat(np.arange(len(langs)), sizes))),
+             pa.array(np.repeat(np.array(docs, np.int64), sizes)),
+             pa.array(np.concatenate(ats).astype(np.int32)), _strings(found)],
+            names=["lang", "doc", "at", "word"])
+
+    for batch in batches:
+        for lang, doc, text in zip(batch.column("lang").to_pylist(), batch.column("doc").to_pylist(),
+                                   batch.column("text").cast(pa.binary()).to_pylist()):
+            at = 0
+            for words, new in piece_words(text):
+                at += new
+                langs.append(lang)
+                docs.append(doc)
+                ats.append(np.arange(at, at + len(words)))
+                found += words
+                at += len(words)
+                if len(found) > ROWS_OUT:
+                    yield out()
+                    langs, docs, ats, found = [], [], [], []
+    if found:
+        yield out()
+
+
+@contextmanager
+def _joined_by_bucket(spark: SparkSession):
+    """Relations bucketed by document are co-partitioned for a join by
+    document and position; Spark would deal them anew by both otherwise."""
+    names = {"spark.sql.requireAllClusterKeysForCoPartition": "false",
+             "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, value in names.items():
+            spark.conf.set(n, value)
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Relation:
+    """Rows stored bucketed by ``doc`` and sorted by ``doc, at``. ``placed``
+    says that each task already has the rows of few buckets only."""
+
+    def __init__(self, rows: DataFrame, placed: bool):
         self.spark = rows.sparkSession
         self.path = scratch_path(self.spark, "phrases")
         self.name = "ledgerlens_phrases_" + uuid.uuid4().hex
-        n = _buckets(rows)
-        (rows.select("piece", "pos", "gid").repartition(n, "piece").sortWithinPartitions("piece", "pos")
-         .write.format("parquet").bucketBy(n, "piece").sortBy("piece", "pos")
+        n = _buckets(self.spark)
+        rows = rows if placed else rows.repartition(n, "doc")
+        (rows.write.format("parquet").bucketBy(n, "doc").sortBy("doc", "at")
          .option("path", self.path).saveAsTable(self.name))
         remove_at_exit(self.spark, self.path)
 
+    def rows(self) -> DataFrame:
+        return self.spark.table(self.name)
+
     def adjacent(self) -> DataFrame:
-        """``piece, pos, g1, g2``: the merge-join of the relation with itself
-        at adjacent positions of a piece."""
-        rows = self.spark.table(self.name)
-        one = rows.select("piece", "pos", F.col("gid").alias("g1"))
-        two = rows.select("piece", (F.col("pos") - 1).alias("pos"), F.col("gid").alias("g2"))
-        return one.join(two.hint("merge"), ["piece", "pos"])
+        """``doc, at, g1, g2``: the merge-join of the relation with itself at
+        adjacent positions."""
+        one = self.rows().select("doc", "at", F.col("gid").alias("g1"))
+        two = self.rows().select("doc", (F.col("at") - 1).alias("at"), F.col("gid").alias("g2"))
+        return one.join(two.hint("merge"), ["doc", "at"])
 
     def release(self) -> None:
-        stored = self.spark.table(self.name)
+        stored = self.rows()
         stored._ledgerlens_path = self.path
         self.spark.sql(f"DROP TABLE {self.name}")
         release(stored)
@@ -95,6 +182,17 @@ def _longer_groups(pairs: DataFrame, groups: DataFrame, min_count: int) -> DataF
     return named
 
 
+def _few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def _kept(rows: DataFrame, groups: DataFrame, on: list[str]) -> Relation:
+    """The relation ``doc, at, gid`` of the rows whose group is frequent."""
+    few = _few(groups)
+    kept = rows.join(F.broadcast(groups) if few else groups, on).select("doc", "at", "gid")
+    return Relation(kept, placed=few)
+
+
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST,
                      text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """``lang, size, phrase, f`` of every phrase of 1 to ``longest`` words with
@@ -102,26 +200,30 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int =
     included, none across pieces), and ``lang, n``: all word occurrences.
 
     A null text has no words; a null language is ``und``."""
-    pieces = _words(docs, text_col, lang_col)
-    counts = materialize(_split(pieces).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("f")),
-                         "word-counts")
+    spark = docs.sparkSession
+    texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(NO_LANG)).alias("lang"),
+                        F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    counts = texts.mapInArrow(_word_counts, "lang string, word string, f long")
+    counts = materialize(counts.groupBy("lang", "word").agg(F.sum("f").alias("f")), "word-counts")
     totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
     groups = materialize(counts.filter(F.col("f") >= min_count).select(
         F.monotonically_increasing_id().alias("gid"), "lang", F.col("word").alias("phrase"),
         F.col("word").alias("last"), "f"), "phrase-groups")
     found = groups.select("lang", F.lit(1).alias("size"), "phrase", "f")
-    numbered = small_side(groups.select("lang", F.col("phrase").alias("word"), "gid"))
-    spread = pieces.repartition(_buckets(docs), "piece")
-    relation = _Relation(_split(spread).join(numbered, ["lang", "word"]))
-    for size in range(2, longest + 1):
-        groups = _longer_groups(relation.adjacent(), groups, min_count)
-        found = found.union(groups.select("lang", F.lit(size), "phrase", "f"))
-        if size < longest:
-            frequent = small_side(groups.select("g1", "g2", "gid"))
-            longer = _Relation(relation.adjacent().join(frequent, ["g1", "g2"]))
+    with _joined_by_bucket(spark):
+        # texts are dealt by document before they become words
+        dealt = texts.withColumn("doc", F.monotonically_increasing_id()).repartition(_buckets(spark), "doc")
+        words = dealt.mapInArrow(_word_places, "lang string, doc long, at int, word string")
+        relation = _kept(words, groups.select("lang", F.col("phrase").alias("word"), "gid"),
+                         ["lang", "word"])
+        for size in range(2, longest + 1):
+            pairs = Relation(relation.adjacent(), placed=True)
             relation.release()
-            relation = longer
-    relation.release()
+            groups = _longer_groups(pairs.rows(), groups, min_count)
+            found = found.union(groups.select("lang", F.lit(size), "phrase", "f"))
+            if size < longest:
+                relation = _kept(pairs.rows(), groups.select("g1", "g2", "gid"), ["g1", "g2"])
+            pairs.release()
     return found, totals
 
 

@@ -85,6 +85,7 @@ def op11_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     return phrases.mine_collocations(table(spark, sf_dir, "documents"))
 
 
