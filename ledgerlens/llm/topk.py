@@ -257,7 +257,13 @@ def _reachable(blocks: DataFrame, stripes: DataFrame, by_distance: bool) -> Data
     below = F.zip_with("s_low", "high", lambda a, b: F.greatest(a - b, F.lit(0.0)))
     lower = F.aggregate(F.zip_with(above, below, lambda a, b: a * a + b * b), F.lit(0.0), lambda t, x: t + x)
     squares = F.col("most").cast("double") + F.col("s_most").cast("double")
-    top = -lower if by_distance else (squares - lower) / 2
+    top = -lower
+    if not by_distance:
+        # neither by the distance nor by the products of the ranges
+        products = F.zip_with(F.arrays_zip("low", "high"), F.arrays_zip("s_low", "s_high"),
+                              lambda a, b: F.greatest(a["low"] * b["s_low"], a["low"] * b["s_high"],
+                                                      a["high"] * b["s_low"], a["high"] * b["s_high"]))
+        top = F.least((squares - lower) / 2, F.aggregate(products, F.lit(0.0), lambda t, x: t + x))
     return pairs.filter(top + 1.0 + 1e-9 * squares >= F.col("floor")).select("block", "stripe")
 
 
