@@ -22,6 +22,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter, defaultdict
 from contextlib import contextmanager
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ COVER_PERCENT = 80  # a longer phrase with this share of the count takes the pla
 SCORE_SCALE = 2_000_000
 NO_LANG = "und"
 PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
-ROWS_OUT = 200_000  # words or counts that a task holds before it returns them
+ROWS_OUT = 200_000  # words that a task holds before it returns them
+COUNTS_HELD = 1_000_000  # different words that it counts before it returns the counts
 
 # every end of a piece becomes a line feed, a tab a space, A to Z lower case
 _FOLD = bytes.maketrans(PIECE_ENDS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ",
@@ -46,16 +48,18 @@ _FOLD = bytes.maketrans(PIECE_ENDS + b"\tABCDEFGHIJKLMNOPQRSTUVWXYZ",
 
 
 def piece_words(text: bytes):
-    """The words of each piece of a text that has some; very long pieces in
-    several lists, all but the first with ``False``."""
-    for piece in text.translate(_FOLD).split(b"\n"):
-        new = True
-        for part in byte_pieces(piece):
-            # of the bytes that split() takes for blanks only spaces are left
-            words = part.split()
-            if words:
-                yield words, new
-                new = False
+    """``(words, at)`` of a text, part by part: its words, and their positions,
+    which leave out a number at every end of a piece."""
+    start = 0
+    # a part ends after a blank, within a piece or at its end
+    for part in byte_pieces(text.translate(_FOLD)):
+        # of the bytes that split() takes for blanks only spaces are left
+        pieces = [piece.split() for piece in part.split(b"\n")]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        words = list(chain.from_iterable(pieces))
+        if words:
+            yield words, start + np.arange(len(words)) + np.repeat(np.arange(len(pieces)), sizes)
+        start += len(words) + len(pieces) - 1
 
 
 def _strings(words: list[bytes]) -> pa.Array:
@@ -76,11 +80,11 @@ def _word_counts(batches):
         for lang, text in zip(batch.column("lang").to_pylist(),
                               batch.column("text").cast(pa.binary()).to_pylist()):
             one = counts[lang]
-            for words, _ in piece_words(text):
+            for part in byte_pieces(text.translate(_FOLD)):
                 size -= len(one)
-                one.update(words)
+                one.update(part.split())
                 size += len(one)
-                if size > ROWS_OUT:
+                if size > COUNTS_HELD:
                     yield from out()
                     counts.clear()
                     one, size = counts[lang], 0
@@ -102,14 +106,11 @@ def _word_places(batches):
     for batch in batches:
         for lang, doc, text in zip(batch.column("lang").to_pylist(), batch.column("doc").to_pylist(),
                                    batch.column("text").cast(pa.binary()).to_pylist()):
-            at = 0
-            for words, new in piece_words(text):
-                at += new
+            for words, at in piece_words(text):
                 langs.append(lang)
                 docs.append(doc)
-                ats.append(np.arange(at, at + len(words)))
+                ats.append(at)
                 found += words
-                at += len(words)
                 if len(found) > ROWS_OUT:
                     yield out()
                     langs, docs, ats, found = [], [], [], []
