@@ -2,17 +2,19 @@
 
 Each source has a target repetition rate. A document's number of copies
 inverts the Poisson distribution with that mean at a uniform number hashed
-from seed, id and text, so the mixture is reproducible and independent of
-partitions. Documents are exploded by their count and shuffled globally by
-a hash of document and copy.
+from seed, id, text and source, so the mixture is reproducible and
+independent of partitions. Rows that agree in these are numbered, and the
+number is hashed as well: each is drawn on its own, so that a row repeated
+a million times counts like a million rows. Documents are exploded by their
+count and shuffled globally by a hash of document and copy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import small_side
+from ledgerlens.llm.common import row_digest, small_side
 from ledgerlens.operators.materialize import materialize
 
 SEED = 4711
@@ -20,11 +22,41 @@ EXPONENT = 0.5  # target weight of a source: its row count to this power
 EPOCHS = 1.0
 # exp(-rate) must not underflow; a larger rate is a sum of independent parts
 _PART = 500.0
+_CHUNK = 4096  # equal rows made in one go
 
 
-def _identity(id_col: str, text_col: str, seed: int) -> Column:
+def _identity(id_col: str, text_col: str, source_col: str, seed: int) -> Column:
     return F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-                       F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+                       F.md5(F.coalesce(F.col(text_col), F.lit(""))),
+                       F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (with ``_key`` and the digest ``_h1, _h2`` of the whole row),
+    each with a key of its own: the second and later rows of a key get their
+    number appended.
+
+    Keys are counted first. Rows with a key of their own, nearly all, stay
+    where they are; of the others every distinct row is taken once and made
+    again as often as it occurs, in chunks that are dealt to all tasks."""
+    kinds = rows.groupBy("_key", "_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+    repeated = kinds.groupBy("_key").agg(F.sum("_n").alias("_all")).filter("_all > 1").select("_key")
+    # as many rows as a key has different rows
+    before = Window.partitionBy("_key").orderBy("_h1", "_h2").rowsBetween(Window.unboundedPreceding, -1)
+    kinds = materialize(kinds.join(repeated, "_key").select(
+        "_h1", "_h2", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")),
+        "repeated-rows")
+    own, side = rows.drop("_h1", "_h2"), small_side(kinds)
+    once = rows.join(side.select("_h1", "_h2"), ["_h1", "_h2"], "left_anti").select(own.columns)
+    again = rows.join(side, ["_h1", "_h2"]).dropDuplicates(["_h1", "_h2"])
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_n - 1) div {_CHUNK}")))
+    again = again.withColumn("_chunk", chunk).repartition("_h1", "_h2", "_chunk")
+    last = F.least(F.lit(_CHUNK).cast("long"), F.col("_n") - F.col("_chunk") * _CHUNK)
+    again = again.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), last)))
+    nth = F.col("_before") + F.col("_chunk") * _CHUNK + F.col("_i")
+    again = again.withColumn("_key", F.when(nth == 1, F.col("_key")).otherwise(
+        F.concat_ws("~", "_key", nth.cast("string"))))
+    return once.unionByName(again.select(own.columns))
 
 
 def _uniform(key: Column) -> Column:
@@ -89,14 +121,18 @@ def mix(docs: DataFrame, weights: dict | None = None, exponent: float = EXPONENT
     shuffled order (``mix_key``; rows are hashed to partitions and sorted by
     it). Columns of ``docs`` with these names are replaced.
 
-    Rows with equal id and text get equal counts and keys. Null ids and
-    texts count as empty. An empty table gives no rows.
+    Rows with equal id, text and source are drawn one by one, each under a
+    number of its own; which of them gets which number depends on their
+    other columns (maps excepted) alone. Null ids, texts and sources count as
+    empty in the draw. An empty table gives no rows.
     """
     rates = materialize(source_rates(docs, weights, exponent, epochs, source_col), "rates")
     side = small_side(rates.select(F.col("source").alias("_source"), F.col("rate").alias("_rate")))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
-    rows = docs.select(whole, F.col(source_col).alias("_of"),
-                       _identity(id_col, text_col, seed).alias("_key"))
+    h1, h2 = row_digest([F.col(f"`{f.name}`") for f in docs.schema.fields
+                         if "map<" not in f.dataType.simpleString()])
+    rows = _numbered(docs.select(whole, F.col(source_col).alias("_of"), h1.alias("_h1"), h2.alias("_h2"),
+                                 _identity(id_col, text_col, source_col, seed).alias("_key")))
     rows = rows.join(side, F.col("_of").eqNullSafe(F.col("_source")))
     rows = rows.withColumn("_copies", poisson_copies(F.col("_key"), F.col("_rate")))
     rows = rows.filter("_copies > 0").withColumn(

@@ -158,10 +158,13 @@ WITH RECURSIVE size AS (
   UNION ALL
   SELECT source, rate, j + 1, p * rate / (j + 1), below + p * rate / (j + 1)
   FROM term WHERE j < ceil(rate + 20 * sqrt(rate) + 40)
-), drawn AS (
+), keyed AS (
   SELECT doc_id, source, concat_ws('|', '{mixing.SEED}', coalesce(CAST(doc_id AS VARCHAR), ''),
-                                   md5(coalesce(text, ''))) AS k
+                                   md5(coalesce(text, '')), coalesce(source, '')) AS k
   FROM documents
+), drawn AS (
+  SELECT doc_id, source, CASE WHEN nth = 1 THEN k ELSE concat_ws('~', k, nth) END AS k
+  FROM (SELECT *, row_number() OVER (PARTITION BY k) AS nth FROM keyed)
 )
 SELECT doc_id, d.source, j + 1 AS copy, round(rate, 6) AS rate, md5(concat_ws('/', k, j + 1)) AS mix_key
 FROM drawn d JOIN term t ON d.source IS NOT DISTINCT FROM t.source
