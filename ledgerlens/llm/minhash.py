@@ -194,9 +194,13 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILAR_PERCENT, id_col: str
         "n_shingles", "long").add("keys", T.ArrayType(T.LongType()))
     sketches = materialize(source.mapInArrow(_sketch, schema), "sketches")
     nodes = (sketches.filter("digest is not null").groupBy("digest")
-             .agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys")))
+             .agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "text_hash")).alias("at"),
+                  F.first("keys").alias("keys")))
     nodes = number_rows(nodes, ["digest"], "node", label="nodes")
-    components = connected_components(_links(source, nodes, percent))
+    # a text is fetched by id and hash, and once where rows have both in common
+    repeated = materialize(sketches.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+                           .filter("n > 1"), "repeated")
+    components = connected_components(_links(source, nodes, repeated, percent))
     # smallest id over the members of all nodes of a component
     label = nodes.select("node", "digest", "rep").join(components, "node", "left").select(
         "digest", "rep", F.coalesce("component", "node").alias("component"))
@@ -256,7 +260,21 @@ def _tile_links(percent: int):
     return run
 
 
-def _links(source: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+def _texts(source: DataFrame, wanted: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``node, digest, text``: one text for each of the nodes in ``wanted``."""
+    at = F.struct(F.col("doc_id"), F.col("text_hash"))
+    many = small_side(repeated.select(at.alias("_many"), F.lit(True).alias("_often")))
+    wanted = wanted.join(many, F.col("at").eqNullSafe(F.col("_many")), "left").select(
+        "node", "digest", "at", F.coalesce("_often", F.lit(False)).alias("often"))
+    near = small_side(materialize(wanted, "wanted"))
+    found = source.join(near, source["doc_id"].eqNullSafe(near["at.doc_id"])
+                        & source["text_hash"].eqNullSafe(near["at.text_hash"])).select(
+        "node", "digest", "text", "often")
+    return found.filter("not often").union(
+        found.filter("often").dropDuplicates(["node"])).drop("often")
+
+
+def _links(source: DataFrame, nodes: DataFrame, repeated: DataFrame, percent: int) -> DataFrame:
     """Confirmed links ``a, b`` between nodes that hold every component
     together."""
     members = nodes.select("node", F.explode("keys").alias("key"))
@@ -265,11 +283,9 @@ def _links(source: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     members = materialize(members.join(buckets, "key"), "buckets")
     # texts are read again only for the nodes that share a bucket
     wanted = materialize(members.select("node").distinct().join(nodes, "node").select(
-        "node", "digest", F.col("rep").alias("_rep")), "candidates")
-    near = small_side(wanted)
-    sets = materialize(source.join(near, source["doc_id"].eqNullSafe(near["_rep"])).select(
-        "node", "digest", "text").mapInArrow(_full_sets, "node long, shingles array<long>"),
-        "shingle-sets")
+        "node", "digest", "at"), "candidates")
+    sets = materialize(_texts(source, wanted, repeated).mapInArrow(
+        _full_sets, "node long, shingles array<long>"), "shingle-sets")
     release(wanted)
     few = members.filter(F.col("n") <= SMALL).groupBy("key").agg(
         F.sort_array(F.collect_list("node")).alias("x"))

@@ -164,3 +164,24 @@ def test_query_on_the_small_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert found(op9_minhash(spark, sf)) == brute(rows)
+
+
+@pytest.mark.parametrize("doc_id", [None, 7])
+def test_each_text_is_fetched_once_whatever_the_ids(spark, monkeypatch, doc_id):
+    """Rows that share an id, or have none, do not meet each other's nodes."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(doc_id, " ".join(near(rng, base, 1))) for _ in range(60)] + [(doc_id, " ".join(base))] * 40
+    written = {}
+    real = minhash.materialize
+
+    def counted(df, label):
+        out = real(df, label)
+        if label == "shingle-sets":
+            written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(minhash.near_duplicates(df)) == brute(rows)
+    assert written["shingle-sets"] == len({text for _, text in rows})
