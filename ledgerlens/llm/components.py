@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.materialize import materialize, release
 
 
-# links that one file of an intermediate table holds
-LINKS_PER_FILE = 500_000
-
-
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -51,10 +47,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     a null end says nothing. An empty table gives no rows."""
     current = materialize(links.filter("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    files = 1 + current.count() // LINKS_PER_FILE
     while not _settled(current):
-        starred = materialize(_large_star(current).distinct().coalesce(files), "links")
-        following = materialize(_small_star(starred).coalesce(files), "links")
+        starred = materialize(_large_star(current).distinct(), "links")
+        following = materialize(_small_star(starred), "links")
         release(current, starred)
         current = following
     return current.select(F.col("b").alias("node"), F.col("a").alias("component"))
