@@ -38,12 +38,11 @@ MIN_SUPPORT = 4  # distinct words a term follows in toxic texts
 MIN_RATIO = 30.0  # how much more frequent a term is in toxic texts
 STEM_LENGTH = (4, 8)
 STEM_ENDINGS = 4  # distinct words that make a stem
-MAX_TERMS = 20_000
 CLEAN_NEIGHBOURS = 1  # clean texts that make a word near a term one of its own
 WINDOW = 6  # words before a hit that are searched for a sign of quotation
 FLUSH = 400_000
 MEMO = 200_000  # transitions kept
-# Words of reporting (English, German, French, Spanish).
+# Words of reporting (English, German, French, Spanish).
 REPORTING = {
     "said", "says", "wrote", "quote", "quoted", "called", "calls", "word", "term",
     "sagte", "schrieb", "zitat", "wort", "nannte", "dit", "citation", "mot",
@@ -310,8 +309,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ratio = (F.col("toxic") / sizes[1]) / ((F.col("clean") + 0.1) / sizes[0])
     rows = (sample.mapInArrow(_document_terms, "term string, stem boolean, clean long, toxic long")
             .groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-            .filter((F.col("toxic") >= MIN_SUPPORT) & (ratio >= MIN_RATIO))
-            .orderBy(F.desc("toxic"), "term").limit(MAX_TERMS).collect())
+            # at most the distinct terms of the sample
+            .filter((F.col("toxic") >= MIN_SUPPORT) & (ratio >= MIN_RATIO)).collect())
     candidates = {r["term"] + "*" * r["stem"]: r["stem"] for r in rows}
     odds = {r["term"] + "*" * r["stem"]: float(np.log(
         (r["toxic"] + 0.5) / (sizes[1] + 1) * (sizes[0] + 1) / (r["clean"] + 0.5))) for r in rows}
