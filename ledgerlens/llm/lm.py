@@ -34,7 +34,7 @@ SUFFIX_CLASSES = 509
 FREQUENT = 200_000  # words whose counts are broadcast, at most
 DIMENSIONS = 40
 NOISE = 10.0  # noise tokens for each token
-EPOCHS = 30
+EPOCHS = 60
 RATE = 0.05
 # A context's prediction and the unigram weigh alike at this many tokens.
 CONTEXT_TOKENS = 20.0
