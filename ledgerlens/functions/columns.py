@@ -57,11 +57,15 @@ def pct_of(num, den) -> Column:
     return ratio_pct(num, den, 100)
 
 
+def mean_of(total, count) -> Column:
+    """ROUND(total / count, 2) on decimals; NULL when the count is 0."""
+    n = F.nullif(_c(count).cast(_INT_AS_DECIMAL), F.lit(0).cast(_INT_AS_DECIMAL))
+    return F.round(_c(total).cast(MONEY) / n, 2).cast(MONEY)
+
+
 def mean(x) -> Column:
     """ROUND(AVG(x), 2) computed as SUM/COUNT on decimals (no double step)."""
-    total = F.sum(_c(x)).cast(MONEY)
-    n = F.nullif(F.count(_c(x)).cast(_INT_AS_DECIMAL), F.lit(0).cast(_INT_AS_DECIMAL))
-    return F.round(total / n, 2).cast(MONEY)
+    return mean_of(F.sum(_c(x)), F.count(_c(x)))
 
 
 def growth_pct(current, previous) -> Column:

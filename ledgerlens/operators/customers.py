@@ -2,7 +2,7 @@
 acquisition cohorts and the revenue leaderboard.
 
 Customer grain grows with the data. Nothing here uses a window without
-PARTITION BY on customer rows: quartiles and global ranks come from
+PARTITION BY on customer rows: quartiles come from ``ledgerlens.operators.selection``, global ranks from
 ``ledgerlens.operators.ranking``, totals from one-row scalar subqueries,
 and per-customer aggregates are built with map-side partial aggregation
 (a customer holding a third of all orders collapses to one row per task
@@ -17,21 +17,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions.columns import MONEY, month_start, pct_of
-from ledgerlens.operators.materialize import materialize
-from ledgerlens.operators.ranking import asc, desc, with_ntile, with_rank
+from ledgerlens.functions.columns import month_start, pct_of
+from ledgerlens.operators import measures as M
+from ledgerlens.operators.numbering import ordered
+from ledgerlens.operators.ranking import asc, desc, with_overall_and_group_rank
+from ledgerlens.operators.selection import with_tiles
 from ledgerlens.plans import labels as L
 
 
 def quartile_scores(base: DataFrame, scores: dict[str, list], k: int = 4,
                     grain: Sequence[str] = ("customer_name",)) -> DataFrame:
     """Add one NTILE(k) column per ``{name: order}``; each order is made
-    total with the grain columns ascending. ``base`` is materialized
-    once and every score is computed from it."""
-    out = materialize(base, "stage-ntile", reuse=True)
-    for name, order in scores.items():
-        out = with_ntile(out, k, list(order) + [asc(g) for g in grain], name, reuse=True)
-    return out
+    total with the grain columns ascending. ``base`` is written once, and
+    the boundaries of all scores are selected from it together."""
+    return with_tiles(base, {name: [*order, *[asc(g) for g in grain]] for name, order in scores.items()}, k)
 
 
 def rfm_segment(r: Column, f: Column, m: Column) -> Column:
@@ -52,7 +51,8 @@ SCORE_ORDERS = ("as_computed", "best_is_high")
 def rfm_scores(fact: DataFrame, as_of: str = L.RFM_AS_OF, k: int = 4,
                score_order: str = "as_computed",
                grain: Sequence[str] = ("customer_name",)) -> DataFrame:
-    """Per customer (``grain``): last purchase, frequency (distinct orders),
+    """Per customer (``grain``) of order lines or rows per order: last
+    purchase, frequency (distinct orders),
     monetary (revenue) and NTILE(k) scores.
 
     ``score_order="as_computed"`` (default) orders r_score by days since
@@ -65,10 +65,9 @@ def rfm_scores(fact: DataFrame, as_of: str = L.RFM_AS_OF, k: int = 4,
     """
     if score_order not in SCORE_ORDERS:
         raise ValueError(f"score_order must be one of {SCORE_ORDERS}")
-    base = (fact.groupBy(*grain)
-            .agg(F.max("order_date").alias("last_purchase_date"),
-                 F.count_distinct("order_id").cast(T.LongType()).alias("frequency"),
-                 F.round(F.sum("amount"), 2).cast(MONEY).alias("monetary"))
+    base = (M.measures(fact, list(grain), [
+                M.last("order_date", "last_purchase_date"), M.orders("frequency"),
+                M.revenue("monetary")])
             .withColumn("days_since_as_of",
                         F.datediff(F.lit(as_of).cast(T.DateType()), "last_purchase_date")))
     best_high = score_order == "best_is_high"
@@ -102,13 +101,14 @@ def leaderboard(base: DataFrame, value: str = "total_revenue", partition: str =
                 share: str | None = None, grain: Sequence[str] = ()) -> DataFrame:
     """RANK over all rows and DENSE_RANK within ``partition``, both by
     ``value`` descending; optionally ``share``: value in percent of the
-    grand total (a one-row scalar subquery over the materialized input).
-    ``grain`` spreads rows that share one value."""
-    base = materialize(base, "stage-leaderboard", reuse=True)
-    out = share_of_grand_total(base, value, share) if share else base
-    out = with_rank(out, [desc(value)], overall, grain=grain, reuse=True)
-    return with_rank(out, [desc(value)], within, partition_by=[partition], dense=True, grain=grain,
-                     reuse=True)
+    grand total (a one-row scalar subquery). Both ranks come from one table,
+    written in the order of ``value`` while the result is built; ``grain``
+    spreads rows that share one value."""
+    stored = ordered(base, [F.desc(value), *[F.asc(g) for g in grain]], "ranking")
+    out = with_overall_and_group_rank(stored, desc(value), partition, overall, within)
+    if not share:
+        return out
+    return out.withColumn(share, pct_of(F.col(value), stored.agg(F.sum(value)).scalar()))
 
 
 def activity_months(orders: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Named aggregate measures over the sales fact, and ``measures``.
 
-Each builder returns an aliased aggregate Column with the output type
-fixed (see ``ledgerlens.functions.columns``). Semantics as in the
-reports:
+A measure is a few additive parts and a formula over them, so that it can
+be computed from order lines, from sums per order (``SalesTables.sales``)
+and from partial sums. Each has its output type fixed (see
+``ledgerlens.functions.columns``). Semantics as in the reports:
 
 * ``orders``       COUNT(DISTINCT order_id)
 * ``avg_line_value`` the mean amount per *order line* (not per order)
@@ -11,94 +12,150 @@ reports:
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlens.functions.columns import MONEY, mean, money, ratio_pct
+from ledgerlens.functions.columns import MONEY, mean_of, money, ratio_pct
 
+# columns of the tables that hold sums of lines, beside the sums named as the
+# columns of a line: lines with an amount, lines with a loss
+AMOUNT_LINES, LOSS_LINES = "amount_lines", "loss_lines"
+_MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
-def orders(name: str = "total_orders") -> Column:
-    return F.count_distinct("order_id").cast(T.LongType()).alias(name)
 
+@dataclass(frozen=True)
+class Part:
+    """An additive part: its value over order lines (None where it counts
+    orders, which lines repeat), over rows per order, and how partial
+    values are merged."""
+    over_lines: Column | None
+    over_orders: Column
+    merge: str = "sum"
 
-def distinct_count(col: str, name: str) -> Column:
-    return F.count_distinct(col).cast(T.LongType()).alias(name)
 
+@dataclass(frozen=True)
+class Measure:
+    name: str
+    parts: tuple[Part, ...]
+    formula: Callable[..., Column]
 
-def customers(name: str = "unique_customers") -> Column:
-    return distinct_count("customer_name", name)
+    def result(self, *values: Column) -> Column:
+        return self.formula(*values).alias(self.name)
 
 
-def units(name: str = "units_sold") -> Column:
-    return F.sum("quantity").cast(T.LongType()).alias(name)
+def holds_sums(fact: DataFrame) -> bool:
+    """Whether the rows of ``fact`` are sums of lines (per order or pair)."""
+    return LOSS_LINES in fact.columns
 
 
-def revenue(name: str = "total_revenue") -> Column:
-    return money(F.sum("amount")).alias(name)
+def _count(x: Column) -> Column:
+    return F.coalesce(x, F.lit(0)).cast(T.LongType())
 
 
-def profit(name: str = "total_profit") -> Column:
-    return money(F.sum("profit")).alias(name)
+def orders(name: str = "total_orders") -> Measure:
+    return Measure(name, (Part(None, F.count(F.lit(1))),), _count)
 
 
-def avg_line_value(name: str = "avg_order_value") -> Column:
-    return mean("amount").alias(name)
+def units(name: str = "units_sold") -> Measure:
+    return Measure(name, (_sum("quantity"),), lambda s: s.cast(T.LongType()))
 
 
-def margin_pct(name: str = "profit_margin_pct") -> Column:
-    return ratio_pct(F.sum("profit"), F.sum("amount")).alias(name)
+def _sum(column: str) -> Part:
+    return Part(F.sum(column), F.sum(column))
 
 
-def count_where(cond: Column, name: str) -> Column:
-    """SUM(CASE WHEN cond THEN 1 ELSE 0 END): NULL over no rows, like SQL."""
-    return F.sum(F.when(cond, 1).otherwise(0)).cast(T.LongType()).alias(name)
+def revenue(name: str = "total_revenue") -> Measure:
+    return Measure(name, (_sum("amount"),), money)
+
+
+def profit(name: str = "total_profit") -> Measure:
+    return Measure(name, (_sum("profit"),), money)
 
 
-def loss_lines(name: str = "loss_orders") -> Column:
-    return count_where(F.col("profit") < 0, name)
+def avg_line_value(name: str = "avg_order_value") -> Measure:
+    return Measure(name, (_sum("amount"), Part(F.count("amount"), F.sum(AMOUNT_LINES))), mean_of)
 
 
-def raw_sum(col: str, name: str) -> Column:
+def margin_pct(name: str = "profit_margin_pct") -> Measure:
+    return Measure(name, (_sum("profit"), _sum("amount")), ratio_pct)
+
+
+def loss_lines(name: str = "loss_orders") -> Measure:
+    lines = F.sum(F.when(F.col("profit") < 0, 1).otherwise(0))
+    return Measure(name, (Part(lines, F.sum(LOSS_LINES)),), lambda s: s.cast(T.LongType()))
+
+
+def raw_sum(col: str, name: str) -> Measure:
     """Unrounded SUM kept for ranking and shares (exact decimal)."""
-    return F.sum(col).cast(MONEY).alias(name)
-
-
-def _few_distinct(fact: DataFrame, col: str, name: str) -> Column:
-    """COUNT(DISTINCT col) for a column with few values (states, cities,
-    categories): the set is built with the other measures in one pass. Sets
-    cannot hold text that compares without case, so that is lowered."""
-    kind = fact.schema[col].dataType
-    value = F.col(col)
-    if isinstance(kind, T.StringType) and not kind.isUTF8BinaryCollation():
-        value = F.lower(F.collate(value, "UTF8_BINARY"))
-    return F.size(F.collect_set(value)).cast(T.LongType()).alias(name)
-
-
-def measures(fact: DataFrame, keys: Sequence[Column | str], aggs: Sequence[Column],
-             distinct: dict[str, str] | None = None, few: dict[str, str] | None = None) -> DataFrame:
-    """GROUP BY ``keys`` with the given measures.
-
-    One COUNT(DISTINCT order_id) groups by (keys, order_id) first: over the
-    staged fact, which is bucketed by order_id, that needs no exchange;
-    over other input it is one exchange on these columns, before the one on
-    ``keys``. A second distinct count in the same aggregate would repeat
-    every row, so each ``{name: column}`` of ``distinct`` is an aggregate of
-    its own (it reads the keys and that column only) joined by the keys;
-    columns with few values can be counted in ``few``.
-    """
-    aggs = [*aggs, *[_few_distinct(fact, col, name) for name, col in (few or {}).items()]]
-    out = fact.groupBy(*keys).agg(*aggs) if keys else fact.agg(*aggs)
-    names = [c for c in out.columns][:len(keys)]
-    for name, col in (distinct or {}).items():
-        if not keys:
-            values = fact.select(col).distinct().agg(F.count(col).cast(T.LongType()))
-            out = out.withColumn(name, values.scalar())
-            continue
-        one = fact.groupBy(*keys).agg(distinct_count(col, name))
-        one = one.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)], name)
-        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(names)]
-        out = out.join(one, on).drop(*[f"_k{i}" for i in range(len(names))])
-    return out
+    return Measure(name, (_sum(col),), lambda s: s.cast(MONEY))
+
+
+def first(col: str, name: str) -> Measure:
+    """The least value of a column of the order."""
+    return Measure(name, (Part(F.min(col), F.min(col), "min"),), lambda x: x)
+
+
+def last(col: str, name: str) -> Measure:
+    """The greatest value of a column of the order."""
+    return Measure(name, (Part(F.max(col), F.max(col), "max"),), lambda x: x)
+
+
+def count_where(cond: Column, name: str) -> Column:
+    """SUM(CASE WHEN cond THEN 1 ELSE 0 END): NULL over no rows, like SQL."""
+    return F.sum(F.when(cond, 1).otherwise(0)).cast(T.LongType()).alias(name)
+
+
+def line_sums() -> list[Column]:
+    """The aggregates that make a table of sums (per order or pair)."""
+    return [*[F.sum(c).alias(c) for c in ("amount", "profit", "quantity")],
+            F.count("amount").alias(AMOUNT_LINES),
+            F.sum(F.when(F.col("profit") < 0, 1).otherwise(0)).alias(LOSS_LINES)]
+
+
+def measures(fact: DataFrame, keys: Sequence[Column | str], wanted: Sequence[Measure],
+             distinct: dict[str, str] | None = None) -> DataFrame:
+    """GROUP BY ``keys`` with the given measures and COUNT(DISTINCT column) per
+    ``{name: column}`` of ``distinct``.
+
+    Over rows per order, orders are counted. Over lines they are distinct
+    order ids: one such count groups by (keys, order_id) first, which needs
+    no exchange where the lines are bucketed by order_id.
+
+    With ``distinct`` the parts of all measures are first summed by the keys
+    and the distinct columns together. Spark repeats a row for each of
+    several distinct counts: here only these few rows are repeated, never
+    the fact, and no set of values is built in one buffer."""
+    sums = holds_sums(fact)
+    if sums and "order_id" not in fact.columns and any(
+            p.over_lines is None for m in wanted for p in m.parts):
+        raise ValueError("rows without an order cannot count orders")
+    distinct = dict(distinct or {})
+    if not distinct:
+        found = [m.result(*[_first_value(p, sums) for p in m.parts]) for m in wanted]
+        return fact.groupBy(*keys).agg(*found) if keys else fact.agg(*found)
+    counted = [m for m in wanted if not sums and any(p.over_lines is None for p in m.parts)]
+    names = fact.select(*keys).columns if keys else []
+    columns = list(dict.fromkeys([*distinct.values(), *(["order_id"] if counted else [])]))
+    fine = fact.select("*", *[k for k in keys if isinstance(k, Column)])
+    by = [*names, *[c for c in columns if c not in names]]
+    parts = {(i, j): p for i, m in enumerate(wanted) if m not in counted for j, p in enumerate(m.parts)}
+    sums_by = [_first_value(p, sums).alias(f"_p{i}_{j}") for (i, j), p in parts.items()]
+    fine = fine.groupBy(*by).agg(*sums_by) if sums_by else fine.select(*by).distinct()
+    out = []
+    for i, m in enumerate(wanted):
+        if m in counted:
+            out.append(m.result(F.count_distinct("order_id")))
+        else:
+            out.append(m.result(*[_MERGE[p.merge](f"_p{i}_{j}") for j, p in enumerate(m.parts)]))
+    out += [F.count_distinct(c).cast(T.LongType()).alias(n) for n, c in distinct.items()]
+    return fine.groupBy(*names).agg(*out) if names else fine.agg(*out)
+
+
+def _first_value(part: Part, sums: bool) -> Column:
+    if sums:
+        return part.over_orders
+    return F.count_distinct("order_id") if part.over_lines is None else part.over_lines

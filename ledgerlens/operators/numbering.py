@@ -19,14 +19,12 @@ _POSITION_BITS = 33
 PART, POSITION = "_part", "_position"
 
 
-def ordered(df: DataFrame, keys: list[Column | str], label: str = "ordered",
-            reuse: bool = False) -> DataFrame:
+def ordered(df: DataFrame, keys: list[Column | str], label: str = "ordered") -> DataFrame:
     """``df`` written once in the order of ``keys``, with the number of the
     row's partition (``_part``) and its position in it (``_position``).
-    Partitions follow each other in the order of the keys. ``reuse`` as for
-    :func:`ledgerlens.operators.materialize.materialize`."""
+    Partitions follow each other in the order of the keys."""
     placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    stored = materialize(placed.withColumn(POSITION, F.monotonically_increasing_id()), label, reuse)
+    stored = materialize(placed.withColumn(POSITION, F.monotonically_increasing_id()), label)
     return stored.withColumn(PART, F.shiftright(POSITION, _POSITION_BITS)).withColumn(
         POSITION, F.col(POSITION).bitwiseAND(F.lit((1 << _POSITION_BITS) - 1)))
 

@@ -53,7 +53,7 @@ _WORK = ("_rn", "_rank", "_dense", "_all")
 
 
 def numbered(df: DataFrame, order: Sequence[Key], partition_by: Sequence[str] = (),
-             values: Sequence[str] = (), reuse: bool = False) -> DataFrame:
+             values: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``_rn``, ``_rank``, ``_dense`` and ``_all`` (long): the
     row number in its group, RANK and DENSE_RANK by the columns ``values``,
     and the number of rows of all groups.
@@ -61,7 +61,7 @@ def numbered(df: DataFrame, order: Sequence[Key], partition_by: Sequence[str] =
     ``order`` should be total (end it with the grain key); ``values`` are
     the leading columns of ``order`` that are ranked."""
     stored = ordered(df, [*[F.asc(p) for p in partition_by], *[k.sort_col() for k in order]],
-                     label="ranking", reuse=reuse)
+                     label="ranking")
     group = F.struct(F.lit(0).alias("g"), *[F.col(p).alias(f"g{i}") for i, p in enumerate(partition_by)])
     value = F.struct(F.lit(0).alias("v"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values)])
     rows = stored.withColumn("_group", group).withColumn("_value", value)
@@ -108,19 +108,19 @@ def numbered(df: DataFrame, order: Sequence[Key], partition_by: Sequence[str] =
 
 
 def with_row_number(df: DataFrame, order: Sequence[Key], name: str = "row_number",
-                    partition_by: Sequence[str] = (), reuse: bool = False) -> DataFrame:
+                    partition_by: Sequence[str] = ()) -> DataFrame:
     """ROW_NUMBER() OVER (PARTITION BY partition_by ORDER BY order)."""
-    x = numbered(df, order, partition_by, reuse=reuse)
+    x = numbered(df, order, partition_by)
     return x.withColumn(name, F.col("_rn")).drop(*_WORK)
 
 
 def with_ntile(df: DataFrame, k: int, order: Sequence[Key], name: str = "ntile",
-               partition_by: Sequence[str] = (), reuse: bool = False) -> DataFrame:
+               partition_by: Sequence[str] = ()) -> DataFrame:
     """NTILE(k) OVER (PARTITION BY partition_by ORDER BY order).
 
     With N rows, q = N div k and r = N mod k, the first r tiles hold
     q + 1 rows and the rest q, as in SQL."""
-    x = numbered(df, order, partition_by, reuse=reuse)
+    x = numbered(df, order, partition_by)
     if partition_by:
         sizes = x.groupBy(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(partition_by)]).agg(
             F.max("_rn").alias("_n"))
@@ -136,10 +136,56 @@ def with_ntile(df: DataFrame, k: int, order: Sequence[Key], name: str = "ntile",
 
 def with_rank(df: DataFrame, order: Sequence[Key], name: str = "rank",
               partition_by: Sequence[str] = (), dense: bool = False,
-              grain: Sequence[str] = (), reuse: bool = False) -> DataFrame:
+              grain: Sequence[str] = ()) -> DataFrame:
     """RANK() (or DENSE_RANK()) OVER (PARTITION BY partition_by ORDER BY order).
 
     ``grain`` breaks ties in the layout only: with it, rows that share one
     value are spread over tasks."""
-    x = numbered(df, [*order, *[asc(g) for g in grain]], partition_by, [k.name for k in order], reuse)
+    x = numbered(df, [*order, *[asc(g) for g in grain]], partition_by, [k.name for k in order])
     return x.withColumn(name, F.col("_dense" if dense else "_rank")).drop(*_WORK)
+
+
+def with_overall_and_group_rank(stored: DataFrame, value: Key, group: str, overall: str,
+                                within: str) -> DataFrame:
+    """RANK() over all rows and DENSE_RANK() inside each ``group``, both by
+    ``value``, from one ordered table.
+
+    ``stored`` is :func:`ledgerlens.operators.numbering.ordered` by ``value``
+    and the grain, so a value or a group may span many partitions. Both ranks
+    are ranks inside the partition plus what is carried over from earlier
+    ones: rows and where a value that goes on began, from a table with one
+    row per partition; distinct values of the group, less those that go on,
+    from a table with one row per partition and group. Nothing is ordered
+    by group, and no step joins on the ranked value."""
+    by = value.sort_col()
+    here = Window.partitionBy(PART).orderBy(by)
+    rows = stored.withColumn("_rank", F.rank().over(here)).withColumn(
+        "_dense", F.dense_rank().over(Window.partitionBy(PART, group).orderBy(by)))
+    v = F.struct(F.lit(0).alias("_"), F.col(value.name).alias("v"))  # never null itself
+    parts = Window.orderBy(PART)  # one row per partition
+    earlier = parts.rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(PART).agg(F.min_by(v, POSITION).alias("top"), F.max_by(v, POSITION).alias("end"),
+                                  F.max("_rank").alias("last"), F.count(F.lit(1)).alias("rows"))
+    ends = ends.withColumn("_offset", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).withColumn(
+        "_goes_on", F.coalesce(F.col("top").eqNullSafe(F.lag("end").over(parts)), F.lit(False)))
+    begun = F.when(~F.col("_goes_on") | (F.col("last") > 1), F.col("_offset") + F.col("last"))
+    ends = ends.withColumn("_begun", begun).select(
+        PART, "_offset", F.when(F.col("_goes_on"), F.max("_begun").over(earlier)).alias("_began"))
+    per_group = Window.partitionBy(group).orderBy(PART)  # as many rows as partitions
+    shares = rows.groupBy(PART, group).agg(
+        F.min_by(v, POSITION).alias("top"), F.max_by(v, POSITION).alias("end"),
+        F.max("_dense").alias("values"))
+    again = F.coalesce(F.col("top").eqNullSafe(F.lag("end").over(per_group)), F.lit(False)).cast("long")
+    shares = shares.withColumn("_again", again).select(
+        F.col(PART).alias("_at"), F.col(group).alias("_group"),
+        (F.coalesce(F.sum("values").over(per_group.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+         - F.sum("_again").over(per_group.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+         ).alias("_carried"))
+    rows = rows.join(F.broadcast(ends), PART)
+    rows = rows.join(shares, (F.col(PART) == F.col("_at")) & F.col(group).eqNullSafe(F.col("_group")))
+    kept = [f"`{c}`" for c in stored.columns if c not in (PART, POSITION)]
+    first = F.col("_rank") == 1
+    return rows.select(
+        *kept, F.when(first & F.col("_began").isNotNull(), F.col("_began"))
+        .otherwise(F.col("_offset") + F.col("_rank")).alias(overall),
+        (F.col("_dense") + F.col("_carried")).alias(within))
