@@ -108,17 +108,23 @@ def dq_bad_amounts(t: SalesTables) -> DataFrame:
 def business_summary(t: SalesTables) -> DataFrame:
     """One-row KPI set over the sales fact (orders, customers, states, cities, categories, units,
     revenue, profit, mean line value, margin, loss lines)."""
-    fact = t.fact(["customer_name", "state", "city"], ["category", "sub_category", *LINE])
+    fact = t.sales(["customer_name", "state", "city"], LINE)
     x = M.measures(fact, [], [
+        M.orders("total_orders"),
         M.units("total_units_sold"),
         M.revenue("total_revenue"),
         M.profit("total_profit"),
         M.avg_line_value("avg_order_value"),
         M.margin_pct("overall_profit_margin_pct"),
         M.loss_lines("loss_making_orders")],
-        distinct={"total_orders": "order_id", "unique_customers": "customer_name"},
-        few={"states_covered": "state", "cities_covered": "city",
-             "product_categories": "category", "sub_categories": "sub_category"})
+        distinct={"unique_customers": "customer_name", "states_covered": "state",
+                  "cities_covered": "city"})
+    pairs = t.sales([], ["category", "sub_category"], orders=False)
+    # a one-row subquery: the pairs are their own table, or an aggregate of the lines
+    kinds = M.measures(pairs, [], [], distinct={"c": "category", "s": "sub_category"})
+    kinds = kinds.select(F.struct("c", "s")).scalar()
+    x = x.select("*", kinds.getField("c").alias("product_categories"),
+                 kinds.getField("s").alias("sub_categories"))
     first = ["total_orders", "unique_customers", "states_covered", "cities_covered",
              "product_categories", "sub_categories"]
     return x.select(*first, *[c for c in x.columns if c not in first])
@@ -129,7 +135,7 @@ def business_summary(t: SalesTables) -> DataFrame:
 def monthly_trend(t: SalesTables) -> DataFrame:
     """Per month: revenue, profit, orders, units, margin, previous revenue and month-over-month
     growth of revenue and profit."""
-    fact = t.fact(["order_date"], ["amount", "profit", "quantity"])
+    fact = t.sales(["order_date"], LINE)
     monthly = M.measures(fact, [month_start("order_date").alias("m")], [
         M.revenue("total_revenue"), M.profit("total_profit"), M.orders("total_orders"),
         M.units("units_sold")])
@@ -147,7 +153,7 @@ def monthly_trend(t: SalesTables) -> DataFrame:
 
 def quarterly_summary(t: SalesTables) -> DataFrame:
     """Per calendar year and quarter: orders, revenue, profit, margin."""
-    fact = t.fact(["order_date"], ["amount", "profit"])
+    fact = t.sales(["order_date"], ["amount", "profit"])
     return (M.measures(fact, [F.year("order_date").cast(T.LongType()).alias("yr"),
                               F.quarter("order_date").cast(T.LongType()).alias("qtr")], [
         M.orders("total_orders"), M.revenue("total_revenue"), M.profit("total_profit"),
@@ -157,7 +163,7 @@ def quarterly_summary(t: SalesTables) -> DataFrame:
 
 def day_of_week_performance(t: SalesTables) -> DataFrame:
     """Per weekday: orders, revenue, profit, mean line value."""
-    fact = t.fact(["order_date"], ["amount", "profit"])
+    fact = t.sales(["order_date"], ["amount", "profit"])
     return (M.measures(fact, [day_name("order_date").alias("day_of_week"),
                               day_of_week("order_date").alias("day_num")], [
         M.orders("total_orders"), M.revenue("total_revenue"), M.profit("total_profit"),
@@ -167,7 +173,7 @@ def day_of_week_performance(t: SalesTables) -> DataFrame:
 
 def ytd_running_totals(t: SalesTables) -> DataFrame:
     """Per day: revenue and profit with running totals restarting each calendar year."""
-    fact = t.fact(["order_date"], ["amount", "profit"])
+    fact = t.sales(["order_date"], ["amount", "profit"])
     daily = M.measures(fact, ["order_date"], [M.revenue("daily_revenue"), M.profit("daily_profit")])
     daily = daily.withColumn("_yr", F.year("order_date"))
     x = W.running_total(daily, "daily_revenue", ["order_date"], ["_yr"], "ytd_revenue")
@@ -227,7 +233,7 @@ def target_overall(t: SalesTables) -> DataFrame:
 
 def target_best_months(t: SalesTables) -> DataFrame:
     """Per month label: summed target, actual, variance, variance in percent, rank by variance."""
-    actual = actual_by_month_label(t.fact(["order_date"], ["amount"]), by=())
+    actual = actual_by_month_label(t.sales(["order_date"], ["amount"]), by=())
     monthly_target = (t.sales_target.groupBy("month_of_order_date")
                       .agg(F.sum("target").cast(MONEY).alias("total_target")))
     x = target_attainment(monthly_target, actual, [("month_of_order_date", "sale_month")])
@@ -285,7 +291,7 @@ def loss_making_subcategories(t: SalesTables) -> DataFrame:
 
 def top_subcategories_per_category(t: SalesTables, n: int = 3) -> DataFrame:
     """Top ``n`` sub-categories by profit inside each category, ties kept."""
-    fact = t.fact([], ["category", "sub_category", "profit"])
+    fact = t.sales([], ["category", "sub_category", "profit"], orders=False)
     x = M.measures(fact, ["category", "sub_category"], [
         M.profit("total_profit"), M.raw_sum("profit", "_profit")])
     x = W.top_n_per_group(x, ["category"], [F.desc("_profit")], n, "profit_rank")
@@ -294,7 +300,7 @@ def top_subcategories_per_category(t: SalesTables, n: int = 3) -> DataFrame:
 
 def pareto_subcategories(t: SalesTables, threshold: int = L.PARETO_THRESHOLD) -> DataFrame:
     """Sub-categories by revenue with cumulative share and an 80/20 group."""
-    fact = t.fact([], ["category", "sub_category", "amount"])
+    fact = t.sales([], ["category", "sub_category", "amount"], orders=False)
     x = M.measures(fact, ["category", "sub_category"], [M.revenue("revenue")])
     x = W.pareto(x, "revenue", ["category", "sub_category"], threshold,
                  top_label=L.PARETO_TOP, rest_label=L.PARETO_REST)
@@ -309,11 +315,11 @@ CUSTOMER_PLACE = ("customer_name", "state", "city")
 def top_customers(t: SalesTables, n: int = 10, grain: tuple = CUSTOMER_PLACE) -> DataFrame:
     """Top ``n`` customers (``grain``) by spend with orders, units, profit, mean line value, first
     and last purchase."""
-    fact = t.fact([*grain, "order_date"], LINE)
+    fact = t.sales([*grain, "order_date"], LINE)
     x = M.measures(fact, list(grain), [
         M.orders("total_orders"), M.units("total_units"), M.revenue("total_spent"),
         M.profit("profit_generated"), M.avg_line_value("avg_order_value"),
-        F.min("order_date").alias("first_purchase"), F.max("order_date").alias("last_purchase")])
+        M.first("order_date", "first_purchase"), M.last("order_date", "last_purchase")])
     # distributed top-k: each task keeps its best n, the driver merges them
     return x.orderBy(F.desc("total_spent"), *grain).limit(n)
 
@@ -337,7 +343,7 @@ def rfm_segments(t: SalesTables, score_order: str = "as_computed",
                  grain: tuple = ("customer_name",), as_of: str = L.RFM_AS_OF) -> DataFrame:
     """Per customer: recency days, frequency, monetary, NTILE(4) scores, their total and the
     segment. ``as_of`` is the date that recency scores count from."""
-    scored = C.rfm_scores(t.fact([*grain, "order_date"], ["amount"]), as_of=as_of,
+    scored = C.rfm_scores(t.sales([*grain, "order_date"], ["amount"]), as_of=as_of,
                           score_order=score_order, grain=grain)
     return (scored.select(
         *grain,
@@ -351,7 +357,7 @@ def rfm_segments(t: SalesTables, score_order: str = "as_computed",
 def rfm_segment_summary(t: SalesTables, score_order: str = "as_computed",
                         grain: tuple = ("customer_name",), as_of: str = L.RFM_AS_OF) -> DataFrame:
     """Per RFM segment: customers, revenue, mean spend and shares of customers and revenue."""
-    scored = C.rfm_scores(t.fact([*grain, "order_date"], ["amount"]), as_of=as_of,
+    scored = C.rfm_scores(t.sales([*grain, "order_date"], ["amount"]), as_of=as_of,
                           score_order=score_order, grain=grain)
     seg = scored.withColumn("customer_segment",
                             C.rfm_segment(F.col("r_score"), F.col("f_score"), F.col("m_score")))
@@ -370,7 +376,7 @@ def rfm_segment_summary(t: SalesTables, score_order: str = "as_computed",
 def state_performance(t: SalesTables) -> DataFrame:
     """Per state: orders, customers, units, revenue, profit, margin, mean line value, dense ranks
     by revenue and profit."""
-    fact = t.fact(["state", "customer_name"], LINE)
+    fact = t.sales(["state", "customer_name"], LINE)
     x = M.measures(fact, ["state"], [
         M.orders("total_orders"), M.units("units_sold"),
         M.revenue("total_revenue"), M.profit("total_profit"), M.margin_pct("profit_margin_pct"),
@@ -385,7 +391,7 @@ def state_performance(t: SalesTables) -> DataFrame:
 def top_cities(t: SalesTables, n: int = 15) -> DataFrame:
     """Top ``n`` (city, state) by revenue with orders, customers, profit, mean line value and
     dense rank."""
-    fact = t.fact(["city", "state", "customer_name"], ["amount", "profit"])
+    fact = t.sales(["city", "state", "customer_name"], ["amount", "profit"])
     x = M.measures(fact, ["city", "state"], [
         M.orders("total_orders"), M.revenue("total_revenue"),
         M.profit("total_profit"), M.avg_line_value("avg_order_value"),
@@ -456,7 +462,7 @@ def top_payment_per_category(t: SalesTables) -> DataFrame:
 
 def margin_ranking(t: SalesTables) -> DataFrame:
     """Sub-categories ranked by their rounded margin percentage."""
-    fact = t.fact([], ["category", "sub_category", "amount", "profit"])
+    fact = t.sales([], ["category", "sub_category", "amount", "profit"], orders=False)
     x = M.measures(fact, ["category", "sub_category"], [
         M.revenue("revenue"), M.profit("profit"), M.margin_pct("margin_pct")])
     # ranked on the rounded margin, as reported
@@ -466,7 +472,7 @@ def margin_ranking(t: SalesTables) -> DataFrame:
 
 def profit_moving_average(t: SalesTables, rows: int = 3) -> DataFrame:
     """Monthly profit with the average over the current and ``rows - 1`` previous months."""
-    fact = t.fact(["order_date"], ["profit"])
+    fact = t.sales(["order_date"], ["profit"])
     monthly = M.measures(fact, [month_start("order_date").alias("m")], [M.profit("monthly_profit")])
     x = W.moving_average(monthly, "monthly_profit", ["m"], rows, name="moving_avg_3m")
     return x.select(month_key("m").alias("order_month"), "monthly_profit", "moving_avg_3m").orderBy(
@@ -508,10 +514,10 @@ def clv_customers(t: SalesTables, grain: tuple = CUSTOMER_PLACE) -> DataFrame:
     """Per customer (``grain``): lifetime orders, spend, profit, first and last order, lifespan,
     mean line value, spend quartile and label."""
     grain = list(grain)
-    fact = t.fact([*grain, "order_date"], ["amount", "profit"])
+    fact = t.sales([*grain, "order_date"], ["amount", "profit"])
     base = M.measures(fact, grain, [
         M.orders("total_orders"), M.revenue("total_spent"), M.profit("profit_generated"),
-        F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order"),
+        M.first("order_date", "first_order"), M.last("order_date", "last_order"),
         M.avg_line_value("avg_order_value")])
     base = base.withColumn("lifespan_days",
                            F.datediff("last_order", "first_order").cast(T.LongType()))
@@ -525,7 +531,7 @@ def clv_customers(t: SalesTables, grain: tuple = CUSTOMER_PLACE) -> DataFrame:
 
 def clv_segment_summary(t: SalesTables, grain: tuple = ("customer_name",)) -> DataFrame:
     """Per spend quartile: customers, revenue, mean spend and revenue share."""
-    fact = t.fact(list(grain), ["amount"])
+    fact = t.sales(list(grain), ["amount"])
     base = M.measures(fact, list(grain), [M.revenue("total_spent")])
     x = C.clv_quartiles(base, list(grain))
     s = x.groupBy("clv_quartile").agg(
@@ -554,7 +560,7 @@ def cohort_retention(t: SalesTables, max_index: int = 11) -> DataFrame:
 def customer_leaderboard(t: SalesTables, grain: tuple = ("customer_name", "state")) -> DataFrame:
     """Customer grain must include ``state`` (the in-state rank's partition)."""
     grain = list(grain)
-    fact = t.fact(grain, ["amount", "profit"])
+    fact = t.sales(grain, ["amount", "profit"])
     base = M.measures(fact, grain, [M.revenue("total_revenue"), M.profit("total_profit")])
     x = C.leaderboard(base, "total_revenue", "state", share="revenue_share_pct", grain=grain)
     return (x.select(*grain, "total_revenue", "total_profit", "overall_rank",
@@ -593,13 +599,13 @@ EXECUTIVE_VIEW = "v_executive_summary"
 def executive_summary_frame(t: SalesTables) -> DataFrame:
     """Monthly executive summary: orders, customers, active states, units, revenue, profit, mean
     line value, margin, loss lines."""
-    fact = t.fact(["order_date", "customer_name", "state"], LINE)
+    fact = t.sales(["order_date", "customer_name", "state"], LINE)
     x = M.measures(fact, [month_start("order_date").alias("m")], [
         M.orders("total_orders"), M.units("units_sold"),
         M.revenue("total_revenue"), M.profit("total_profit"),
         M.avg_line_value("avg_order_value"), M.margin_pct("profit_margin_pct"),
-        M.loss_lines("loss_orders")], distinct={"unique_customers": "customer_name"},
-        few={"active_states": "state"})
+        M.loss_lines("loss_orders")],
+        distinct={"unique_customers": "customer_name", "active_states": "state"})
     first = ["total_orders", "unique_customers", "active_states"]
     return x.select(month_key("m").alias("month"), *first,
                     *[c for c in x.columns if c not in ("m", *first)])

@@ -20,7 +20,9 @@ Two load modes:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,16 +56,21 @@ def _strict(spark: SparkSession, path: str, schema: T.StructType, label: str) ->
     return materialize(whole.toDF(*schema.names), f"staged-{label}")
 
 
-def read_order_list(spark: SparkSession, path: str) -> DataFrame:
-    return _strict(spark, path, schemas.ORDER_LIST, "order-list")
+# Other schemas than the original's have the same columns with other types.
+
+def read_order_list(spark: SparkSession, path: str,
+                    schema: T.StructType = schemas.ORDER_LIST) -> DataFrame:
+    return _strict(spark, path, schema, "order-list")
 
 
-def read_order_details(spark: SparkSession, path: str) -> DataFrame:
-    return _strict(spark, path, schemas.ORDER_DETAILS, "order-details")
+def read_order_details(spark: SparkSession, path: str,
+                       schema: T.StructType = schemas.ORDER_DETAILS) -> DataFrame:
+    return _strict(spark, path, schema, "order-details")
 
 
-def read_sales_target(spark: SparkSession, path: str) -> DataFrame:
-    return _strict(spark, path, schemas.SALES_TARGET, "sales-target")
+def read_sales_target(spark: SparkSession, path: str,
+                      schema: T.StructType = schemas.SALES_TARGET) -> DataFrame:
+    return _strict(spark, path, schema, "sales-target")
 
 
 def read_sales_tables(spark: SparkSession, orders_path: str, details_path: str,
@@ -83,13 +90,9 @@ def _convert(raw: Column, dtype: T.DataType) -> Column:
     return raw.try_cast(dtype)
 
 
-def read_with_rejects(spark: SparkSession, path: str,
-                      schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Lenient load: ``(good, rejected)``.
-
-    ``good`` has ``schema``; ``rejected`` has ``(raw_line, reason)``.
-    Empty fields become NULL in ``good`` (the NULL profile reports them).
-    """
+def _flagged(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The columns of ``schema`` and ``raw_line, reason`` of every line; the
+    reason is null where all fields convert."""
     text_schema = T.StructType(
         [T.StructField(f.name, T.StringType()) for f in _with_header(schema).fields]
         + [T.StructField("_corrupt", T.StringType())])
@@ -114,14 +117,56 @@ def read_with_rejects(spark: SparkSession, path: str,
     ]
     reason = F.coalesce(
         F.when(F.col("_corrupt").isNotNull(), F.lit("malformed line")), *failures)
-    flagged = typed.withColumn("_reason", reason)
-    good = flagged.where(F.col("_reason").isNull()).select(*[f.name for f in schema.fields])
     raw_line = F.coalesce(
         F.col("_corrupt"),
         F.concat_ws(",", *[F.coalesce(F.col("_raw_" + f.name), F.lit("")) for f in schema.fields]))
-    rejected = flagged.where(F.col("_reason").isNotNull()).select(
-        raw_line.alias("raw_line"), F.col("_reason").alias("reason"))
-    return good, rejected
+    return typed.select(*[f.name for f in schema.fields],
+                        F.when(reason.isNotNull(), raw_line).alias("raw_line"), reason.alias("reason"))
+
+
+def read_with_rejects(spark: SparkSession, path: str,
+                      schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Lenient load: ``(good, rejected)``, both read from the file when used
+    (:func:`load_csv` reads it once).
+
+    ``good`` has ``schema``; ``rejected`` has ``(raw_line, reason)``.
+    Empty fields become NULL in ``good`` (the NULL profile reports them).
+    """
+    flagged = _flagged(spark, path, schema)
+    return (flagged.where(F.col("reason").isNull()).select(*schema.names),
+            flagged.where(F.col("reason").isNotNull()).select("raw_line", "reason"))
+
+
+@dataclass(frozen=True)
+class Load:
+    """What a lenient load stored, and how many lines it saw."""
+    good: DataFrame
+    rejects: DataFrame
+    lines: int
+    loaded: int
+    rejected: int
+
+
+def load_csv(spark: SparkSession, path: str, schema: T.StructType, folder: str) -> Load:
+    """Lenient load in one pass: good rows and rejects are stored side by side
+    in ``folder`` (Parquet, one subfolder each), and the lines, good rows and
+    rejects are counted in the job that writes them. A file without lines
+    gives empty tables and zero counts."""
+    counted = Observation()
+    bad = F.col("reason").isNotNull()
+    flagged = _flagged(spark, path, schema).observe(
+        counted, F.count(F.lit(1)).alias("lines"),
+        F.count(F.when(bad, 1)).alias("rejected"), F.count(F.when(~bad, 1)).alias("loaded"))
+    (flagged.withColumn("rejected", bad).write.mode("errorifexists").partitionBy("rejected")
+     .parquet(folder))
+    seen = counted.get
+    whole = T.StructType([*schema.fields, T.StructField("raw_line", T.StringType()),
+                          T.StructField("reason", T.StringType()),
+                          T.StructField("rejected", T.BooleanType())])
+    stored = spark.read.schema(whole).parquet(folder)
+    return Load(stored.where("not rejected").select(*schema.names),
+                stored.where("rejected").select("raw_line", "reason"),
+                seen["lines"], seen["loaded"], seen["rejected"])
 
 
 def clean_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

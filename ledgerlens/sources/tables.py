@@ -14,6 +14,13 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
+from ledgerlens.operators.measures import AMOUNT_LINES, LOSS_LINES
+
+# columns of a line that the tables of sums hold, and what these are grouped by
+SUMMED = ("amount", "profit", "quantity")
+COUNTED = (AMOUNT_LINES, LOSS_LINES)
+PAIR = ("category", "sub_category")
+
 Projector = Callable[[Sequence[str]], DataFrame]
 Loader = Callable[[], DataFrame]
 
@@ -22,12 +29,15 @@ class SalesTables:
     def __init__(self, order_list: DataFrame | Loader, order_details: DataFrame | Loader,
                  sales_target: DataFrame | Loader, orders_projector: Projector | None = None,
                  details_projector: Projector | None = None,
-                 fact_table: DataFrame | None = None):
+                 fact_table: DataFrame | None = None, order_sums: DataFrame | None = None,
+                 pair_sums: DataFrame | None = None):
         self._loaders = {"order_list": order_list, "order_details": order_details,
                          "sales_target": sales_target}
         self.orders_projector = orders_projector
         self.details_projector = details_projector
         self.fact_table = fact_table
+        self.order_sums = order_sums
+        self.pair_sums = pair_sums
 
     def _load(self, name: str) -> DataFrame:
         x = self._loaders[name]
@@ -66,6 +76,21 @@ class SalesTables:
         return sales_fact(self.orders("order_id", *order_cols),
                           self.details("order_id", *detail_cols))
 
+    def sales(self, order_cols: Sequence[str], line_cols: Sequence[str],
+              orders: bool = True) -> DataFrame:
+        """The smallest staged table from which ``measures`` can aggregate the
+        named columns of the fact: sums per (category, sub-category) where
+        no column of an order is asked for and ``orders`` are not counted,
+        sums per order where amounts are all that is asked of a line, else
+        the lines themselves."""
+        kinds = [c for c in line_cols if c not in SUMMED]
+        wanted = _dedupe([*order_cols, *line_cols])
+        if self.pair_sums is not None and not order_cols and not orders and set(kinds) <= set(PAIR):
+            return self.pair_sums.select(*wanted, *COUNTED)
+        if self.order_sums is not None and not kinds:
+            return self.order_sums.select(*_dedupe(["order_id", *wanted]), *COUNTED)
+        return self.fact(order_cols, line_cols)
+
     @property
     def spark(self):
         return self.fact([], []).sparkSession
