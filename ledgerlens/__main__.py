@@ -6,8 +6,9 @@
     python -m ledgerlens --orders o.csv --details d.csv --targets t.csv --out /path/out
 
 Each report is written to ``<out>/<report>`` in the chosen format
-(parquet by default, csv with a header otherwise). With CSV input, rows
-that fail to parse are written to ``<out>/_rejects/<table>``. ``--list``
+(parquet by default) and named with its rows and digest in
+``<out>/_manifest.json``, written last. With CSV input, rows that fail to
+parse are written to ``<out>/_rejects/<table>``. ``--list``
 prints the report names.
 """
 
@@ -19,6 +20,7 @@ from functools import partial
 
 from ledgerlens.plans.catalog import REPORTS
 from ledgerlens.session import build_session
+from ledgerlens.sources.export import write_results
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -59,24 +61,23 @@ def main(argv: list[str] | None = None) -> int:
         from ledgerlens.sources.staging import stage_tables
         tables = stage_tables(spark, args.warehouse, location=args.stage_to)
     else:
-        from ledgerlens.sources.staging import stage_csv_tables
-        tables, rejects = stage_csv_tables(spark, args.orders, args.details, args.targets, args.trim,
-                                           args.ignore_case)
-        for table, bad in rejects.items():
-            (bad.write.mode("overwrite").option("header", True)
+        from ledgerlens.sources.staging import load_csv_tables
+        tables, loads = load_csv_tables(spark, args.orders, args.details, args.targets, args.trim,
+                                        args.ignore_case)
+        for table, load in loads.items():
+            print(f"{table}: {load.lines} lines, {load.loaded} loaded, {load.rejected} rejected",
+                  file=sys.stderr)
+            (load.rejects.write.mode("overwrite").option("header", True)
              .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
              .csv(f"{args.out}/_rejects/{table}"))
     if not args.out:
         return 0
     reports = REPORTS | {"weekday_histogram": partial(REPORTS["weekday_histogram"],
                                                       orders_per_mark=args.orders_per_mark)}
-    for name in names:
-        w = reports[name](tables).write.mode("overwrite").format(args.format)
-        if args.format == "csv":   # keep values exactly, blanks included
-            w = (w.option("header", True).option("ignoreLeadingWhiteSpace", False)
-                 .option("ignoreTrailingWhiteSpace", False))
-        w.save(f"{args.out}/{name}")
-        print(f"wrote {args.out}/{name}", file=sys.stderr)
+    entries = write_results(spark, {name: partial(reports[name], tables) for name in names}, args.out,
+                            args.format)
+    for entry in entries:
+        print(f"wrote {args.out}/{entry['name']}: {entry['rows']} rows", file=sys.stderr)
     return 0
 
 

@@ -85,7 +85,7 @@ def top_n_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column | s
     return rank_by(df, order, name, by, kind).where(F.col(name) <= n)
 
 
-def _share_at_most(part: str, total: str, percent: int) -> Column:
+def share_at_most(part: str, total: str, percent: int) -> Column:
     """part / total * 100 <= percent without a rounded quotient: the sign
     of the total decides which side is larger; not true for a zero total."""
     gap = F.col(part) * 100 - F.col(total) * percent
@@ -108,6 +108,6 @@ def pareto(df: DataFrame, value: str, tiebreak: Sequence[str], threshold: int =
     total = F.sum(value).over(Window.partitionBy())
     return (df.withColumn("_cum", cum).withColumn("_tot", total)
             .withColumn(pct_name, pct_of(F.col("_cum"), F.col("_tot")))
-            .withColumn(group_name, F.when(_share_at_most("_cum", "_tot", threshold), F.lit(top_label))
+            .withColumn(group_name, F.when(share_at_most("_cum", "_tot", threshold), F.lit(top_label))
                         .otherwise(F.lit(rest_label)))
             .drop("_cum", "_tot"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.plans import fine_grain
 from ledgerlens.plans import reports as R
 from ledgerlens.sources.tables import SalesTables
 from ledgerlens.sources.staging import staged_tables
@@ -65,7 +66,7 @@ REPORTS: dict[str, Report] = {
 
 
 def run_on_warehouse(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    report = REPORTS[name]
+    report = (REPORTS | fine_grain.REPORTS)[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return report(staged_tables(spark, sf_dir))
