@@ -1,8 +1,8 @@
 """Named aggregate measures over the sales fact, and ``measures``.
 
-A measure is a few additive parts and a formula over them, so that it can
-be computed from order lines, from sums per order (``SalesTables.sales``)
-and from partial sums. Each has its output type fixed (see
+A measure is a few parts and a formula over them, so that it can be
+computed from order lines and from sums of lines, per order or per pair of
+category and sub-category (``SalesTables.sales``). Each has its output type fixed (see
 ``ledgerlens.functions.columns``). Semantics as in the reports:
 
 * ``orders``       COUNT(DISTINCT order_id)
@@ -24,17 +24,14 @@ from ledgerlens.functions.columns import MONEY, mean_of, money, ratio_pct
 # columns of the tables that hold sums of lines, beside the sums named as the
 # columns of a line: lines with an amount, lines with a loss
 AMOUNT_LINES, LOSS_LINES = "amount_lines", "loss_lines"
-_MERGE = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
 @dataclass(frozen=True)
 class Part:
-    """An additive part: its value over order lines (None where it counts
-    orders, which lines repeat), over rows per order, and how partial
-    values are merged."""
+    """A part: its value over order lines (None where it counts orders, which
+    lines repeat) and over rows that hold sums of lines."""
     over_lines: Column | None
-    over_orders: Column
-    merge: str = "sum"
+    over_sums: Column
 
 
 @dataclass(frozen=True)
@@ -52,12 +49,8 @@ def holds_sums(fact: DataFrame) -> bool:
     return LOSS_LINES in fact.columns
 
 
-def _count(x: Column) -> Column:
-    return F.coalesce(x, F.lit(0)).cast(T.LongType())
-
-
 def orders(name: str = "total_orders") -> Measure:
-    return Measure(name, (Part(None, F.count(F.lit(1))),), _count)
+    return Measure(name, (Part(None, F.count(F.lit(1))),), lambda n: n.cast(T.LongType()))
 
 
 def units(name: str = "units_sold") -> Measure:
@@ -96,12 +89,12 @@ def raw_sum(col: str, name: str) -> Measure:
 
 def first(col: str, name: str) -> Measure:
     """The least value of a column of the order."""
-    return Measure(name, (Part(F.min(col), F.min(col), "min"),), lambda x: x)
+    return Measure(name, (Part(F.min(col), F.min(col)),), lambda x: x)
 
 
 def last(col: str, name: str) -> Measure:
     """The greatest value of a column of the order."""
-    return Measure(name, (Part(F.max(col), F.max(col), "max"),), lambda x: x)
+    return Measure(name, (Part(F.max(col), F.max(col)),), lambda x: x)
 
 
 def count_where(cond: Column, name: str) -> Column:
@@ -125,37 +118,35 @@ def measures(fact: DataFrame, keys: Sequence[Column | str], wanted: Sequence[Mea
     order ids: one such count groups by (keys, order_id) first, which needs
     no exchange where the lines are bucketed by order_id.
 
-    With ``distinct`` the parts of all measures are first summed by the keys
-    and the distinct columns together. Spark repeats a row for each of
-    several distinct counts: here only these few rows are repeated, never
-    the fact, and no set of values is built in one buffer."""
+    A second distinct count in one aggregate would make Spark repeat every
+    row. So one at most is taken with the measures; every other is an
+    aggregate of its own, which reads the keys and that column only and is
+    joined by the keys (few rows where the column has few values). No set of
+    values is built in one buffer."""
     sums = holds_sums(fact)
     if sums and "order_id" not in fact.columns and any(
             p.over_lines is None for m in wanted for p in m.parts):
         raise ValueError("rows without an order cannot count orders")
-    distinct = dict(distinct or {})
-    if not distinct:
-        found = [m.result(*[_first_value(p, sums) for p in m.parts]) for m in wanted]
-        return fact.groupBy(*keys).agg(*found) if keys else fact.agg(*found)
-    counted = [m for m in wanted if not sums and any(p.over_lines is None for p in m.parts)]
-    names = fact.select(*keys).columns if keys else []
-    columns = list(dict.fromkeys([*distinct.values(), *(["order_id"] if counted else [])]))
-    fine = fact.select("*", *[k for k in keys if isinstance(k, Column)])
-    by = [*names, *[c for c in columns if c not in names]]
-    parts = {(i, j): p for i, m in enumerate(wanted) if m not in counted for j, p in enumerate(m.parts)}
-    sums_by = [_first_value(p, sums).alias(f"_p{i}_{j}") for (i, j), p in parts.items()]
-    fine = fine.groupBy(*by).agg(*sums_by) if sums_by else fine.select(*by).distinct()
-    out = []
-    for i, m in enumerate(wanted):
-        if m in counted:
-            out.append(m.result(F.count_distinct("order_id")))
-        else:
-            out.append(m.result(*[_MERGE[p.merge](f"_p{i}_{j}") for j, p in enumerate(m.parts)]))
-    out += [F.count_distinct(c).cast(T.LongType()).alias(n) for n, c in distinct.items()]
-    return fine.groupBy(*names).agg(*out) if names else fine.agg(*out)
+    found = [m.result(*[_first_value(p, sums) for p in m.parts]) for m in wanted]
+    apart = dict(distinct or {})
+    if apart and (sums or not any(p.over_lines is None for m in wanted for p in m.parts)):
+        name = next(iter(apart))
+        found.append(F.count_distinct(apart.pop(name)).cast(T.LongType()).alias(name))
+    out = fact.groupBy(*keys).agg(*found) if keys else fact.agg(*found)
+    names = out.columns[:len(keys)]
+    for name, col in apart.items():
+        if not keys:
+            values = fact.select(col).distinct().agg(F.count(col).cast(T.LongType()))
+            out = out.withColumn(name, values.scalar())
+            continue
+        one = fact.groupBy(*keys).agg(F.count_distinct(col).cast(T.LongType()).alias(name))
+        one = one.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(names)], name)
+        on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(names)]
+        out = out.join(one, on).drop(*[f"_k{i}" for i in range(len(names))])
+    return out
 
 
 def _first_value(part: Part, sums: bool) -> Column:
     if sums:
-        return part.over_orders
+        return part.over_sums
     return F.count_distinct("order_id") if part.over_lines is None else part.over_lines

@@ -120,11 +120,10 @@ def business_summary(t: SalesTables) -> DataFrame:
         distinct={"unique_customers": "customer_name", "states_covered": "state",
                   "cities_covered": "city"})
     pairs = t.sales([], ["category", "sub_category"], orders=False)
-    # a one-row subquery: the pairs are their own table, or an aggregate of the lines
-    kinds = M.measures(pairs, [], [], distinct={"c": "category", "s": "sub_category"})
-    kinds = kinds.select(F.struct("c", "s")).scalar()
-    x = x.select("*", kinds.getField("c").alias("product_categories"),
-                 kinds.getField("s").alias("sub_categories"))
+    # one-row subqueries: the pairs are a small table of their own, if staged
+    kinds = {n: pairs.select(c).distinct().agg(F.count(c).cast(T.LongType())).scalar() for n, c in
+             [("product_categories", "category"), ("sub_categories", "sub_category")]}
+    x = x.select("*", *[c.alias(n) for n, c in kinds.items()])
     first = ["total_orders", "unique_customers", "states_covered", "cities_covered",
              "product_categories", "sub_categories"]
     return x.select(*first, *[c for c in x.columns if c not in first])
