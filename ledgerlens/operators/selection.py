@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,39 +30,36 @@ from ledgerlens.operators.materialize import materialize
 from ledgerlens.operators.ranking import Key
 
 BINS = 1024
-FEW = 512
+FEW = 4096
 _CHARS = 3  # characters behind a common prefix that tell texts apart in a round
 _BASE = 0x110000 + 1
 
 
 @dataclass(frozen=True)
 class Part:
-    """A column of an order, turned so that it ascends: ``rank`` orders nulls
-    and other values, ``value`` is a decimal or binary-compared text."""
-    rank: Column
-    value: Column
+    """A column of an order, turned so that it ascends, as SQL text: a decimal
+    or binary-compared text. Nulls come first, or else last."""
+    value: str
     text: bool
-    null_rank: int
+    nulls_first: bool
     scale: int = 0
 
 
 def _part(df: DataFrame, key: Key) -> Part:
-    kind, column = df.schema[key.name].dataType, F.col(f"`{key.name}`")
-    null_rank = 0 if key.ascending else 1
-    rank = F.when(column.isNull(), null_rank).otherwise(1 - null_rank)
+    kind, column = df.schema[key.name].dataType, f"`{key.name}`"
     if isinstance(kind, T.StringType):
         if not key.ascending:
             raise TypeError(f"{key.name}: text can be selected in ascending order only")
         if not kind.isUTF8BinaryCollation():  # UTF8_LCASE orders by lower-cased code points
-            column = F.lower(F.collate(column, "UTF8_BINARY"))
-        return Part(rank, column, True, null_rank)
+            column = f"lower(collate({column}, 'UTF8_BINARY'))"
+        return Part(column, True, True)
     if isinstance(kind, T.DateType):
-        column = F.unix_date(column)
+        column = f"unix_date({column})"
     elif not isinstance(kind, (T.IntegralType, T.DecimalType)):
         raise TypeError(f"{key.name}: cannot select by {kind.simpleString()}")
     scale = kind.scale if isinstance(kind, T.DecimalType) else 0
-    column = column.cast(T.DecimalType(38, scale))
-    return Part(rank, column if key.ascending else -column, False, null_rank, scale)
+    sign = "" if key.ascending else "-"
+    return Part(f"({sign}CAST({column} AS DECIMAL(38,{scale})))", False, key.ascending, scale)
 
 
 @dataclass
@@ -83,27 +80,25 @@ class _Boundary:
         return self.score, tuple(self.fixed), self.low, self.high, self.with_null
 
 
-def _literal(value, part: Part) -> Column:
-    return F.lit(value) if part.text else F.lit(value).cast(T.DecimalType(38, max(
-        0, -value.as_tuple().exponent)))
+def _literal(value, part: Part) -> str:
+    if part.text:  # as bytes: nothing in it can be taken for SQL
+        return f"CAST(X'{value.encode('utf-8', 'surrogatepass').hex()}' AS STRING)"
+    return f"CAST('{value:f}' AS DECIMAL(38,{part.scale}))"
 
 
-def _same(part: Part, value) -> Column:
-    return part.value.isNull() if value is None else F.coalesce(
-        part.value == _literal(value, part), F.lit(False))
+def _same(part: Part, value) -> str:
+    return f"{part.value} IS NULL" if value is None else f"{part.value} <=> {_literal(value, part)}"
 
 
-def _fits(b: _Boundary, parts: Sequence[Part]) -> Column:
+def _fits(b: _Boundary, parts: Sequence[Part]) -> str:
     """Whether a row can be the one at the boundary."""
-    out = F.lit(True)
-    for part, value in zip(parts, b.fixed):
-        out = out & _same(part, value)
+    out = ["TRUE"] + [_same(part, value) for part, value in zip(parts, b.fixed)]
     if len(b.fixed) < len(parts):
         part = parts[len(b.fixed)]
-        inside = F.lit(False) if b.low is None else F.coalesce(
-            part.value.between(_literal(b.low, part), _literal(b.high, part)), F.lit(False))
-        out = out & (inside | part.value.isNull() if b.with_null else inside)
-    return out
+        inside = "FALSE" if b.low is None else (
+            f"coalesce({part.value} BETWEEN {_literal(b.low, part)} AND {_literal(b.high, part)}, FALSE)")
+        out.append(f"({inside} OR {part.value} IS NULL)" if b.with_null else inside)
+    return " AND ".join(out)
 
 
 def _common(a: str, b: str) -> int:
@@ -120,24 +115,24 @@ def _text_number(text: str, skip: int) -> int:
     return out
 
 
-def _bin(b: _Boundary, part: Part) -> Column:
+def _bin(b: _Boundary, part: Part) -> str:
     """The bin of a fitting row: it never falls where the value rises, and
     the two bounds have different ones. Nulls come before or after all."""
     if b.low is None or b.low == b.high:
-        at = F.lit(0)
+        at = "0"
     else:
         if part.text:
             skip = _common(b.low, b.high)
-            number = F.lit(0).cast("long")
+            number = "0L"
             for i in range(skip + 1, skip + 1 + _CHARS):
-                one = F.substring(part.value, i, 1)
-                number = number * _BASE + F.when(one == "", 0).otherwise(F.ascii(one) + 1)
+                one = f"substring({part.value}, {i}, 1)"
+                number = f"({number} * {_BASE}L + IF({one} = '', 0, ascii({one}) + 1))"
             low = _text_number(b.low, skip)
-            share = (number - F.lit(low)).cast("double") / float(_text_number(b.high, skip) - low)
+            share, width = f"({number} - {low}L)", _text_number(b.high, skip) - low
         else:
-            share = (part.value - _literal(b.low, part)).cast("double") / float(b.high - b.low)
-        at = F.least(F.floor(share * BINS), F.lit(BINS - 1))
-    return F.when(part.value.isNull(), -1 if part.null_rank == 0 else BINS).otherwise(at).cast("int")
+            share, width = f"({part.value} - {_literal(b.low, part)})", b.high - b.low
+        at = f"least(floor(CAST({share} AS DOUBLE) / {float(width)!r}D * {BINS}), {BINS - 1})"
+    return f"CAST(IF({part.value} IS NULL, {-1 if part.nulls_first else BINS}, {at}) AS INT)"
 
 
 def _advance(b: _Boundary, bins: list, bounds: dict, parts: Sequence[Part]) -> None:
@@ -160,16 +155,14 @@ def _advance(b: _Boundary, bins: list, bounds: dict, parts: Sequence[Part]) -> N
 def _count(df: DataFrame, open_: list[_Boundary], parts: dict[str, list[Part]]) -> dict:
     """Bins of every state of the open boundaries, from one scan."""
     states = list({b.state(): b for b in open_}.values())
-    number = T.DecimalType(38, max(p.scale for b in states for p in parts[b.score]))
+    number = f"DECIMAL(38,{max(p.scale for b in states for p in parts[b.score])})"
     cells = []
     for i, b in enumerate(states):
         part = parts[b.score][len(b.fixed)]
-        none_text, none_number = F.lit(None).cast("string"), F.lit(None).cast(number)
-        cells.append(F.when(_fits(b, parts[b.score]), F.struct(
-            F.lit(i).alias("s"), _bin(b, part).alias("bin"),
-            (none_number if part.text else part.value.cast(number)).alias("n"),
-            (part.value if part.text else none_text).alias("t"))))
-    rows = df.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c"))
+        n, t = ("NULL", part.value) if part.text else (part.value, "NULL")
+        cells.append(f"IF({_fits(b, parts[b.score])}, named_struct('s', {i}, 'bin', {_bin(b, part)}, "
+                     f"'n', CAST({n} AS {number}), 't', CAST({t} AS STRING)), NULL)")
+    rows = df.select(F.expr(_exploded(cells)).alias("c"))
     found = rows.groupBy("c.s", "c.bin").agg(
         F.count(F.lit(1)).alias("rows"), F.min("c.n").alias("n0"), F.max("c.n").alias("n1"),
         F.min("c.t").alias("t0"), F.max("c.t").alias("t1")).collect()
@@ -185,40 +178,39 @@ def _count(df: DataFrame, open_: list[_Boundary], parts: dict[str, list[Part]])
 def _read_off(df: DataFrame, near: list[_Boundary], parts: dict[str, list[Part]]) -> None:
     """Fetch the few rows that fit each boundary, and fix its values."""
     states = list({b.state(): b for b in near}.values())
-    cells = [F.when(_fits(b, parts[b.score]), F.struct(F.lit(i).alias("s"), F.array(*[
-        F.struct(p.rank.alias("r"), (F.lit(None) if p.text else p.value).cast("string").alias("n"),
-                 (p.value if p.text else F.lit(None)).cast("string").alias("t"))
-        for p in parts[b.score]]).alias("v"))) for i, b in enumerate(states)]
+    cells = []
+    for i, b in enumerate(states):
+        values = ", ".join(f"CAST({p.value} AS STRING)" for p in parts[b.score])
+        cells.append(f"IF({_fits(b, parts[b.score])}, named_struct('s', {i}, 'v', array({values})), NULL)")
     # at most FEW rows a state
-    rows = df.select(F.explode(F.filter(F.array(*cells), lambda c: c.isNotNull())).alias("c")).select(
-        "c.s", "c.v").collect()
+    rows = df.select(F.expr(_exploded(cells)).alias("c")).select("c.s", "c.v").collect()
     found: dict = {i: [] for i in range(len(states))}
     for r in rows:
-        found[r["s"]].append(tuple(
-            (v["r"], v["t"] if p.text else None if v["n"] is None else Decimal(v["n"]))
-            for p, v in zip(parts[states[r["s"]].score], r["v"])))
-
-    def order(row):
-        return tuple((rank, value is not None, value if value is not None else 0) for rank, value in row)
-
+        found[r["s"]].append([v if p.text or v is None else Decimal(v)
+                              for p, v in zip(parts[states[r["s"]].score], r["v"])])
     for i, b in enumerate(states):
-        ranked = sorted(found[i], key=order)
+        known = parts[b.score]
+        ranked = sorted(found[i], key=lambda row: [(
+            (v is not None) == p.nulls_first, 0 if v is None else v) for p, v in zip(known, row)])
         for other in near:
-            if other.state() == b.state() and other is not b:
-                other.fixed = [value for _, value in ranked[other.place - 1]]
-        b.fixed = [value for _, value in ranked[b.place - 1]]
+            if other is not b and other.state() == b.state():
+                other.fixed = ranked[other.place - 1]
+        b.fixed = ranked[b.place - 1]
+
 
+def _exploded(cells: list[str]) -> str:
+    return f"explode(filter(array({', '.join(cells)}), c -> c IS NOT NULL))"
 
-def _behind(boundary: _Boundary, parts: Sequence[Part]) -> Column:
+
+def _behind(boundary: _Boundary, parts: Sequence[Part]) -> str:
     """Whether a row comes after the boundary row."""
-    out = F.lit(False)
+    out = "FALSE"
     for part, value in reversed(list(zip(parts, boundary.fixed))):
         if value is None:
-            later = part.value.isNotNull() if part.null_rank == 0 else F.lit(False)
+            later = f"{part.value} IS NOT NULL" if part.nulls_first else "FALSE"
         else:
-            later = F.coalesce(part.value > _literal(value, part),
-                               F.lit(part.null_rank == 1))
-        out = later | (_same(part, value) & out)
+            later = f"coalesce({part.value} > {_literal(value, part)}, {str(not part.nulls_first).upper()})"
+        out = f"({later} OR ({_same(part, value)} AND {out}))"
     return out
 
 
@@ -236,7 +228,8 @@ def with_tiles(df: DataFrame, scores: dict[str, Sequence[Key]], k: int) -> DataF
     metrics = [F.count(F.lit(1)).alias("rows")]
     for i, order in enumerate(parts.values()):
         for j, part in enumerate(order):
-            metrics += [F.min(part.value).alias(f"low_{i}_{j}"), F.max(part.value).alias(f"high_{i}_{j}")]
+            metrics += [F.expr(f"min({part.value})").alias(f"low_{i}_{j}"),
+                        F.expr(f"max({part.value})").alias(f"high_{i}_{j}")]
     stored = materialize(df.observe(watch, *metrics), "tiles")
     seen = watch.get
     total = seen["rows"]
@@ -248,22 +241,16 @@ def with_tiles(df: DataFrame, scores: dict[str, Sequence[Key]], k: int) -> DataF
     found = [_Boundary(name, place, total, [], *bounds[name][0])
              for name in parts for place in places if 0 < place < total]
     while True:
-        open_ = [b for b in found if len(b.fixed) < len(parts[b.score])]
-        near = [b for b in open_ if b.rows <= FEW]
-        if near:
-            _read_off(stored, near, parts)
-            continue
+        open_ = [b for b in found if len(b.fixed) < len(parts[b.score]) and b.rows > FEW]
         if not open_:
             break
         bins = _count(stored, open_, parts)
         before = [(b, b.state()) for b in open_]
         for b, state in before:
             _advance(b, bins[state], bounds, parts[b.score])
-    out = stored
-    for name, order in parts.items():
-        tile = F.lit(1).cast("long")
-        for b in found:
-            if b.score == name:
-                tile = tile + _behind(b, order).cast("long")
-        out = out.withColumn(name, tile)
-    return out
+    near = [b for b in found if len(b.fixed) < len(parts[b.score])]
+    if near:
+        _read_off(stored, near, parts)
+    tiles = {name: " + ".join(["1L", *[f"IF({_behind(b, order)}, 1L, 0L)" for b in found if b.score == name]])
+             for name, order in parts.items()}
+    return stored.withColumns({name: F.expr(tile) for name, tile in tiles.items()})
