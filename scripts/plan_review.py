@@ -2,8 +2,6 @@
 windows, scans) on the staged warehouse tables; writes markdown.
 
 usage: python scripts/plan_review.py [sf_dir] [out.md]
-LEDGERLENS_ROWS_PER_BUCKET=1000 forces the bucketed global ranking (as
-used when customer tables exceed one task) on small data.
 """
 
 from __future__ import annotations
@@ -14,11 +12,37 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from ledgerlens.plans import fine_grain  # noqa: E402
 from ledgerlens.plans.catalog import REPORTS  # noqa: E402
 from ledgerlens.session import build_session  # noqa: E402
 from ledgerlens.sources.staging import staged_tables  # noqa: E402
 
 
+INTRODUCTION = """# Plan review
+
+Generated by `scripts/plan_review.py` from the final (adaptive) physical plans
+of every report on staged tables, local[8]. Columns: the columns each scan
+reads (one group per scan), the exchanges (shuffles) of the plan, the joins
+Spark chose, and every window with its partition and order keys (`-` = no
+PARTITION BY, i.e. one task).
+
+How to read it against the scale rules:
+
+* Scans read only the columns the report uses, from the smallest staged table
+  that answers; the fact is never re-joined.
+* Nothing is exchanged by order_id where lines are grouped by order: they are
+  bucketed by it.
+* `SinglePartition` appears only above bounded aggregates: one-row aggregates,
+  windows over months, categories, states or segments, and tables with one row
+  per partition (order `[_part]`).
+* Quartile reports have no window and no sort but the final one. What is written
+  while a report is built (its input, ordered tables) is not part of the plan.
+* BroadcastHashJoin only appears where the size estimate allows it and for tables
+  with one row per partition.
+
+"""
+
+
 def summarise(plan: str) -> dict:
     reused = plan.count("ReusedExchange")
     plan_wo_reused = "\n".join(line for line in plan.splitlines() if "ReusedExchange" not in line)
@@ -58,13 +82,11 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     out = sys.argv[2] if len(sys.argv) > 2 else None
     extra = {"spark.ui.showConsoleProgress": "false"}
-    if os.environ.get("LEDGERLENS_ROWS_PER_BUCKET"):
-        extra["ledgerlens.ranking.rowsPerBucket"] = os.environ["LEDGERLENS_ROWS_PER_BUCKET"]
     spark = build_session("local[8]", 8, extra=extra)
     t = staged_tables(spark, sf_dir)
     lines = ["| report | columns read (per scan) | exchanges | joins | windows (partition / order) |",
              "| --- | --- | --- | --- | --- |"]
-    for name, report in REPORTS.items():
+    for name, report in (REPORTS | fine_grain.REPORTS).items():
         df = report(t)
         df.write.format("noop").mode("overwrite").save()   # final adaptive plan
         s = summarise(df._jdf.queryExecution().executedPlan().toString())
@@ -72,7 +94,7 @@ def main() -> None:
         reused = f" (+{s['reused']} reused)" if s["reused"] else ""
         lines.append(f"| {name} | {'; '.join(s['scans'])} | {'; '.join(s['exchanges']) or '-'}{reused} "
                      f"| {', '.join(s['joins']) or '-'} | {'; '.join(s['windows']) or '-'} |")
-    text = "\n".join(lines) + "\n"
+    text = INTRODUCTION + "\n".join(lines) + "\n"
     if out:
         with open(out, "w") as f:
             f.write(text)
