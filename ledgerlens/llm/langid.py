@@ -98,7 +98,7 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _pieces(text: str):
     for start in range(0, max(len(text), 1), CHUNK):
-        # the overlap gives each piece its context; its own positions follow
+        # each piece starts with the padding as its context
         yield text[start:start + CHUNK]
 
 

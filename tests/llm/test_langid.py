@@ -103,3 +103,59 @@ def test_one_odd_row_leaves_rejection_as_it_was(odd, monkeypatch):
         monkeypatch.setattr(L.Model, "cross_entropies", lambda self, text: (np.array([h, 9.0]), 1400))
         got.append(m.predict("a")[2])
     assert got == [False, True]
+
+
+def plain_kneser_ney(texts):
+    """-log p(symbol | three before) of interpolated Kneser-Ney, with dicts:
+    counts of the longest n-grams, numbers of different symbols before for
+    the shorter ones, and one discount an order."""
+    levels = [None] * L.ORDER
+    levels[-1] = {}
+    for t in texts:
+        s = L.symbols(t).tolist()
+        for i in range(len(s) - L.ORDER + 1):
+            g = tuple(s[i:i + L.ORDER])
+            levels[-1][g] = levels[-1].get(g, 0) + 1
+    for n in range(L.ORDER - 2, -1, -1):
+        levels[n] = {}
+        for g in levels[n + 1]:
+            levels[n][g[1:]] = levels[n].get(g[1:], 0) + 1
+
+    discounts, groups = [], []
+    for grams in levels:
+        ones, twos = (sum(c == k for c in grams.values()) for k in (1, 2))
+        discounts.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+        by_context = {}
+        for g, c in grams.items():
+            total, kinds = by_context.get(g[:-1], (0, 0))
+            by_context[g[:-1]] = total + c, kinds + 1
+        groups.append(by_context)
+
+    def p(context, symbol):
+        n = len(context)
+        below = p(context[1:], symbol) if n else 1 / L._ALPHABET
+        if context not in groups[n]:
+            return below
+        total, kinds = groups[n][context]
+        c = levels[n].get((*context, symbol), 0)
+        return max(c - discounts[n], 0) / total + discounts[n] * kinds / total * below
+
+    return p
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_equals_plain_kneser_ney(seed):
+    rng = np.random.default_rng(seed)
+    texts = {lang: ["".join(rng.choice(list(letters), 60)) for _ in range(8)]
+             for lang, letters in (("x", "abcde  "), ("y", "cdefgh é "), ("z", "mmmno "))}
+    model = model_of(texts)
+    plain = [plain_kneser_ney(texts[lang]) for lang in model.languages]
+    for text in [*texts["x"][:3], *texts["z"][:2], "abc fgh", "qqq", "é", "mno abba cade" * 5]:
+        s = L.symbols(text).tolist()
+        n = len(s) - L.ORDER + 1
+        want = [-sum(np.log(p(tuple(s[i:i + L.ORDER - 1]), s[i + L.ORDER - 1])) for i in range(n)) / n
+                for p in plain]
+        got, counted = model.cross_entropies(text)
+        assert counted == n and np.allclose(got, want, rtol=1e-5)
+        best = model.predict(text)
+        assert best[0] == model.languages[int(np.argmin(want))]
