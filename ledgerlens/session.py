@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -40,6 +41,12 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def _scheme(sc, path: str) -> str:
+    """The scheme of the file system that a path lies on."""
+    target = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(sc._jsc.hadoopConfiguration()).getUri().getScheme()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of this session.
 
@@ -60,11 +67,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    local_only = configured and configured.startswith("file:")
-    if local_only and not sc.master.startswith("local"):
+    on_cluster = not sc.master.startswith("local")
+    if configured and on_cluster and configured.startswith("file:"):
         raise RuntimeError(
             f"spark.checkpoint.dir is the local folder {configured}; point it at a shared "
             "folder that every executor can reach")
+    if configured and on_cluster and _scheme(sc, configured) == "file":
+        # a bare path: it may be a mounted share, which only the cluster knows
+        warnings.warn(f"spark.checkpoint.dir ({configured}) lies on the machines' own file "
+                      "system; it must be a folder that all of them share", stacklevel=2)
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
