@@ -40,6 +40,7 @@ LEVELS = (1, 4, 16)  # segments of each resolution
 ORDER_SEGMENTS = (1, 2, 4, 8)  # whose signs order the rows
 CELLS = 1 << 19  # components in a stripe of candidates or a block of queries
 SIDE = 1024  # rows bounded at a time inside a task
+DENSE = 0.02  # share of pairs left from which all products are cheaper than single ones
 
 
 def _segments(length: int, count: int) -> np.ndarray:
@@ -112,39 +113,52 @@ def search(q: np.ndarray, v: np.ndarray, v_ids: np.ndarray, k: int, thresholds:
     # rounding of the bounds, far above what doubles lose here
     slack = 1.0 + 1e-9 * (float(qq.max(initial=0)) + float(vv.max(initial=0)))
     for start in range(0, len(v), SIDE):
-        here = np.arange(start, min(start + SIDE, len(v)))
         for first in range(0, len(q), SIDE):
-            asked = np.arange(first, min(first + SIDE, len(q)))
-            i = j = None
+            i, j = np.arange(first, min(first + SIDE, len(q))), np.arange(start, min(start + SIDE, len(v)))
+            alive = np.ones((len(i), len(j)), bool)
             for fq, fv in resolutions:
-                if i is None:
-                    a, b = fq[asked], fv[here]
-                    lower = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
-                    top = -lower if by_distance else (qq[asked, None] + vv[None, here] - lower) / 2
-                    i, j = np.nonzero(top + slack >= best.floor[asked, None])
-                    i, j = asked[i], here[j]
-                else:
-                    lower = _squared_gaps(fq, fv, i, j)
-                    top = -lower if by_distance else (qq[i] + vv[j] - lower) / 2
-                    near = top + slack >= best.floor[i]
-                    i, j = i[near], j[near]
-            gap = qq[i] + vv[j] - 2 * _products(q, v, i, j)
-            score = -gap if by_distance else (qq[i] + vv[j] - gap) // 2
-            good = score >= best.floor[i]
-            best.add(i[good], score[good], j[good], v_ids)
+                a, b = fq[i], fv[j]
+                lower = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
+                top = -lower if by_distance else (qq[i, None] + vv[None, j] - lower) / 2
+                alive &= top + slack >= best.floor[i, None]
+                # queries and candidates without any pair left need no finer look
+                keep, some = alive.any(1), alive.any(0)
+                i, j, alive = i[keep], j[some], alive[np.ix_(keep, some)]
+            if not alive.any():
+                continue
+            if np.count_nonzero(alive) < DENSE * alive.size:
+                x, y = np.nonzero(alive)
+                x, y = i[x], j[y]
+                score = _scores(_products(q, v, x, y), qq[x], vv[y], by_distance)
+            else:
+                table = _scores(_table(q[i], v[j]), qq[i, None], vv[None, j], by_distance)
+                if len(j) >= k:  # no query needs more than its k best here
+                    last = np.partition(np.where(alive, table, np.iinfo(np.int64).min), len(j) - k)[:, -k]
+                    best.floor[i] = np.maximum(best.floor[i], last)
+                x, y = np.nonzero(alive & (table >= best.floor[i, None]))
+                score = table[x, y]
+                x, y = i[x], j[y]
+            good = score >= best.floor[x]
+            best.add(x[good], score[good], y[good], v_ids)
     return best.query, best.at, best.score
 
 
-def _pieces(n: int, size: int = 1 << 16):
-    return (slice(start, start + size) for start in range(0, n, size))
+def _scores(product: np.ndarray, qq: np.ndarray, vv: np.ndarray, by_distance: bool) -> np.ndarray:
+    """The exact score from |q - v|^2 = |q|^2 + |v|^2 - 2 q.v."""
+    gap = qq + vv - 2 * product
+    return -gap if by_distance else (qq + vv - gap) // 2
 
 
-def _squared_gaps(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    out = np.empty(len(i))
-    for s in _pieces(len(i)):
-        gap = a[i[s]] - b[j[s]]
-        out[s] = np.einsum("ij,ij->i", gap, gap)
-    return out
+def _table(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of all pairs of integer rows."""
+    if float(_squares(a).max()) * float(_squares(b).max()) < 2.0 ** 104:
+        # every partial sum is an integer below 2^52: exact in doubles
+        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
+    return np.stack([b @ row for row in a])
+
+
+def _pieces(n: int, size: int = 1 << 16):
+    return (slice(start, start + size) for start in range(0, n, size))
 
 
 def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:

@@ -121,6 +121,20 @@ def test_search_prunes_but_keeps_every_answer():
         assert sorted(zip(-s[i == a], j[i == a])) == want
 
 
+def test_products_of_all_pairs_and_of_single_ones_agree(monkeypatch):
+    rng = np.random.default_rng(3)
+    for high in (300, 2 ** 27):  # the second leaves the exact range of doubles
+        v = rng.integers(-high, high, (200, 5))
+        floor = np.full(20, -np.inf)
+        assert (T._table(v[:20], v) == np.array([[sum(int(x) * int(y) for x, y in zip(a, b)) for b in v]
+                                                 for a in v[:20]])).all()
+        found = []
+        for share in (0.0, 2.0):  # always, never all pairs
+            monkeypatch.setattr(T, "DENSE", share)
+            found.append(sorted(zip(*(x.tolist() for x in T.search(v[:20], v, np.arange(200), 4, floor)))))
+        assert found[0] == found[1] and len(found[0]) == 80
+
+
 def test_query_matches_sql(spark):
     sf_dir = "/root/testdata/sf0.01"
     df = op11_topk_search(spark, sf_dir)
