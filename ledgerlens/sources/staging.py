@@ -17,6 +17,11 @@ its tables before querying them:
     sales_target   the derived targets (small)
 
 Reports take the smallest of these that can answer (``SalesTables.sales``).
+What reads a mapped table only once takes ``mapped_tables`` and stages nothing.
+
+**No sort of the lines.** There are more buckets where there are more lines,
+so that the orders of a bucket fit a hash table, and a task writes the rows
+of its buckets as they come.
 
 **Hot orders.** A bucket holds whole orders. An order with more lines than a
 bucket has on average (so there are fewer such orders than buckets) would
@@ -39,6 +44,7 @@ import hashlib
 import json
 import threading
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +62,7 @@ STAGED_NAMES = ("order_list", "order_details", "order_details_hot", "sales_fact"
                 "order_sums", "pair_sums", "sales_target")
 MARKER = "_staged.json"
 BROADCAST_ORDERS = 100_000  # rows of an order each
+BUCKET_LINES = 1_000_000  # at most, on average
 
 _lock = threading.Lock()
 _staged: dict[tuple[str, str], tuple[str, SalesTables]] = {}
@@ -103,12 +110,29 @@ def _write_bucketed(df: DataFrame, path: str, buckets: int) -> DataFrame:
     return df.sparkSession.table(_table_name(path))
 
 
-def hot_orders(details: DataFrame, buckets: int) -> list:
+@contextmanager
+def _unsorted(spark: SparkSession):
+    """Joins hash the side whose partitions are all small instead of sorting
+    both, and bucketed writes open a file per bucket instead of sorting."""
+    names = {"spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+             "spark.sql.maxConcurrentOutputFileWriters": "4"}
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, value in names.items():
+            spark.conf.set(n, value)
+        yield
+    finally:
+        for n, value in before.items():
+            spark.conf.set(n, value)
+
+
+def hot_orders(details: DataFrame, buckets: int, total: int | None = None) -> list:
     """Ids of orders with more lines than a bucket has on average: fewer than
     ``buckets`` of them, so few enough to name in a condition."""
     lines = details.where(F.col("order_id").isNotNull()).groupBy("order_id").agg(
         F.count(F.lit(1)).alias("lines"))
-    total = details.select("order_id").count()
+    if total is None:
+        total = details.select("order_id").count()
     hot = lines.where(F.col("lines") * buckets > total).select("order_id").collect()
     return [r["order_id"] for r in hot] if buckets > 1 else []
 
@@ -117,10 +141,8 @@ def _is_hot(hot: list) -> Column:
     return F.col("order_id").isNull() | F.col("order_id").isin(hot) if hot else F.col("order_id").isNull()
 
 
-def _stage_lines(order_list: DataFrame, details: DataFrame, base: str, buckets: int) -> dict:
-    """Write order_details, the fact and the tables of sums below ``base``;
-    ``details`` is read once to count and once to write."""
-    hot = hot_orders(details, buckets)
+def _stage_lines(order_list: DataFrame, details: DataFrame, base: str, buckets: int, hot: list) -> dict:
+    """Write order_details, the fact and the tables of sums below ``base``."""
     salted = details.where(_is_hot(hot))
     if hot:
         salted = salted.repartition(buckets)
@@ -187,11 +209,12 @@ def _read_mark(spark: SparkSession, base: str) -> dict | None:
         stream.close()
 
 
-def fact_buckets(spark: SparkSession) -> int:
+def fact_buckets(spark: SparkSession, lines: int = 0) -> int:
     """Buckets of the staged fact: ``ledgerlens.factBuckets`` in the session
-    conf, else the number of shuffle partitions."""
+    conf, else the number of shuffle partitions, or more where a bucket would
+    have more than ``BUCKET_LINES`` of the ``lines``."""
     return int(spark.conf.get("ledgerlens.factBuckets", None)
-               or spark.conf.get("spark.sql.shuffle.partitions"))
+               or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines // BUCKET_LINES)))
 
 
 def _base_folder(spark: SparkSession, location: str | None) -> str:
@@ -222,21 +245,27 @@ def stage_tables(spark: SparkSession, root: str, location: str | None = None) ->
     w = Warehouse(spark, root)
     base = _base_folder(spark, location)
     tables = stage_frames(w.orders(ORDER_COLUMNS), w.details(DETAIL_COLUMNS),
-                          Warehouse.targets_from, base)
+                          Warehouse.targets_from, base, w.details(["order_id"]))
     if not location:
         remove_at_exit(spark, base)
     return tables
 
 
 def stage_frames(order_list: DataFrame, order_details: DataFrame,
-                 sales_target: DataFrame | Callable[[SalesTables], DataFrame], base: str) -> SalesTables:
+                 sales_target: DataFrame | Callable[[SalesTables], DataFrame], base: str,
+                 line_ids: DataFrame | None = None) -> SalesTables:
     """Stage three tables below the folder ``base``. ``sales_target`` may be
     derived from the staged fact. Any table may be empty; lines without an
-    order and orders without lines stay in their tables."""
+    order and orders without lines stay in their tables. ``line_ids``: the
+    lines' order ids, where they can be counted without building the lines."""
     spark = order_list.sparkSession
-    buckets = fact_buckets(spark)
-    orders = _write(order_list.select(*ORDER_COLUMNS).repartition(buckets), f"{base}/order_list")
-    mark = _stage_lines(orders, order_details.select(*DETAIL_COLUMNS), base, buckets)
+    ids = (order_details if line_ids is None else line_ids).select("order_id")
+    lines = ids.count()
+    buckets = fact_buckets(spark, lines)
+    hot = hot_orders(ids, buckets, lines)
+    with _unsorted(spark):
+        orders = _write(order_list.select(*ORDER_COLUMNS).repartition(buckets), f"{base}/order_list")
+        mark = _stage_lines(orders, order_details.select(*DETAIL_COLUMNS), base, buckets, hot)
     if not isinstance(sales_target, DataFrame):
         sales_target = sales_target(SalesTables(orders, lambda: None, lambda: None,
                                                 fact_table=_open_fact(spark, base, mark)))
@@ -312,3 +341,17 @@ def staged_tables(spark: SparkSession, root: str) -> SalesTables:
         if key not in _staged or _staged[key][0] != state:
             _staged[key] = (state, stage_tables(spark, root))
         return _staged[key][1]
+
+
+def mapped_tables(spark: SparkSession, root: str) -> SalesTables:
+    """The staged tables of ``root`` where this application has them, else the
+    mapping itself: for what reads a table only once, where staging would
+    shuffle and write far more than is read. All joins of the mapping are
+    kept, as a repeated key of a dimension repeats rows."""
+    with _lock:
+        state, tables = _staged.get((spark.sparkContext.applicationId, root.rstrip("/")), (None, None))
+        if tables and state == source_state(spark, root):
+            return tables
+    w = Warehouse(spark, root)
+    return SalesTables(lambda: w.orders(ORDER_COLUMNS), lambda: w.details(DETAIL_COLUMNS),
+                       lambda: w.targets().select(*TARGET_COLUMNS))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import materialize as MT
+from ledgerlens.plans import catalog as CAT
 from ledgerlens.plans import reports as R
 from ledgerlens.plans.catalog import REPORTS
 from ledgerlens.sources import schemas
@@ -167,3 +168,37 @@ def test_no_set_of_values_in_one_buffer(spark):
     for report in (R.business_summary, R.executive_summary, R.state_performance):
         plan = report(t)._jdf.queryExecution().executedPlan().toString()
         assert "collect_set" not in plan and "sales_fact" not in plan
+
+
+def written_below(spark):
+    folder = S.scratch_path(spark, "x").rsplit("/", 1)[0].replace("file:", "")
+    return set(os.listdir(folder)) if os.path.isdir(folder) else set()
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_what_reads_a_table_once_stages_nothing(spark, source, repeated):
+    if repeated:  # a repeated part repeats its lines, as in the staged table
+        part = spark.read.parquet(f"{SF}/part.parquet").toPandas()
+        part._append(part).to_parquet(f"{source}/part.parquet")
+        lines = spark.read.parquet(f"{SF}/lineitem.parquet").toPandas()
+        lines.loc[:9, "l_extendedprice"] = 0.0
+        lines.to_parquet(f"{source}/lineitem.parquet", coerce_timestamps="us")
+    before = written_below(spark)
+    got = {n: CAT.run_on_warehouse(n)(spark, source).collect() for n in sorted(CAT.READ_ONCE)}
+    assert written_below(spark) == before
+    staged = S.staged_tables(spark, source)
+    assert S.mapped_tables(spark, source) is staged
+    for name, rows in got.items():
+        assert sorted(map(str, rows)) == sorted(map(str, REPORTS[name](staged).collect())), name
+    assert got["dq_bad_amounts"][0][0] == (20 if repeated else 0)
+
+
+def test_buckets_grow_with_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET_LINES", 20)
+    assert S.fact_buckets(spark, 161) == 9 and S.fact_buckets(spark, 160) == S.fact_buckets(spark) == 8
+    parts = frames(spark, hot=30)  # 435 lines
+    base = S.scratch_path(spark, "staged")
+    staged = S.stage_frames(*parts, base)
+    assert S._read_mark(spark, base)["buckets"] == 22
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"  # as before
+    same_reports(staged, from_frames(*parts))
