@@ -481,7 +481,7 @@ def profit_moving_average(t: SalesTables, rows: int = 3) -> DataFrame:
 def loss_making_lines(t: SalesTables) -> DataFrame:
     """Every order line with negative profit, with its order's attributes."""
     fact = t.fact(["order_date", "customer_name", "state", "city"],
-                  ["category", "sub_category", "payment_mode", *LINE])
+                  ["category", "sub_category", "payment_mode", *LINE], rebalanced=False)
     return (fact.where(F.col("profit") < 0).select(
         "order_id", "order_date", "customer_name", "state", "city", "category", "sub_category",
         "payment_mode", money("amount").alias("revenue"), money("profit").alias("profit"),

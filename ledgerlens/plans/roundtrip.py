@@ -19,7 +19,7 @@ from ledgerlens.plans.catalog import REPORTS
 from ledgerlens.plans.oracle import PREFIX, oracle_sql
 from ledgerlens.sources import csv, schemas
 from ledgerlens.sources.export import FORMATS, verify, write_csv, write_results
-from ledgerlens.sources.staging import staged_tables
+from ledgerlens.sources.staging import mapped_tables, staged_tables
 from ledgerlens.sources.tables import SalesTables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,7 +41,7 @@ def _exported(spark: SparkSession, df: DataFrame, label: str) -> str:
 def csv_orders_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders as a CSV file in the original format, read strictly: first
     order of each state (all columns of the file)."""
-    t = staged_tables(spark, sf_dir)
+    t = mapped_tables(spark, sf_dir)
     path = _exported(spark, t.order_list, "orders")
     orders = csv.read_order_list(spark, path, _retyped(schemas.ORDER_LIST, t.order_list))
     return R.market_entry_timeline(SalesTables(orders, t.order_details, t.sales_target))
@@ -60,7 +60,7 @@ def csv_targets_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_details_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order lines as CSV files, read strictly and joined to their orders:
     all loss lines (all columns of the file)."""
-    t = staged_tables(spark, sf_dir)
+    t = mapped_tables(spark, sf_dir)
     path = _exported(spark, t.order_details, "details")
     details = csv.read_order_details(spark, path, _retyped(schemas.ORDER_DETAILS, t.order_details))
     return R.loss_making_lines(SalesTables(t.order_list, details, t.sales_target))
@@ -84,7 +84,7 @@ def load_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     Orders whose id is divisible by 7 have another date format; lines with a
     quantity divisible by 10 have no number as amount, those with 5 over a
     quantity in words, and those with 7 over a third decimal of the profit."""
-    t = staged_tables(spark, sf_dir)
+    t = mapped_tables(spark, sf_dir)
     quantity = F.col("quantity") % 10
     spoilt = {
         "order_list": _spoilt(t.order_list, [

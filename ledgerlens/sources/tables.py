@@ -67,14 +67,15 @@ class SalesTables:
             return self.details_projector(cols)
         return self.order_details.select(*cols)
 
-    def fact(self, order_cols: Sequence[str], detail_cols: Sequence[str]) -> DataFrame:
+    def fact(self, order_cols: Sequence[str], detail_cols: Sequence[str],
+             rebalanced: bool = True) -> DataFrame:
         """Order lines joined to their order (inner join on order_id); read
         from the staged fact when there is one."""
         if self.fact_table is not None:
             return self.fact_table.select(*_dedupe(["order_id", *order_cols, *detail_cols]))
         from ledgerlens.operators.fact import sales_fact
         return sales_fact(self.orders("order_id", *order_cols),
-                          self.details("order_id", *detail_cols))
+                          self.details("order_id", *detail_cols), rebalanced=rebalanced)
 
     def sales(self, order_cols: Sequence[str], line_cols: Sequence[str],
               orders: bool = True) -> DataFrame:

@@ -134,3 +134,9 @@ def test_text_survives_csv(spark, tmp_path):
         E.write_results(spark, {"t": lambda: df}, folder, kind)
         assert E.verify(spark, folder).first()["same_rows"], kind
         assert json.loads(open(f"{folder}/{E.MANIFEST}").read())["results"][0]["rows"] == 3
+
+
+def test_sorted_loss_lines_are_dealt_once(spark, tiny):
+    """No exchange between the join and the sort."""
+    plan = R.loss_making_lines(tiny)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "REBALANCE" not in plan
