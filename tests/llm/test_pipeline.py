@@ -97,7 +97,7 @@ def test_run(spark):
 def test_registered():
     names = set(entry.queries())
     assert {"pipeline", *queries.QUERIES} <= names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(entry.oracle_sql()) <= names
 
 
@@ -115,7 +115,7 @@ def test_library_works_without_the_subpackage(tmp_path, emptied):
     code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op1') for n in e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
                          env=os.environ | {"PYTHONPATH": str(tmp_path)})
-    assert out.stdout.split()[-2:] == ["47", "False"], out.stderr
+    assert out.stdout.split()[-2:] == ["55", "False"], out.stderr
 
 
 def test_nothing_else_imports_the_subpackage():
