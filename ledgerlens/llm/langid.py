@@ -318,21 +318,16 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     are scored whole, piece by piece. Input columns that have one of the
     new names are replaced.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = [c for c in (keep or docs.columns) if c not in names]
-    at = spare("text_to_score", kept)
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(text).alias(at))
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema
-    for name, kind in zip(names, ("string", "double", "boolean", "double")):
-        schema = schema.add(name, kind)
-
-    def run(batches):
-        for batch in batches:
-            out = [shared.value.predict(t.as_py()) for t in batch.column(len(kept))]
-            columns = [pa.array([x[i] for x in out], kind) for i, kind in enumerate(
-                (pa.string(), pa.float64(), pa.bool_(), pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], *columns],
-                                             names=[*kept, *names])
-
-    return source.mapInArrow(run, schema)
+    columns = [F.col(f"`{c}`") for c in kept]
+    at = spare("prediction", kept)
+    # Only texts go to Python, about a hundred rows at a time: Arrow batches
+    # of whole rows took hundreds of MB beside an executor's heap. Not
+    # deterministic: a filter on the result must not compute it again.
+    predict = F.udf(lambda t: shared.value.predict(t),
+                    "lang string, score double, rejected boolean, cross_entropy double",
+                    useArrow=False).asNondeterministic()
+    return docs.select(*columns, predict(F.col(text)).alias(at)).select(*columns, *[
+        F.col(at)[field].alias(name)
+        for field, name in zip(("lang", "score", "rejected", "cross_entropy"), names)])

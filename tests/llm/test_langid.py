@@ -59,6 +59,19 @@ def test_edges(spark, docs_of):
     assert L.identify(docs_of([]), m).count() == 0
 
 
+def test_only_texts_go_to_python_and_once(spark, docs_of):
+    """No Arrow batches of whole rows, also below a filter on the result."""
+    m = model_of({"en": ["the cat and the dog sat on the mat"], "de": ["der hund und die katze"]})
+    texts = [None, "", "12", "The dog", "Die Katze", "the cat and die katze"] * 50
+    docs = docs_of([(i % 99 or None, t, "x", "s" * 1000) for i, t in enumerate(texts)])
+    got = L.identify(docs, m, names=("_l", "_s", "_r", "_h")).filter("not _r").drop("_s")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchEvalPython") == 1 and "InArrow" not in plan and "ArrowEval" not in plan
+    want = [(i % 99 or None, t, *m.predict(t)) for i, t in enumerate(texts)]
+    assert sorted(map(str, got.select("doc_id", "text", "_l", "_h").collect())) == sorted(
+        f"Row(doc_id={d}, text={t!r}, _l={lang!r}, _h={h})" for d, t, lang, _, out, h in want if not out)
+
+
 def test_nothing_learned(spark, docs_of):
     m = L.train(docs_of([(1, "text", None, None), (2, None, "en", None)]))
     row = L.identify(docs_of([(1, "some text")]), m).first()
