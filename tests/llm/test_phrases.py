@@ -157,3 +157,51 @@ def test_query_matches_sql(spark):
     df = op12_collocations(spark, sf_dir)
     assert compare("op12_collocations", df, duckdb_connection(sf_dir), ORACLE_SQL["op12_collocations"]).ok
     assert [t for c, t in df.dtypes if c not in ("lang", "phrase")] == ["bigint"] * 6
+
+
+@pytest.mark.parametrize("size,most", [(1, 1), (3, 4), (9, 12), (9, 10**6)])
+def test_stretches_keep_pieces_whole(monkeypatch, size, most):
+    """Texts cut into parts and stretches give the same pieces."""
+    rows = corpus(8, 40) + [(" ".join(["one"] * 30 + ["two,", "three"] * 9), "en")]
+    batches = [pa.RecordBatch.from_pydict({"lang": [r[1] or "und" for r in part], "text": [r[0] for r in part]})
+               for part in (rows[:25], rows[25:])]
+    real, docs = P.byte_pieces, {}
+    monkeypatch.setattr(P, "byte_pieces", lambda data: real(data, size))
+    for lang, one in P._stretches(iter(batches), most):
+        numbers, words, f = one.packed()
+        assert f.sum() == (numbers >= 0).sum() and len(set(words)) == len(words)
+        docs.setdefault((lang, one.doc), {})[one.at] = [words[c] if c >= 0 else None for c in numbers]
+    found = Counter()
+    for (lang, _), parts in docs.items():
+        assert sorted(parts) == list(range(len(parts)))
+        piece = []
+        for word in [w for at in sorted(parts) for w in parts[at]] + [None]:
+            if word is not None:
+                piece.append(word)
+            elif piece:
+                found[lang, tuple(piece)] += 1
+                piece = []
+    want = Counter()
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", text.translate(UPPER)):
+            if words := re.findall(r"[^\x20\x09]+", piece):
+                want[lang or "und", tuple(w.encode() for w in words)] += 1
+    assert found == want
+
+
+def test_relations_have_rows_of_stretches_not_of_words(spark, monkeypatch):
+    """A relation of thousands of entries has a row or few for each task and
+    language, and phrases go on from one stretch to the next."""
+    rows = corpus(7, 120) + [("blue whale song " * 70_000, "en")]
+    sizes, real = [], P._kept
+
+    def kept(*args):
+        relation = real(*args)
+        sizes.append(relation.rows().count())
+        return relation
+
+    monkeypatch.setattr(P, "_kept", kept)
+    monkeypatch.setattr(P, "ROWS_OUT", 100_000)
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(2)
+    assert have(P.mine_collocations(df, 4)) == brute(rows, 4)
+    assert len(sizes) == 3 and max(sizes) <= 8
